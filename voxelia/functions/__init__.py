@@ -1,0 +1 @@
+"""functions of the library; each public function takes and returns DataFrames."""

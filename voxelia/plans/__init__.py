@@ -1,0 +1 @@
+"""plans of the library; each public function takes and returns DataFrames."""

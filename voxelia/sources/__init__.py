@@ -1,0 +1 @@
+"""sources of the library; each public function takes and returns DataFrames."""

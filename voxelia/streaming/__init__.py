@@ -1,0 +1 @@
+"""streaming of the library; each public function takes and returns DataFrames."""
