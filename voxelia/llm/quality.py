@@ -1,8 +1,9 @@
 """Quality rules by repetition coverage.
 
 Words of a document get dense ids; rolling hashes over several n-gram lengths mark every n-gram that
-occurs again in the same document, and the rule measures how many characters lie inside marked n-grams
-and inside repeated lines. One pass over Arrow batches, no shuffle.
+has occurred before in the same document, and the rule measures how many characters lie inside marked
+n-grams and inside repeated lines. The share of repeated lines by count is reported but not judged: in a
+document of three lines one closing line that equals the first says nothing. One pass over Arrow batches, no shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 
 #: The largest share of characters inside repeated n-grams, by n, and in repeated lines.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE_CHARS_LIMIT, LINE_COUNT_LIMIT = 0.20, 0.30
+LINE_CHARS_LIMIT = 0.20
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -29,14 +30,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Which entries of keys occur twice or more."""
+def repeated(keys: np.ndarray, first: bool) -> np.ndarray:
+    """Which entries of keys occur twice or more; the first occurrence counts only with ``first``."""
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     same = s[1:] == s[:-1]
     hit = np.zeros(len(s), bool)
     hit[1:] |= same
-    hit[:-1] |= same
+    if first:
+        hit[:-1] |= same
     out = np.empty(len(s), bool)
     out[order] = hit
     return out
@@ -66,7 +68,7 @@ def measure(text: str | None) -> tuple:
     repeat_words = 0
     if n >= 3:
         _, pair = np.unique(ids[:-1] * len(seen) + ids[1:], return_inverse=True)
-        repeat_words = int(covered(repeated(pair[:-1] * len(seen) + ids[2:]), 3, n).sum())
+        repeat_words = int(covered(repeated(pair[:-1] * len(seen) + ids[2:], True), 3, n).sum())
     first, n_dup, dup_chars, n_lines = set(), 0, 0, 0
     for line in raw.split(b"\n"):
         if not line.strip():  # bytes.strip removes the same white space
@@ -85,7 +87,7 @@ def measure(text: str | None) -> tuple:
             break
         rolling = rolling[: n - k + 1] * BASE + base[k - 1 :]
         if k in NGRAM_LIMITS:
-            hit = repeated(rolling)
+            hit = repeated(rolling, False)  # what a reader meets again
             shares.append(float(chars[covered(hit, k, n)].sum()) / total if hit.any() else 0.0)
     shares += [0.0] * (len(NGRAM_LIMITS) - len(shares))
     return n, total, len(SYMBOLS.findall(text)), n_dup, repeat_words, shares, n_dup / n_lines, dup_chars / total
@@ -106,7 +108,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_
     def judge(text):
         m = measure(text)
         failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
-        fine = bool(np.all(np.array(m[5]) <= limits)) and m[6] <= LINE_COUNT_LIMIT and m[7] <= LINE_CHARS_LIMIT
+        fine = bool(np.all(np.array(m[5]) <= limits)) and m[7] <= LINE_CHARS_LIMIT
         return (*m, failed, not failed and fine)
 
     if pass_through:

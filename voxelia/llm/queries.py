@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelia.llm import byte_bpe, quality, repair
+from voxelia.llm import byte_bpe, html_blocks, quality, repair
 from voxelia.llm.common import shared_dir, table
 
 
@@ -25,5 +25,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_token_files, op8_byte_bpe)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_blocks.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_token_files, op8_byte_bpe, op10_html_text)}
 SQL: dict[str, str] = {}
