@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelia.llm import byte_bpe, html_blocks, quality, repair
+from voxelia.llm import byte_bpe, html_blocks, quality, repair, secrets
 from voxelia.llm.common import shared_dir, table
 
 
@@ -20,6 +20,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.digests(byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
@@ -30,5 +34,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_token_files, op8_byte_bpe, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_token_files, op7_secret_scan, op8_byte_bpe, op10_html_text)}
 SQL: dict[str, str] = {}
