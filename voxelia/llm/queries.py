@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelia.llm import byte_bpe, html_blocks, quality, repair, secrets
+from voxelia.llm import byte_bpe, decontaminate, html_blocks, quality, repair, secrets
 from voxelia.llm.common import shared_dir, table
 
 
@@ -14,6 +14,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-files")
     repair.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -34,5 +38,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_token_files, op7_secret_scan, op8_byte_bpe, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op10_html_text)}
 SQL: dict[str, str] = {}
