@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelia.llm import byte_bpe, decontaminate, html_blocks, quality, repair, secrets
+from voxelia.llm import byte_bpe, decontaminate, html_blocks, lm, quality, repair, secrets
 from voxelia.llm.common import shared_dir, table
 
 
@@ -33,10 +33,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs.where(lm.in_training())))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_blocks.extract(table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text)}
 SQL: dict[str, str] = {}
