@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, as in the class [\x20\x09-\x0D].
@@ -61,34 +63,60 @@ def components(links: DataFrame, label: str = "components", max_rounds: int = 60
     takes O(log^2 n) rounds; each round is written to the shared folder. Null ends are ignored.
     """
     spark = links.sparkSession
-    clean = links.where("a is not null and b is not null and a <> b")
-    edges = written(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    edges, now = marked(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
 
     def step(e: DataFrame, small: bool) -> DataFrame:
         both = e if small else e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         joined = both.join(least, "a")
         if small:  # neighbours are all below a: link them and a itself to the smallest
-            out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-                least.where("a <> m").select("a", F.col("m").alias("b")))
-        else:  # neighbours above a: link them to the smallest around a
-            out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return out.distinct()
+            return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
+                least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
+        # neighbours above a: link them to the smallest around a
+        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        return tuple(r)
-
-    now = mark(edges)
     for _ in range(max_rounds):
         if now[0] == 0:
             break
-        after = written(step(step(edges, False), True), label)
+        after, mark = marked(step(step(edges, False), True), label)
         remove(spark, edges)
-        edges, before, now = after, now, mark(after)
+        edges, before, now = after, now, mark
         if now == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def marked(edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
+    """edges written, with their number and a hash of the set of them, taken while writing."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")), label)
+    return out, (seen.get["n"], seen.get["x"])
+
+
+def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, hot: int, spare: int, enough: int, min_shared: int) -> DataFrame:
+    """Classes (node, component) of nodes under verified links between nodes that share a bucket.
+
+    buckets has (key, node, of), a node once a key; of is the node's number of keys. verify takes pairs (a, b) and returns those that link.
+    First every node of a bucket is held against one member, the same in most buckets of a group, so a
+    group of any size costs as many pairs as it has nodes. Only nodes that are then still in different
+    classes are held against each other, where they share min_shared buckets. From buckets of more than
+    ``hot`` nodes, a node with at most ``spare`` such buckets and ``enough`` keys is left out, as whatever
+    links to it also shares some of its other buckets; any other node stays in all.
+    """
+    w = W.partitionBy("key")
+    shared = buckets.select("key", "node", "of", F.count("*").over(w).alias("n"), F.min(F.struct(F.xxhash64("node").alias("p"), "node")).over(w)["node"].alias("pivot"))
+    shared = written(shared.where("n > 1").select("key", "node", "of", "pivot"), label)
+    star = written(shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), label)
+    links = written(verify(star), label)
+    first = written(components(links, label), label)
+    own = shared.join(first, "node", "left").select("key", "node", "of", F.coalesce("component", "node").alias("c"))
+    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
+    rest = own.join(mixed, "key").withColumn("h", F.sum(F.when(F.col("n") > hot, 1).otherwise(0)).over(W.partitionBy("node")))
+    rest = written(rest.where((F.col("n") <= hot) | (F.col("h") > spare) | (F.col("of") < enough)).select("key", "node", "c"), label)
+    other = rest.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
+    pairs = rest.join(other, "key").where("node < b and c <> cb").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
+    pairs = pairs.where(F.col("n") >= min_shared).select("a", "b").join(star, ["a", "b"], "left_anti")
+    return components(links.union(verify(written(pairs, label))), label)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelia.llm import byte_bpe, decontaminate, html_blocks, licences, lm, quality, repair, secrets
+from voxelia.llm import byte_bpe, decontaminate, html_blocks, licences, lm, parity_join, quality, repair, secrets
 from voxelia.llm.common import shared_dir, table
 
 
@@ -14,6 +14,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return licences.scan(docs, licences.train(docs))
@@ -48,5 +52,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_licence_scan, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_parity_join, op4_licence_scan, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text)}
 SQL: dict[str, str] = {}
