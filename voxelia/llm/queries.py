@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelia.llm import byte_bpe, decontaminate, html_blocks, licences, lm, parity_join, quality, repair, secrets
+from voxelia.llm import byte_bpe, decontaminate, html_blocks, licences, line_dedup, lm, parity_join, quality, repair, secrets
 from voxelia.llm.common import shared_dir, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_parity_join, op4_licence_scan, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_parity_join, op4_licence_scan, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text)}
 SQL: dict[str, str] = {}
