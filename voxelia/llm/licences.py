@@ -72,14 +72,16 @@ def worn(paragraph: str, r: random.Random, filler: list[str]) -> str:
     return r.choice([text, text, text.upper(), text.lower()])
 
 
-def train(docs: DataFrame, text_col: str = "text", copies: int = 12, others: int = 1500, seed: int = 17) -> Classifier:
-    """Fit the classifier: ``copies`` worn copies of every template and at most ``others`` paragraphs of
-    docs without licence words as the unknown class. These bounds hold for any input; the sample takes the
-    paragraphs with the least hashes. A quarter of the rows is held out to calibrate the threshold."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: int = 12, sample: int = 200, others: int = 1500, seed: int = 17) -> Classifier:
+    """Fit the classifier: ``copies`` worn copies of every template and, as the unknown class, at most
+    ``others`` paragraphs without licence words from the ``sample`` documents whose ids have the least
+    hashes. These bounds hold for any input. A quarter of the rows is held out to calibrate the threshold."""
     spark: SparkSession = docs.sparkSession
     r = random.Random(seed)
-    plain = docs.select(F.explode(F.split(text_col, "\n")).alias("p")).where((F.length(F.trim("p")) > 0) & (F.length("p") < 5000) & ~F.col("p").rlike("(?i)licen[cs]|copyright|redistribut|public domain|copyleft"))
-    plain = plain.groupBy(F.xxhash64("p").alias("h")).agg(F.min("p").alias("p")).orderBy("h").limit(others).select("p")
+    ids = docs.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    some = docs.select(id_col, text_col).join(F.broadcast(ids.distinct()), id_col, "left_semi")
+    plain = some.select(F.explode(F.split(text_col, "\n")).alias("p")).where((F.length(F.trim("p")) > 0) & (F.length("p") < 5000) & ~F.col("p").rlike("(?i)licen[cs]|copyright|redistribut|public domain|copyleft"))
+    plain = plain.distinct().orderBy(F.xxhash64("p")).limit(others)
     filler = "the a and of new old see also note here file code data text part".split()
     rows = [(f, t, k % 4 == 0) for f, own in TEMPLATES.items() for p in own for k, t in enumerate([p, *[worn(p, r, filler) for _ in range(copies)]])]
     rows += [(UNKNOWN, t, k % 4 == 0) for p in NEAR_MISSES for k, t in enumerate([p, *[worn(p, r, filler) for _ in range(copies)]])]
