@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
@@ -20,15 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="voxelia-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is unset (tests, one machine) is a temporary folder made and set.
+    Only where the setting is unset (tests, one machine) is a temporary folder made, one a process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="voxelia-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
