@@ -155,3 +155,13 @@ def test_decontamination(spark):
 def test_parity_join_refuses_lower_limits(spark, percent):
     with pytest.raises(ValueError, match="75"):
         parity_join.join(frame(spark, []).where(F.lit(True)), percent)
+
+
+def kept_lines(spark, texts):
+    got = line_dedup.dedup(frame(spark, list(enumerate(texts)))).collect()
+    return {r.doc_id: r.text for r in got}
+
+
+def test_line_dedup_reads_the_ends_of_lines(spark):
+    texts = ["invoice number 482913755", "invoice number 482999001", "dear customer 123456789", "dear customer 987654321"]
+    assert kept_lines(spark, texts) == dict(enumerate(texts))

@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-Shingles of a line are character windows that begin at every word, and inside words at every WINDOW
-letters and every character beyond Latin-1, so that text without blanks is covered too. The signature
-holds the least hashes of such windows, of twice the WINDOW but in short lines (bottom-k MinHash), and each
+Shingles of a line are the character windows at every place of it. The signature
+holds the least hashes of windows that begin at every word, and inside words at every WINDOW
+letters and every character beyond Latin-1, so that text without blanks is covered too, of twice the WINDOW but in short lines (bottom-k MinHash), and each
 neighbouring pair of them is a band: two lines that have 3/4 of the signed windows in common share one of
 BANDS bands with probability 0.997, with 2/3 in common 0.98. Long lines are signed by the windows at words
 with a first letter of SIGNED, about half of them. Lines that share a band are candidates, the Jaccard
@@ -39,7 +39,9 @@ def windows(norm: Column, size: int = WINDOW, skip: str = "") -> Column:
 
 
 def shingles(norm: Column) -> Column:
-    return F.array_distinct(windows(norm))
+    """The set of windows at every character, as 64-bit hashes; of a line shorter than one, the line."""
+    found = F.when(F.char_length(norm) < WINDOW, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{WINDOW}}}))."), 1))
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
 def hashes(found: Column) -> Column:
@@ -74,15 +76,14 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def verified(each: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of percent or more. Shingles
-    are held as 64-bit hashes."""
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of percent or more."""
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     n = nodes.count()
     if n == 0:
         return pairs
     wanted = F.broadcast(nodes) if n <= BROADCAST_IDS else nodes
     text = each.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm"))
-    text = written(text.select("node", F.transform(shingles(F.col("norm")), lambda x: F.xxhash64(x)).alias("s")), "shingles")
+    text = written(text.select("node", shingles(F.col("norm")).alias("s")), "shingles")
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
