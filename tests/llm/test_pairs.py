@@ -1,5 +1,6 @@
 """Line dedup, n-gram Jaccard join and decontamination against brute force."""
 
+import random
 import re
 
 import pytest
@@ -165,3 +166,37 @@ def kept_lines(spark, texts):
 def test_line_dedup_reads_the_ends_of_lines(spark):
     texts = ["invoice number 482913755", "invoice number 482999001", "dear customer 123456789", "dear customer 987654321"]
     assert kept_lines(spark, texts) == dict(enumerate(texts))
+
+
+def test_line_dedup_links_short_lines(spark):
+    texts = ["subscribe now", "subscribe now!", "----------", "--------------", "tiny", "tiny!"]
+    assert kept_lines(spark, texts) == {0: texts[0], 1: "", 2: texts[2], 3: "", 4: "tiny", 5: "tiny!"}
+
+
+def edited(r, line, pattern):
+    """line after edits of a pattern: at an end, inside, or scattered."""
+    at = {"start": [0], "end": [len(line)], "inside": [len(line) // 2], "scattered": [len(line) // 4, len(line) // 2, 3 * len(line) // 4]}[pattern]
+    for k in reversed(at):
+        line = line[:k] + "".join(r.choices("xyz", k=2)) + line[k:]
+    return line
+
+
+def test_line_dedup_recall_by_length_and_edit_pattern(spark):
+    r, pairs = random.Random(5), []
+    grams = lambda t: {t[i : i + 10] for i in range(len(t) - 9)}
+    for size in (14, 25, 45, 70, 130, 260, 500, 1000):
+        for pattern in ("start", "end", "inside", "scattered"):
+            for _ in range(12):
+                line = "".join(r.choices("abcdefghijklmnopqrstuvw     ", k=size - 2))
+                line = f"a{line}b"
+                pairs.append((size, pattern, line, edited(r, line, pattern)))
+    got = kept_lines(spark, [t for p in pairs for t in p[2:]])
+    near, hit = {}, {}
+    for k, (size, pattern, a, b) in enumerate(pairs):
+        link = 4 * len(grams(a) & grams(b)) >= 3 * len(grams(a) | grams(b))
+        assert link or got[2 * k + 1] == b
+        if link:
+            near[size, pattern] = near.get((size, pattern), 0) + 1
+            hit[size, pattern] = hit.get((size, pattern), 0) + (got[2 * k + 1] == "")
+    assert all(hit[k] >= near[k] - 1 for k in near), (near, hit)
+    assert sum(hit.values()) >= 0.99 * sum(near.values())

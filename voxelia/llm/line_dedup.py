@@ -1,13 +1,11 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-Shingles of a line are the character windows at every place of it. The signature
-holds the least hashes of windows that begin at every word, and inside words at every WINDOW
-letters and every character beyond Latin-1, so that text without blanks is covered too, of twice the WINDOW but in short lines (bottom-k MinHash), and each
-neighbouring pair of them is a band: two lines that have 3/4 of the signed windows in common share one of
-BANDS bands with probability 0.997, with 2/3 in common 0.98. Long lines are signed by the windows at words
-with a first letter of SIGNED, about half of them. Lines that share a band are candidates, the Jaccard
-similarity of their whole sets of windows of WINDOW decides, and distributed union-find
-makes components. Of every component, the line of the smallest document id stays.
+Shingles of a line are the character windows at every place of it, and the Jaccard similarity of the sets
+of them decides. The signature holds the least hashes of the same set (bottom-k MinHash), and each
+neighbouring pair of them is a band. Each hash that two lines don't share parts one pair of neighbours at most,
+so lines of up to BANDS + 1 windows with 3/4 of them in common always share a band; longer ones share one of
+BANDS bands with probability 0.99 at that limit, and more above it. Lines that share a band are candidates,
+and distributed union-find makes components. Of every component, the line of the smallest document id stays.
 """
 
 from __future__ import annotations
@@ -17,13 +15,7 @@ from pyspark.sql import functions as F
 
 from voxelia.llm.common import classes, written
 
-WINDOW, BANDS = 10, 8
-SIGNED = "acegikmoqsuwy"
-#: Kinds of signature by length in characters, from and below. They overlap, so that two lines of which one
-#: is at most 4/3 as long as the other always have a kind in common.
-SHORT, MIDDLE, LONG = (0, 60), (45, 320), (240, None)
-#: Long lines with fewer windows at words of SIGNED also have the bands of the middle kind.
-ENOUGH = 24
+WINDOW, BANDS = 10, 10
 BROADCAST_IDS = 1_000_000
 
 
@@ -32,39 +24,27 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c")))
 
 
-def windows(norm: Column, size: int = WINDOW, skip: str = "") -> Column:
-    """The windows in order; of a line shorter than one, the line. What skip matches has no windows."""
-    step = rf"(?s){skip}(?=(.{{{size}}}))(?:[a-z\u00df-\u00ff]{{1,{size}}}|\S)\s*"
-    return F.when(F.char_length(norm) < size, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(step), 1))
+def windows(norm: Column) -> Column:
+    """The windows at every character in order; of a line shorter than one, the line."""
+    return F.when(F.char_length(norm) < WINDOW, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{WINDOW}}}))."), 1))
 
 
 def shingles(norm: Column) -> Column:
-    """The set of windows at every character, as 64-bit hashes; of a line shorter than one, the line."""
-    found = F.when(F.char_length(norm) < WINDOW, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{WINDOW}}}))."), 1))
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
-
-
-def hashes(found: Column) -> Column:
-    """The least hashes of windows in order, one more than bands; equal ones may repeat."""
-    return F.slice(F.sort_array(F.transform(found, lambda s: F.xxhash64(s))), 1, BANDS + 1)
+    """The set of windows as 64-bit hashes."""
+    return F.array_distinct(F.transform(windows(norm), lambda s: F.xxhash64(s)))
 
 
 def pairs_of(least: Column) -> Column:
-    """Band keys: hashes of neighbours among the least hashes; none for fewer than two."""
+    """Band keys: hashes of neighbours among the least hashes; of a single one, its own."""
     n = F.size(least) - 1
-    return F.when(n > 0, F.zip_with(F.slice(least, 1, n), F.slice(least, 2, n), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n > 0, F.zip_with(F.slice(least, 1, n), F.slice(least, 2, n), lambda a, b: F.xxhash64(a, b))).otherwise(least)
 
 
 def with_bands(each: DataFrame) -> DataFrame:
-    """each with keys, the band keys of norm."""
-    size, norm = F.char_length("norm"), F.col("norm")
-    found = each.withColumn("long", F.when(size >= LONG[0], windows(norm, 2 * WINDOW, rf"(?:[a-z&&[^{SIGNED}]][a-z]*+\s++)*+")))
-    found = found.withColumn("middle", F.when((size >= MIDDLE[0]) & ((size < MIDDLE[1]) | (F.size("long") < ENOUGH)), windows(norm, 2 * WINDOW)))
-    found = found.withColumn("short", F.when(size < SHORT[1], windows(norm)))
-    kinds = ("short", "middle", "long")
-    least = found.withColumns({c: F.when(F.col(c).isNotNull(), hashes(F.col(c))) for c in kinds})
-    keys = F.concat(*[F.when(F.col(c).isNotNull(), pairs_of(F.col(c))).otherwise(F.array().cast("array<bigint>")) for c in kinds])
-    return least.withColumn("keys", F.array_distinct(keys)).drop(*kinds)
+    """each with keys, the band keys of norm. A line shorter than a window is like no other, so it has none."""
+    none = F.array().cast("array<bigint>")
+    least = each.withColumn("least", F.when(F.char_length("norm") >= WINDOW, F.slice(F.sort_array(shingles(F.col("norm"))), 1, BANDS + 1)))
+    return least.withColumn("keys", F.when(F.col("least").isNull(), none).otherwise(F.array_distinct(pairs_of(F.col("least"))))).drop("least")
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
