@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelia.llm import decontaminate, line_dedup, parity_join
-from voxelia.llm.common import components
+from voxelia.llm.common import classes, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, node long, row string, keys string, a long"
 SF = "/root/testdata/sf0.001"
@@ -200,3 +200,26 @@ def test_line_dedup_recall_by_length_and_edit_pattern(spark):
             hit[size, pattern] = hit.get((size, pattern), 0) + (got[2 * k + 1] == "")
     assert all(hit[k] >= near[k] - 1 for k in near), (near, hit)
     assert sum(hit.values()) >= 0.99 * sum(near.values())
+
+
+@pytest.mark.parametrize("blocked", [False, True])
+def test_classes_leave_no_node_out_of_large_buckets(spark, blocked):
+    # node 1 shares 33 keys with a family of 30, of which only the node last in the order of pivots links to it
+    family = [r.node for r in spark.range(100, 130).select(F.col("id").alias("node")).orderBy(F.xxhash64("id")).collect()]
+    rows = [(k, n) for k in range(33) for n in [1, *family]] + [(1000 + k, 1) for k in range(79)]
+    want = (1, family[-1])
+    within = (lambda g: g.select(F.col("node").alias("a")).join(g.select(F.col("node").alias("b")), F.col("a") < F.col("b"))) if blocked else None
+    found = classes(spark.createDataFrame(rows, "key long, node long"), lambda pairs: pairs.where(F.col("a") == want[0]).where(F.col("b") == want[1]), "test", hot=24, min_shared=1, within=within)
+    assert {r.node: r.component for r in found.collect()} == {1: 1, want[1]: 1}
+
+
+def test_line_dedup_of_a_large_group_with_one_far_member(spark):
+    r = random.Random(3)
+    base = "".join(r.choices("abcdefghijklmnopqrstuvw     ", k=120))
+    texts = [f"a{base[:118]}z{''.join(r.choices('0123456789', k=40))}q" for _ in range(60)]
+    texts.append(texts[40][:-8] + "wwwwwwww")
+    grams = lambda t: {t[i : i + 10] for i in range(len(t) - 9)}
+    sets = [grams(t) for t in texts]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    assert links == [(40, 60)]
+    assert [k for k, t in kept_lines(spark, texts).items() if t == ""] == [60]

@@ -99,28 +99,26 @@ def marked(edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
     return out, (seen.get["n"], seen.get["x"])
 
 
-def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, hot: int, spare: float, enough: int, min_shared: int, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, hot: int, min_shared: int, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Classes (node, component) of nodes under verified links between nodes that share a bucket.
 
-    buckets has (key, node, of), a node once a key; of is the node's number of keys. verify takes pairs (a, b) and returns those that link.
+    buckets has (key, node), a node once a key. verify takes pairs (a, b) and returns those that link.
     First every node of a bucket is held against one member, the same in most buckets of a group, so a
-    group of any size costs as many pairs as it has nodes. Only nodes that are then still in different
-    classes are held against each other, where they share min_shared buckets. From buckets of more than
-    ``hot`` nodes, a node is left out that has ``enough`` keys and at most the share ``spare`` of them in
-    such buckets, as whatever links to it also shares some of its other buckets; any other node stays.
-    With ``within``, large buckets aren't joined with themselves: within takes (pivot, node, c), the nodes
-    that share a large bucket with a member, and returns the pairs (a, b) of different c worth verifying.
+    group of any size costs as many pairs as it has nodes; that settles buckets of two. Only nodes that are
+    then still in different classes are held against each other, where they share min_shared buckets.
+    With ``within``, buckets of more than ``hot`` nodes aren't joined with themselves: within takes
+    (pivot, node, c), the nodes that share a large bucket with a member, and returns the pairs (a, b) of
+    different c worth verifying. No node is left out of a bucket.
     """
     w = W.partitionBy("key")
-    shared = buckets.select("key", "node", "of", F.count("*").over(w).alias("n"), F.min(F.struct(F.xxhash64("node").alias("p"), "node")).over(w)["node"].alias("pivot"))
-    shared = written(shared.where("n > 1").select("key", "node", "of", "pivot"), label)
+    shared = buckets.select("key", "node", F.count("*").over(w).alias("n"), F.min(F.struct(F.xxhash64("node").alias("p"), "node")).over(w)["node"].alias("pivot"))
+    shared = written(shared.where("n > 1").select("key", "node", "pivot"), label)
     star = written(shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), label)
     links = written(verify(star), label)
     first = written(components(links, label), label)
-    own = shared.join(first, "node", "left").select("key", "node", "of", "pivot", F.coalesce("component", "node").alias("c"))
-    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
-    rest = own.join(mixed, "key").withColumn("h", F.sum(F.when(F.col("n") > hot, 1).otherwise(0)).over(W.partitionBy("node")))
-    rest = written(rest.where((F.col("n") <= hot) | (F.col("h") > spare * F.col("of")) | (F.col("of") < enough)).select("key", "node", "c", "pivot", "n"), label)
+    own = shared.join(first, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("c"))
+    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi and n > 2").select("key", "n")
+    rest = written(own.join(mixed, "key").select("key", "node", "c", "pivot", "n"), label)
     small = rest if within is None else rest.where(F.col("n") <= hot)
     other = small.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
     pairs = small.join(other, "key").where("node < b and c <> cb").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))

@@ -17,6 +17,8 @@ from voxelia.llm.common import classes, written
 
 WINDOW, BANDS = 10, 10
 BROADCAST_IDS = 1_000_000
+#: Sketches of so many 64-bit words are held against each other inside buckets, in blocks of BLOCK lines.
+SKETCH_WORDS, BLOCK = 4, 1024
 
 
 def normal(line: Column) -> Column:
@@ -69,14 +71,49 @@ def verified(each: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def sketch(found: Column) -> list[Column]:
+    """Parities: every shingle flips one bit, so two sketches differ in at most as many bits as the sets do in shingles."""
+    def flips(word: int) -> Column:
+        own = F.filter(found, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SKETCH_WORDS - 1)) == word)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [flips(k).alias(f"w{k}") for k in range(SKETCH_WORDS)]
+
+
+def close(groups: DataFrame, each: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within groups (pivot, node, c) of different c whose sketches leave room for a link.
+
+    A group is cut into blocks of about BLOCK nodes and every pair of blocks is joined under a key of its
+    own, so no task holds a group whole. Sets that link differ in at most (100 - percent) / (100 + percent)
+    of |A| + |B| shingles.
+    """
+    sizes = groups.groupBy("pivot").agg(F.count("*").alias("m"))
+    text = each.select("node", "norm").join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm"))
+    sketches = text.select("node", shingles(F.col("norm")).alias("s")).select("node", F.size("s").alias("n"), *sketch(F.col("s")))
+    rows = groups.join(sizes, "pivot").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = written(rows.join(sketches, "node").select("pivot", "node", "c", "n", "blocks", "own", *[f"w{k}" for k in range(SKETCH_WORDS)]), "blocks")
+    cols = ("node", "c", "n", *(f"w{k}" for k in range(SKETCH_WORDS)))
+    x = rows.select("pivot", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *[F.col(k).alias(f"x_{k}") for k in cols])
+    y = rows.select("pivot", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), *[F.col(k).alias(f"y_{k}") for k in cols])
+    apart = sum((F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
+    room = (100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
+    sizes_fit = (100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n"))
+    x, y = x.alias("x"), y.alias("y")
+    same = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x_node") < F.col("y_node"))
+    pairs = x.join(y, same & once & (F.col("x_c") != F.col("y_c")) & sizes_fit & room)
+    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def removed(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, numbers): which lines of each row of docs another line stands for."""
     each = lines(docs, id_col, text_col)
     signed = written(with_bands(each).select("node", "id", "row", "number", "keys"), "signed")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "number")
     nodes = written(signed.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "lines")
-    buckets = nodes.select(F.explode("keys").alias("key"), "node", F.size("keys").alias("of"))
-    found = written(classes(buckets, lambda pairs: verified(each, pairs, percent), "lines", hot=24, spare=0.35, enough=BANDS, min_shared=1), "classes")
+    buckets = nodes.select(F.explode("keys").alias("key"), "node")
+    found = written(classes(buckets, lambda pairs: verified(each, pairs, percent), "lines", hot=2, min_shared=1, within=lambda groups: close(groups, each, percent)), "classes")
     kept = nodes.select("node", "first", "n").join(found, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
     stays = kept.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).where("total > 1")
     copies = written(kept.join(stays, "component").select("node", "stays"), "copies")
