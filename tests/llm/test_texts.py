@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voxelia.llm import byte_bpe, elias_fano, html_blocks, licences, lm, quality, repair, secrets
+from voxelia.llm import byte_bpe, elias_fano, html_blocks, licences, lm, quality, queries, repair, secrets
 from voxelia.llm.common import shared_dir
 
 from .test_pairs import EDGES, LONG, frame, sample
@@ -201,3 +201,33 @@ def test_html_page_by_hand():
 
 def test_long_text_is_long():
     assert len(LONG) > 100_000
+
+
+def test_registered_language_model_holds_all_three_word_ngrams(spark, tmp_path):
+    texts = {k: t for k, t in enumerate(["a b c d", "a b d", "b c a b c", "c d a b", "d d a c b", "a b c", "b c d e", "c a b d"], 1)}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    assert 0 < sum(map(held, texts)) < len(texts)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts, train = [{}, {}, {}], [[*t.split(), "\n"] for i, t in texts.items() if not held(i)]
+    for w in train:
+        for k in range(3):
+            for at in range(len(w)):
+                own = (["\n", *w])[max(0, at + 1 - k) : at + 2]
+                if len(own) == k + 1:
+                    counts[k][tuple(own)] = counts[k].get(tuple(own), 0) + 1
+    n, v = sum(counts[0].values()), len(counts[0])
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[0].get(gram, 0) + 0.5) / (n + 0.5 * (v + 1))
+        h, own = gram[:-1], counts[len(gram) - 1]
+        of = counts[len(gram) - 2].get(h, 0)
+        after = [c for g, c in own.items() if g[:-1] == h]
+        if not after:
+            return p(gram[1:])
+        return max(own.get(gram, 0) - 0.75, 0) / of + (1 - sum(c - 0.75 for c in after) / of) * p(gram[1:])
+
+    got = {r.doc_id: r.score for r in queries.op9_lm_scores(spark, str(tmp_path)).collect()}
+    for i, t in texts.items():
+        w = ["\n", *t.split(), "\n"]
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, at - 2) : at + 1]))) for at in range(1, len(w))), abs=0.01)

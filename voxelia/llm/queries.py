@@ -48,7 +48,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs.where(lm.in_training()), order=2))
+    return lm.score(docs, lm.train(docs.where(lm.in_training()), order=3, least=1))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
