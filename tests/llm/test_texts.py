@@ -231,3 +231,20 @@ def test_registered_language_model_holds_all_three_word_ngrams(spark, tmp_path):
     for i, t in texts.items():
         w = ["\n", *t.split(), "\n"]
         assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, at - 2) : at + 1]))) for at in range(1, len(w))), abs=0.01)
+
+
+BODY = "<article><h1>The title of it</h1><p>First paragraph of this article, long enough to be read by someone.<p>Second paragraph with a few more words in it here.</article>"
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>x</title><body>", "<html><head><title>x</title><meta charset=utf-8>", "<head><script>var a</script><link rel=x href=y>\n"])
+def test_html_of_a_head_without_an_end(start):
+    text, plain = html_blocks.main_texts(html_blocks.trained(), [start + BODY, "<html><head><title>x</title></head><body>" + BODY])
+    assert text == plain and "First paragraph" in text
+
+
+def test_html_paths_hold_every_open_element_and_class():
+    deep = "<div class='a b c d e comments'>" + "<div class=item><ul><li>" * 12 + "a deep reply"
+    ((path, text, _),) = html_blocks.blocks("<body>" + deep)
+    assert text == "a deep reply" and {"body", "div.comments", "div.e", "div.item", "li"} <= set(path)
+    page = "<html><head></head><body>" + BODY + "<div class='a b c d e comments'>" + "<div><ul><li>" * 8 + "Some reply by a reader of this page."
+    assert html_blocks.main_texts(html_blocks.trained(), [page]) == html_blocks.main_texts(html_blocks.trained(), ["<html><head></head><body>" + BODY])

@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN_TAGS = frozenset("script style head title noscript template textarea svg math iframe object".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Tags that a head may hold; any other start tag closes an open head.
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: A start tag closes an open tag of these kinds (optional end tags).
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-PATH_SLOTS, WORD_SLOTS, DEPTH = 1024, 512, 10
+PATH_SLOTS, WORD_SLOTS = 16384, 512
 
 
 class Blocks(HTMLParser):
-    """Collects (path tokens, text, link share) for every leaf block with text."""
+    """Collects (path tokens, text, link share) for every leaf block with text. Path tokens are the different
+    tags, classes, ids and roles of all open elements, so nesting of like elements adds nothing."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -51,7 +54,13 @@ class Blocks(HTMLParser):
             if tag in tags:
                 return
 
+    def end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.pop({"head"})
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self.end_head()
         if tag == "br":
             self.parts.append(" ")
         if tag in BLOCK_TAGS:
@@ -64,12 +73,14 @@ class Blocks(HTMLParser):
                 self.pop({near})
         if tag in VOID_TAGS:
             return
-        names = tuple(f"{tag}.{x}" for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split()[:4])
+        names = tuple(f"{tag}.{x}" for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split())
         self.open.append((tag, names))
         self.hidden += tag in HIDDEN_TAGS
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self.end_head()
         if tag == "br":
             self.parts.append(" ")
         elif tag in BLOCK_TAGS:
@@ -82,10 +93,12 @@ class Blocks(HTMLParser):
             self.pop({tag})
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if self.hidden:
             return
         if not self.path and data.strip():
-            self.path = [x for t, names in self.open[-DEPTH:] for x in (t, *names)]
+            self.path = list(dict.fromkeys(x for t, names in self.open for x in (t, *names)))
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -222,7 +235,10 @@ def made_page(r: random.Random) -> tuple[str, list[bool]]:
         labels.append(content)
 
     def named(tag: str, names: str) -> tuple[str, str]:
-        return f'<{tag} {r.choice(["class", "id"])}="{r.choice(names.split())}">', f"</{tag}>"
+        key, name = r.choice(["class", "id"]), r.choice(names.split())
+        if key == "class" and r.random() < 0.2:
+            name = " ".join([*("".join(r.choices(SYLLABLES, k=3)) for _ in range(r.randint(1, 6))), name])
+        return f'<{tag} {key}="{name}">', f"</{tag}>"
 
     def listed(links: bool, content: bool) -> None:
         out.append("<ul>")
@@ -254,12 +270,16 @@ def made_page(r: random.Random) -> tuple[str, list[bool]]:
             names = {"ad": "ad ads advert banner sponsored promo", "side": "sidebar related widget aside", "notice": "cookie notice consent popup alert", "comments": "comments comment-list discussion replies"}[kind]
             start, end = r.choice([named("div", names), named("section", names), ("<aside>", "</aside>") if kind == "side" else named("div", names)])
             out.append(start)
+            deep = r.randint(1, 12) if r.random() < 0.3 else 0  # as in threads of replies
+            inside = r.choice(["<div>", "<ul><li>", "<div><ul><li>"])
+            out.append(inside * deep)
             if r.random() < 0.4:
                 out.append(say(2, 40))
                 labels.append(False)
             else:
                 for _ in range(r.randint(1, 4)):
                     leaf(r.choice(["p", "div", "h3"]), False, 1, 40, r.random() < 0.2)
+            out.append("".join(f"</{t}>" for t in reversed(inside[1:-1].split("><"))) * deep)
             out.append(end)
 
     out.append("<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style><script>var t=\"</p>\";</script></head><body>")
