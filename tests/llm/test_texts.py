@@ -248,3 +248,12 @@ def test_html_paths_hold_every_open_element_and_class():
     assert text == "a deep reply" and {"body", "div.comments", "div.e", "div.item", "li"} <= set(path)
     page = "<html><head></head><body>" + BODY + "<div class='a b c d e comments'>" + "<div><ul><li>" * 8 + "Some reply by a reader of this page."
     assert html_blocks.main_texts(html_blocks.trained(), [page]) == html_blocks.main_texts(html_blocks.trained(), ["<html><head></head><body>" + BODY])
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    ids = np.tile(np.arange(64, dtype=np.int32), 3000)
+    rules, body = repair.compress(ids, 100)
+    assert len(body) < 3000 and np.array_equal(repair.expand(body, rules, 100), ids)
+    assert repair.spans_of(rules, 100).max() > 64
+    pairs = np.unique(body[:-1].astype(np.int64) << 32 | body[1:], return_counts=True)[1]
+    assert (pairs < 24).all()

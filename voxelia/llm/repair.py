@@ -34,13 +34,12 @@ from pyspark.sql import functions as F
 HASH_BITS = 18
 
 
-def compress(ids: np.ndarray, base: int, min_count: int = 24, per_round: int = 4096, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(rules of shape (r, 2), body). Every round replaces the most frequent pairs, up to per_round of them."""
+def compress(ids: np.ndarray, base: int, min_count: int = 24, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(rules of shape (r, 2), body). Every round replaces the most frequent pairs, about per_round of them, until
+    no pair occurs min_count times."""
     rules: list[np.ndarray] = []
     body, following = ids.astype(np.uint32), base
-    for _ in range(rounds):
-        if len(body) < 2:
-            break
+    while len(body) >= 2:
         slot = ((body[:-1] * np.uint32(2654435761)) ^ (body[1:] * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)
         tally = np.bincount(slot, minlength=1 << HASH_BITS)
         least = max(min_count, int(np.partition(tally, -per_round)[-per_round]))
@@ -50,8 +49,15 @@ def compress(ids: np.ndarray, base: int, min_count: int = 24, per_round: int = 4
         codes = body[at].astype(np.uint64) << np.uint64(32) | body[at + 1]
         pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
         good = counts >= min_count
-        if not good.any():
-            break
+        if not good.any():  # pairs that only share a slot: look at all
+            if least == min_count:
+                break
+            codes = body[:-1].astype(np.uint64) << np.uint64(32) | body[1:]
+            at = np.arange(len(codes))
+            pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+            good = counts >= min_count
+            if not good.any():
+                break
         number = np.where(good, np.cumsum(good) - 1, -1)
         at, which = at[good[which]], number[which[good[which]]]
         # of pairs that overlap in a run of neighbours, every second one is replaced
