@@ -65,10 +65,12 @@ def verified(each: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         return pairs
     wanted = F.broadcast(nodes) if n <= BROADCAST_IDS else nodes
     text = each.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm"))
-    text = written(text.select("node", shingles(F.col("norm")).alias("s")), "shingles")
-    both = pairs.join(text.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    # texts go through the shuffles, as the hashes of their windows take eight times the room
+    text = written(text, "texts")
+    both = pairs.join(text.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
+    # one lambda holds both sets, so that each is made once a pair
+    sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
+    return both.where(F.exists(sets, lambda p: (100 + percent) * F.size(F.array_intersect(p["x"], p["y"])) >= percent * (F.size(p["x"]) + F.size(p["y"])))).select("a", "b")
 
 
 def sketch(found: Column) -> list[Column]:
