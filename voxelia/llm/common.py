@@ -99,31 +99,95 @@ def marked(edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
     return out, (seen.get["n"], seen.get["x"])
 
 
-def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, hot: int, min_shared: int, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Classes (node, component) of nodes under verified links between nodes that share a bucket.
-
-    buckets has (key, node), a node once a key. verify takes pairs (a, b) and returns those that link.
-    First every node of a bucket is held against one member, the same in most buckets of a group, so a
-    group of any size costs as many pairs as it has nodes; that settles buckets of two. Only nodes that are
-    then still in different classes are held against each other, where they share min_shared buckets.
-    With ``within``, buckets of more than ``hot`` nodes aren't joined with themselves: within takes
-    (pivot, node, c), the nodes that share a large bucket with a member, and returns the pairs (a, b) of
-    different c worth verifying. No node is left out of a bucket.
+#: Residual and whole members of a group meet in blocks of so many rows each.
+BLOCK = 2048
+
+
+def in_several(rows: DataFrame, label: str) -> DataFrame:
+    """The rows (key, ...) whose key occurs more than once, written.
+
+    Keys are counted with a map-side combine and joined back, so no task needs all rows of a key together;
+    a key of a third of all rows is split by the adaptive join.
+    """
+    counted = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    return written(rows.join(counted, "key"), label)
+
+
+def grouped(members: DataFrame, label: str) -> DataFrame:
+    """(pivot, node) of members (key, node, n), written: in every bucket of several nodes, its pivot and all nodes, pivot included.
+
+    The pivot is the node with the most copies n (then by hash), which is the same in most buckets of a
+    family: near copies are nearer to the text they come from than to one another.
+    """
+    rank = F.call_function("shiftleft", F.least("n", F.lit(32767)).cast("long"), F.lit(48)).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node"), 16))
+    pivots = members.groupBy("key").agg(F.count("*").alias("m"), F.max_by("node", rank).alias("pivot")).where("m > 1").select("key", "pivot")
+    all_ = written(members.select("key", "node").join(pivots, "key").select("pivot", "node"), label)
+    out = written(all_.distinct(), label)
+    remove(members.sparkSession, all_)
+    return out
+
+
+def near_sketches(percent: int, n_words: int, x: str = "x", y: str = "y"):
+    """The condition that two parity sketches and set sizes leave room for a similarity of percent.
+
+    Every shingle flips one bit of a sketch, so the Hamming distance is at most the symmetric difference,
+    and that is at most (100 - percent) / (100 + percent) of |A| + |B| in sets that link.
+    """
+    apart = sum((F.bit_count(F.col(f"{x}_w{k}").bitwiseXOR(F.col(f"{y}_w{k}"))) for k in range(n_words)), F.lit(0))
+    sizes = (100 * F.col(f"{x}_n") >= percent * F.col(f"{y}_n")) & (100 * F.col(f"{y}_n") >= percent * F.col(f"{x}_n"))
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col(f"{x}_n") + F.col(f"{y}_n")))
+
+
+def prefixed(df: DataFrame, prefix: str, n_words: int, *more) -> DataFrame:
+    return df.select(*more, *[F.col(c).alias(f"{prefix}_{c}") for c in ("node", "n", *(f"w{k}" for k in range(n_words)))])
+
+
+def residual_pairs(groups: DataFrame, sketches: Callable[[DataFrame], DataFrame], percent: int, n_words: int, label: str) -> DataFrame:
+    """Pairs (a, b) that still have to be verified in groups (pivot, node, c, rest).
+
+    ``rest`` marks the members whose class c isn't the pivot's. Only these are held against all members of
+    their group, so the class that the pivot has gathered is never joined with itself. Both sides are cut
+    into blocks of about BLOCK rows and each pair of blocks is joined under a key of its own; only pairs
+    whose sketches leave room for a link come out of the join.
+    """
+    sizes = groups.groupBy("pivot").agg(F.count("*").alias("m"), F.sum(F.col("rest").cast("long")).alias("r")).where("r > 0")
+    rows = groups.join(sizes, "pivot")
+    rows = rows.join(sketches(rows.select("node").distinct()), "node")
+    rows = rows.withColumn("bi", F.ceil(F.col("r") / BLOCK).cast("int")).withColumn("bj", F.ceil(F.col("m") / BLOCK).cast("int"))
+    salt = F.xxhash64("node", F.lit(1))
+    rows = written(rows.withColumn("i", F.pmod(salt, F.col("bi")).cast("int")).withColumn("j", F.pmod(salt, F.col("bj")).cast("int")).drop("m", "r"), label)
+    x = prefixed(rows.where("rest").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("bj") - 1))), "x", n_words, "pivot", "i", F.col("at").alias("j"), F.col("c").alias("x_c")).alias("x")
+    y = prefixed(rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("bi") - 1))), "y", n_words, "pivot", F.col("at").alias("i"), "j", F.col("c").alias("y_c"), F.col("rest").alias("y_rest")).alias("y")
+    same = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    open_ = (F.col("x_c") != F.col("y_c")) & (F.col("y_node") != F.col("y.pivot")) & (~F.col("y_rest") | (F.col("x_node") < F.col("y_node")))
+    pairs = x.join(y, same & open_ & near_sketches(percent, n_words)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    out = written(pairs.distinct(), label)
+    remove(groups.sparkSession, rows)
+    return out
+
+
+def classes(groups: DataFrame, sketches: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int, n_words: int, label: str, bound_first: bool = False) -> DataFrame:
+    """Classes (node, component) of nodes under verified links between members of a group.
+
+    groups has (pivot, node), as grouped() makes them; sketches takes nodes (node) and returns (node, n, w0,
+    ...), their set sizes and parity sketches; verify takes pairs (a, b) and returns those that link. First
+    every member is held against its pivot, as many pairs as members. Then residual_pairs() holds the members
+    that aren't in their pivot's class against the rest of the group. No node and no pair of different classes
+    is left out. With ``bound_first``, pairs with a pivot must pass the sketches' bound before they are verified.
     """
-    w = W.partitionBy("key")
-    shared = buckets.select("key", "node", F.count("*").over(w).alias("n"), F.min(F.struct(F.xxhash64("node").alias("p"), "node")).over(w)["node"].alias("pivot"))
-    shared = written(shared.where("n > 1").select("key", "node", "pivot"), label)
-    star = written(shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), label)
+    spark = groups.sparkSession
+    star = written(groups.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), label)
+    if bound_first:
+        own = sketches(groups.select("node").distinct())
+        both = star.join(prefixed(own, "x", n_words), F.col("a") == F.col("x_node")).join(prefixed(own, "y", n_words), F.col("b") == F.col("y_node"))
+        star = written(both.where(near_sketches(percent, n_words)).select("a", "b"), label)
     links = written(verify(star), label)
     first = written(components(links, label), label)
-    own = shared.join(first, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("c"))
-    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi and n > 2").select("key", "n")
-    rest = written(own.join(mixed, "key").select("key", "node", "c", "pivot", "n"), label)
-    small = rest if within is None else rest.where(F.col("n") <= hot)
-    other = small.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-    pairs = small.join(other, "key").where("node < b and c <> cb").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
-    pairs = pairs.where(F.col("n") >= min_shared).select("a", "b")
-    if within is not None:
-        pairs = pairs.union(within(rest.where(F.col("n") > hot).select("pivot", "node", "c").distinct())).distinct()
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    return components(links.union(verify(written(pairs, label))), label)
+    own = groups.join(first, "node", "left").withColumn("c", F.coalesce("component", "node")).select("pivot", "node", "c")
+    centre = first.select(F.col("node").alias("pivot"), F.col("component").alias("centre"))
+    own = written(own.join(centre, "pivot", "left").withColumn("rest", F.col("c") != F.coalesce("centre", "pivot")).select("pivot", "node", "c", "rest"), label)
+    pairs = residual_pairs(own, sketches, percent, n_words, label)
+    remove(spark, star, first, own)
+    more = written(verify(pairs), label)
+    remove(spark, pairs)
+    return components(links.union(more), label)

@@ -4,8 +4,9 @@ Shingles of a line are the character windows at every place of it, and the Jacca
 of them decides. The signature holds the least hashes of the same set (bottom-k MinHash), and each
 neighbouring pair of them is a band. Each hash that two lines don't share parts one pair of neighbours at most,
 so lines of up to BANDS + 1 windows with 3/4 of them in common always share a band; longer ones share one of
-BANDS bands with probability 0.99 at that limit, and more above it. Lines that share a band are candidates,
-and distributed union-find makes components. Of every component, the line of the smallest document id stays.
+BANDS bands with probability 0.99 at that limit, and more above it. Lines that share a band are candidates:
+they meet the band's pivot, and whatever isn't of the pivot's class meets the whole group (common.classes).
+Distributed union-find makes components. Of every component, the line of the smallest document id stays.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelia.llm.common import classes, written
+from voxelia.llm.common import classes, grouped, in_several, remove, written
 
-WINDOW, BANDS = 10, 10
+WINDOW, BANDS = 10, 8
 BROADCAST_IDS = 1_000_000
-#: Sketches of so many 64-bit words are held against each other inside buckets, in blocks of BLOCK lines.
-SKETCH_WORDS, BLOCK = 4, 1024
+#: Parity sketches of lines have so many 64-bit words.
+SKETCH_WORDS = 8
 
 
 def normal(line: Column) -> Column:
@@ -26,14 +27,17 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c")))
 
 
-def windows(norm: Column) -> Column:
-    """The windows at every character in order; of a line shorter than one, the line."""
-    return F.when(F.char_length(norm) < WINDOW, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{WINDOW}}}))."), 1))
+def shingles(norm: Column) -> Column:
+    """The set of windows at every character as 64-bit hashes; of a line shorter than a window, the line's.
 
+    A window is a slice of the UTF-32 form, four bytes a character, so it is cut without reading what is
+    before it. The inner lambda is bound to the encoded line, so that each line is encoded once.
+    """
+    def cut(u: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(u) - 4 * WINDOW + 1, F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(u, i, F.lit(4 * WINDOW))))
 
-def shingles(norm: Column) -> Column:
-    """The set of windows as 64-bit hashes."""
-    return F.array_distinct(F.transform(windows(norm), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(norm, "UTF-32")), cut)))
 
 
 def pairs_of(least: Column) -> Column:
@@ -50,77 +54,63 @@ def with_bands(each: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, number, norm, node): lines with a visible character; row tells rows by id and text, node equal lines."""
+    """(id, row, number, norm, node, second): lines with a visible character; row tells rows by id and text.
+
+    node is a hash of norm, second another one: lines are only taken as equal where both are.
+    """
     # the text's hash is taken below the generator, so that no line carries its whole text along
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.split(text_col, "\n").alias("parts"))
     each = rows.select("id", "row", F.posexplode("parts").alias("number", "line")).select("id", "row", "number", normal(F.col("line")).alias("norm")).where(F.col("norm") != "")
-    return each.withColumn("node", F.xxhash64("norm"))
+    return each.select("*", F.xxhash64("norm").alias("node"), F.xxhash64(F.lit(WINDOW), "norm").alias("second"))
 
 
-def verified(each: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of percent or more."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+def texts_of(each: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, norm) of the nodes, written. Texts go through the shuffles, as the hashes of their windows take eight times the room."""
     n = nodes.count()
-    if n == 0:
-        return pairs
     wanted = F.broadcast(nodes) if n <= BROADCAST_IDS else nodes
-    text = each.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm"))
-    # texts go through the shuffles, as the hashes of their windows take eight times the room
-    text = written(text, "texts")
+    return written(each.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm")), "texts")
+
+
+def verified(text: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of percent or more."""
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
     # one lambda holds both sets, so that each is made once a pair
     sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
     return both.where(F.exists(sets, lambda p: (100 + percent) * F.size(F.array_intersect(p["x"], p["y"])) >= percent * (F.size(p["x"]) + F.size(p["y"])))).select("a", "b")
 
 
-def sketch(found: Column) -> list[Column]:
-    """Parities: every shingle flips one bit, so two sketches differ in at most as many bits as the sets do in shingles."""
-    def flips(word: int) -> Column:
+def sketched(text: DataFrame) -> DataFrame:
+    """(node, n, w0, ...): the number of shingles and their parities, every shingle flipping one bit."""
+    def flips(found: Column, word: int) -> Column:
         own = F.filter(found, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SKETCH_WORDS - 1)) == word)
         return F.aggregate(own, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
-    return [flips(k).alias(f"w{k}") for k in range(SKETCH_WORDS)]
-
-
-def close(groups: DataFrame, each: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within groups (pivot, node, c) of different c whose sketches leave room for a link.
-
-    A group is cut into blocks of about BLOCK nodes and every pair of blocks is joined under a key of its
-    own, so no task holds a group whole. Sets that link differ in at most (100 - percent) / (100 + percent)
-    of |A| + |B| shingles.
-    """
-    sizes = groups.groupBy("pivot").agg(F.count("*").alias("m"))
-    text = each.select("node", "norm").join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm"))
-    sketches = text.select("node", shingles(F.col("norm")).alias("s")).select("node", F.size("s").alias("n"), *sketch(F.col("s")))
-    rows = groups.join(sizes, "pivot").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    rows = written(rows.join(sketches, "node").select("pivot", "node", "c", "n", "blocks", "own", *[f"w{k}" for k in range(SKETCH_WORDS)]), "blocks")
-    cols = ("node", "c", "n", *(f"w{k}" for k in range(SKETCH_WORDS)))
-    x = rows.select("pivot", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *[F.col(k).alias(f"x_{k}") for k in cols])
-    y = rows.select("pivot", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), *[F.col(k).alias(f"y_{k}") for k in cols])
-    apart = sum((F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
-    room = (100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
-    sizes_fit = (100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n"))
-    x, y = x.alias("x"), y.alias("y")
-    same = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    once = (F.col("x.i") < F.col("x.j")) | (F.col("x_node") < F.col("y_node"))
-    pairs = x.join(y, same & once & (F.col("x_c") != F.col("y_c")) & sizes_fit & room)
-    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    # bound by a lambda, so that the set is made once a line
+    all_ = F.transform(F.array(shingles(F.col("norm"))), lambda s: F.struct(F.size(s).alias("n"), *[flips(s, k).alias(f"w{k}") for k in range(SKETCH_WORDS)]))
+    return text.select("node", F.explode(all_).alias("s")).select("node", "s.*")
 
 
 def removed(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, numbers): which lines of each row of docs another line stands for."""
+    """(id, row, numbers): which lines of each row of docs another line stands for."""
+    spark = docs.sparkSession
     each = lines(docs, id_col, text_col)
-    signed = written(with_bands(each).select("node", "id", "row", "number", "keys"), "signed")
+    signed = written(with_bands(each).select("node", "second", "id", "row", "number", "keys"), "signed")
+    shared = in_several(signed.select(F.explode("keys").alias("key"), "node"), "shared")
+    members = written(shared.groupBy("key", "node").agg(F.count("*").alias("n")), "members")
+    groups = grouped(members, "groups")
+    text = texts_of(each, written(groups.select("node").distinct(), "nodes"))
+    found = written(classes(groups, lambda nodes: sketched(text.join(nodes, "node", "left_semi")), lambda pairs: verified(text, pairs, percent), percent, SKETCH_WORDS, "links"), "classes")
+    remove(spark, shared, members, groups, text)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "number")
-    nodes = written(signed.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "lines")
-    buckets = nodes.select(F.explode("keys").alias("key"), "node")
-    found = written(classes(buckets, lambda pairs: verified(each, pairs, percent), "lines", hot=2, min_shared=1, within=lambda groups: close(groups, each, percent)), "classes")
-    kept = nodes.select("node", "first", "n").join(found, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
+    # a node's lines are equal to the one with the least second hash, or else they are left alone
+    nodes = written(signed.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("second").alias("second")), "lines")
+    kept = nodes.join(found, "node", "left").select("node", "second", "first", "n", F.coalesce("component", "node").alias("component"))
     stays = kept.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).where("total > 1")
-    copies = written(kept.join(stays, "component").select("node", "stays"), "copies")
-    gone = signed.select("node", "row", "number", place.alias("place")).join(copies, "node").where(~F.col("place").eqNullSafe(F.col("stays")))
-    return written(gone.groupBy("row").agg(F.collect_set("number").alias("numbers")), "gone")
+    copies = written(kept.join(stays, "component").select("node", "second", "stays"), "copies")
+    gone = signed.select("node", "second", "id", "row", "number", place.alias("place")).join(copies, ["node", "second"]).where(~F.col("place").eqNullSafe(F.col("stays")))
+    out = written(gone.groupBy("id", "row").agg(F.collect_set("number").alias("numbers")), "gone")
+    remove(spark, signed, found, nodes, copies)
+    return out
 
 
 def dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,16 +121,17 @@ def dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col:
     without a visible character stay where they are and aren't counted. A null text stays null, with no
     lines. Rows equal in id and text get the same result. All rows and other columns stay as they are,
     but n_lines and n_removed are replaced if docs has them. An empty table gives an empty table.
+    Lines shorter than a window of 10 characters link with equal lines only. Lines of any length are read whole.
     """
-    gone = removed(docs, percent, id_col, text_col).select(F.col("row").alias("__row"), F.col("numbers").alias("__numbers"))
+    gone = removed(docs, percent, id_col, text_col).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("numbers").alias("__numbers"))
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__numbers")), F.lit(0))).first()
     gone = F.broadcast(gone) if rows + numbers <= BROADCAST_IDS else gone
-    all_ = docs.withColumn("__own", F.xxhash64(id_col, text_col)).join(gone, F.col("__own") == F.col("__row"), "left")
+    all_ = docs.withColumn("__own", F.xxhash64(id_col, text_col)).join(gone, (F.col("__own") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
     parts = F.split(text_col, "\n")
     none = F.col("__numbers").isNull()
     text = F.when(none, F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__numbers", i)), "\n"))
-    visible = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long")
+    visible = F.coalesce(F.size(F.filter(parts, lambda x: normal(x) != "")), F.lit(0)).cast("long")
     numbered = all_.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(visible))
     numbered = numbered.withColumn("n_removed", F.coalesce(F.size("__numbers"), F.lit(0)).cast("long"))
     numbered = numbered.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).withColumn(text_col, text)
-    return numbered.drop("__own", "__row", "__numbers")
+    return numbered.drop("__own", "__row", "__id", "__numbers")
