@@ -19,7 +19,7 @@ from voxelia.llm.common import classes, grouped, in_several, remove, written
 WINDOW, BANDS = 10, 8
 BROADCAST_IDS = 1_000_000
 #: Parity sketches of lines have so many 64-bit words.
-SKETCH_WORDS = 8
+SKETCH_WORDS = 32
 
 
 def normal(line: Column) -> Column:
@@ -27,8 +27,8 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c")))
 
 
-def shingles(norm: Column) -> Column:
-    """The set of windows at every character as 64-bit hashes; of a line shorter than a window, the line's.
+def windows(norm: Column) -> Column:
+    """64-bit hashes of the windows at every character; of a line shorter than a window, the line's.
 
     A window is a slice of the UTF-32 form, four bytes a character, so it is cut without reading what is
     before it. The inner lambda is bound to the encoded line, so that each line is encoded once.
@@ -37,7 +37,12 @@ def shingles(norm: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.octet_length(u) - 4 * WINDOW + 1, F.lit(1)), F.lit(4))
         return F.transform(starts, lambda i: F.xxhash64(F.substring(u, i, F.lit(4 * WINDOW))))
 
-    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(norm, "UTF-32")), cut)))
+    return F.transform(F.array(F.encode(norm, "UTF-32")), cut)[0]
+
+
+def shingles(norm: Column) -> Column:
+    """The set of windows."""
+    return F.array_distinct(windows(norm))
 
 
 def pairs_of(least: Column) -> Column:
@@ -47,10 +52,15 @@ def pairs_of(least: Column) -> Column:
 
 
 def with_bands(each: DataFrame) -> DataFrame:
-    """each with keys, the band keys of norm. A line shorter than a window is like no other, so it has none."""
-    none = F.array().cast("array<bigint>")
-    least = each.withColumn("least", F.when(F.char_length("norm") >= WINDOW, F.slice(F.sort_array(shingles(F.col("norm"))), 1, BANDS + 1)))
-    return least.withColumn("keys", F.when(F.col("least").isNull(), none).otherwise(F.array_distinct(pairs_of(F.col("least"))))).drop("least")
+    """each with keys, the band keys of norm. A line shorter than a window is like no other, so it has none.
+
+    The least hashes are taken from the front of the sorted windows; only where so few of these differ are all of them made distinct.
+    """
+    most, none = 4 * (BANDS + 1), F.array().cast("array<bigint>")
+    sorted_ = each.withColumn("s", F.when(F.char_length("norm") >= WINDOW, F.sort_array(windows(F.col("norm"))))).withColumn("least", F.array_distinct(F.slice("s", 1, most)))
+    whole = (F.size("least") > BANDS) | (F.size("s") <= most)
+    least = sorted_.withColumn("least", F.slice(F.when(whole, F.col("least")).otherwise(F.array_distinct("s")), 1, BANDS + 1))
+    return least.select(*each.columns, F.coalesce(F.array_distinct(pairs_of(F.col("least"))), none).alias("keys"))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,10 +75,17 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def texts_of(each: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, norm) of the nodes, written. Texts go through the shuffles, as the hashes of their windows take eight times the room."""
-    n = nodes.count()
-    wanted = F.broadcast(nodes) if n <= BROADCAST_IDS else nodes
-    return written(each.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm")), "texts")
+    """(node, norm, n) of the nodes, n the size of the set, written. Texts go through the shuffles, as the hashes of their windows take eight times the room."""
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    text = each.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm"))
+    return written(text.withColumn("n", F.size(shingles(F.col("norm")))), "texts")
+
+
+def by_size(shared: DataFrame, text: DataFrame) -> DataFrame:
+    """shared (key, node) under keys of a size class: sizes of a pair that links are within 4/3, in one class or in neighbours, so each has two."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
+    both = shared.join(text.select("node", "n"), "node").select("key", "node", F.explode(F.array(size, size + 1)).alias("size"))
+    return both.groupBy(F.xxhash64("key", "size").alias("key"), "node").agg(F.count("*").alias("n"))
 
 
 def verified(text: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -81,13 +98,11 @@ def verified(text: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def sketched(text: DataFrame) -> DataFrame:
     """(node, n, w0, ...): the number of shingles and their parities, every shingle flipping one bit."""
-    def flips(found: Column, word: int) -> Column:
-        own = F.filter(found, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SKETCH_WORDS - 1)) == word)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-
-    # bound by a lambda, so that the set is made once a line
-    all_ = F.transform(F.array(shingles(F.col("norm"))), lambda s: F.struct(F.size(s).alias("n"), *[flips(s, k).alias(f"w{k}") for k in range(SKETCH_WORDS)]))
-    return text.select("node", F.explode(all_).alias("s")).select("node", "s.*")
+    each = text.select("node", "n", F.explode(shingles(F.col("norm"))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SKETCH_WORDS - 1))
+    each = each.select("node", "n", bit.alias("bit"), word.alias("word"))
+    return each.groupBy("node", "n").agg(*[F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(SKETCH_WORDS)])
 
 
 def removed(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,9 +111,12 @@ def removed(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col
     each = lines(docs, id_col, text_col)
     signed = written(with_bands(each).select("node", "second", "id", "row", "number", "keys"), "signed")
     shared = in_several(signed.select(F.explode("keys").alias("key"), "node"), "shared")
-    members = written(shared.groupBy("key", "node").agg(F.count("*").alias("n")), "members")
+    # a key of one line alone, however often, needs no text
+    several = shared.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    shared = written(shared.join(several, "key"), "shared")
+    text = texts_of(each, written(shared.select("node").distinct(), "nodes"))
+    members = written(by_size(shared, text), "members")
     groups = grouped(members, "groups")
-    text = texts_of(each, written(groups.select("node").distinct(), "nodes"))
     found = written(classes(groups, lambda nodes: sketched(text.join(nodes, "node", "left_semi")), lambda pairs: verified(text, pairs, percent), percent, SKETCH_WORDS, "links"), "classes")
     remove(spark, shared, members, groups, text)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "number")
