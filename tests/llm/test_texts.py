@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,6 +90,44 @@ def test_token_files(spark, docs):
     assert repair.read_token_files(spark, folder).count() == 0
 
 
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 600_000 + " \u3000" * 300_000, "a" * 1_000_000, "-" * 1_000_000, "中" * 300_000])
+def test_byte_bpe_of_long_runs(spark, run):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    (got,) = byte_bpe.encode(spark.createDataFrame([(1, f"x{run}y 7")], "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()
+    assert bytes(got.decoded).decode() == f"x{run}y 7"
+    plain, whole = byte_bpe.encoder(path, public_tokenizers.PATTERN)
+    if run.isspace():
+        assert got.ids == plain.encode_ordinary("x") + whole.encode_ordinary(run[:-1]) + plain.encode_ordinary(run[-1] + "y 7")
+        short = f"x{run[:20_000]}{run[-20_000:]}y 7"
+        assert [i for p, one in byte_bpe.pieces(short, 100) for i in (whole if one else plain).encode_ordinary(p)] == plain.encode_ordinary(short)
+
+
+def test_special_strings_as_the_plain_tokenizer_has_them():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a<|endoftext|>b", "<|startoftext|>", "x <|endoftext|> y", "<|endoftext |>", "Don't<|endoftext|>'s é"]
+    flat, sizes = repair.ChunkEncoder(path)(pa.array(texts))
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.parametrize("around", ["<div id=main><div>{}</div></div>", "<div>{}</div>", "<div class='x'><section>{}</section></div>"])
+def test_html_of_an_article_in_plain_divs(around):
+    body = "".join(f"<p>Paragraph {k} of the article, which says this and that at some length, where <math><mi>n</mi></math> is small.</p>" for k in range(4))
+    page = "<html><head></head><body><nav><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul></nav>" + around.format(body) + "<footer><p>Contact us</p></footer></body></html>"
+    (text,) = html_blocks.main_texts(html_blocks.trained(), [page])
+    assert text == "\n".join(f"Paragraph {k} of the article, which says this and that at some length, where n is small." for k in range(4))
+
+
+def test_html_of_many_unclosed_elements():
+    import time
+
+    began = time.time()
+    assert html_blocks.blocks("<p>" + "<b>" * 20_000 + "text</p>" + "</i>" * 20_000)[0][1] == "text"
+    assert time.time() - began < 10
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=400), st.data())
 def test_repair_round_trip(ids, data):

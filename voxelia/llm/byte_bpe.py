@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Between a letter or digit and one space that a letter or digit follows, no match of the pre-splitting
 #: pattern goes on: white space is only taken at the front of a match.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?= [\p{L}\p{N}])")
+#: A long run of white space is one match of the pattern, but for its last character where something follows.
+#: The library's regex engine backtracks through such a run and runs out of stack at about a million characters.
+BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}+")
 
 
 @lru_cache(maxsize=4)
@@ -29,11 +32,23 @@ def encoder(rank_path: str, pattern: str):
         for line in f:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, longest: int) -> Iterator[str]:
-    """text cut at safe boundaries, each piece the shortest possible of at least longest characters."""
+def pieces(text: str, longest: int) -> Iterator[tuple[str, bool]]:
+    """(piece, is it one match of the pattern): text cut around long white space, and else at safe boundaries,
+    each piece the shortest possible of at least longest characters."""
+    at = 0
+    if len(text) > longest:
+        for run in BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            yield from ((p, False) for p in between(text[at : run.start()], longest))
+            yield text[run.start() : end], True
+            at = end
+    yield from ((p, False) for p in between(text[at:] if at else text, longest))
+
+
+def between(text: str, longest: int) -> Iterator[str]:
     at = 0
     while len(text) - at > longest:
         cut = SAFE.search(text, at + longest)
@@ -48,22 +63,22 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     """(id_col, ids array<int>, decoded binary): one row per input row.
 
     A null text counts as empty: no ids, no bytes. Very long texts are cut at safe boundaries, which
-    never changes the ids. Repeated rows and null ids are kept as they are; other columns are dropped,
+    never changes the ids; a long run of white space is encoded as the one match that it is. Repeated rows and null ids are kept as they are; other columns are dropped,
     so clashing names do no harm; an empty table gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(rank_path, pattern)
+        enc, whole = encoder(rank_path, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 ids, raw = [], []
                 for text in part.column(1):
                     own: list[int] = []
-                    for piece in pieces(text.as_py() or "", longest):
-                        own += enc.encode_ordinary(piece)
+                    for piece, one in pieces(text.as_py() or "", longest):
+                        own += (whole if one else enc).encode_ordinary(piece)
                     ids.append(pa.array(own, pa.int32()))
                     raw.append(enc.decode_bytes(own))
                 offsets = pa.array([0, *map(len, ids)], pa.int64())

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 
 #: Tags that end a block of text, tags whose text is never shown, tags without an end tag.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-HIDDEN_TAGS = frozenset("script style head title noscript template textarea svg math iframe object".split())
+HIDDEN_TAGS = frozenset("script style head title noscript template textarea svg iframe object".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Tags that a head may hold; any other start tag closes an open head.
 HEAD_TAGS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
@@ -35,6 +36,7 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.found: list[tuple[list[str], str, float]] = []
         self.parts: list[str] = []
         self.linked = self.hidden = self.links = 0
@@ -49,6 +51,7 @@ class Blocks(HTMLParser):
     def pop(self, tags) -> None:
         while self.open:
             tag, _ = self.open.pop()
+            self.count[tag] -= 1
             self.hidden -= tag in HIDDEN_TAGS
             self.links -= tag == "a"
             if tag in tags:
@@ -75,6 +78,7 @@ class Blocks(HTMLParser):
             return
         names = tuple(f"{tag}.{x}" for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split())
         self.open.append((tag, names))
+        self.count[tag] += 1
         self.hidden += tag in HIDDEN_TAGS
         self.links += tag == "a"
 
@@ -89,7 +93,7 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
-        if any(t == tag for t, _ in self.open):
+        if self.count[tag]:
             self.pop({tag})
 
     def handle_data(self, data):
@@ -98,7 +102,7 @@ class Blocks(HTMLParser):
         if self.hidden:
             return
         if not self.path and data.strip():
-            self.path = list(dict.fromkeys(x for t, names in self.open for x in (t, *names)))
+            self.path = list(dict.fromkeys(x for own in dict.fromkeys(self.open) for x in (own[0], *own[1])))
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -151,8 +155,8 @@ class Labeller:
         word = bag(self.w["word"], words) / np.sqrt([len(x) for x in words])[:, None]
         return np.concatenate([bag(self.w["path"], paths) / 3, word, numbers], 1)
 
-    def scan(self, x: np.ndarray, mask: np.ndarray, side: str):
-        """x: (batch, time, in). Hidden states and what the way back needs."""
+    def scan(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool):
+        """x: (batch, time, in). Hidden states and, with keep, what the way back needs."""
         n, t, _ = x.shape
         h = c = np.zeros((n, self.w[f"h{side}"].shape[0]))
         given = x @ self.w[f"x{side}"] + self.w[f"c{side}"]
@@ -163,24 +167,25 @@ class Labeller:
             m = mask[:, k, None]
             new_c = np.where(m, f * c + i * g, c)
             new_h = np.where(m, o * np.tanh(new_c), h)
-            kept.append((k, h, c, i, f, o, g, new_c, m))
+            if keep:
+                kept.append((k, h, c, i, f, o, g, new_c, m))
             h, c = new_h, new_c
             states[:, k] = h
         return states, kept
 
-    def forward(self, pages: list):
+    def forward(self, pages: list, keep: bool = False):
         xs = [self.vectors(p) for p in pages]
         t = max(map(len, xs))
         x, mask = np.zeros((len(xs), t, xs[0].shape[1])), np.zeros((len(xs), t), bool)
         for k, v in enumerate(xs):
             x[k, : len(v)], mask[k, : len(v)] = v, True
-        forth, kept_f = self.scan(x, mask, "f")
-        back, kept_b = self.scan(x, mask, "b")
+        forth, kept_f = self.scan(x, mask, "f", keep)
+        back, kept_b = self.scan(x, mask, "b", keep)
         joint = np.concatenate([forth, back, x], 2)
         return sigmoid(joint @ self.w["out"] + self.w["bias"]), (x, mask, joint, kept_f, kept_b)
 
     def gradients(self, pages: list, labels: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
-        p, (x, mask, joint, kept_f, kept_b) = self.forward(pages)
+        p, (x, mask, joint, kept_f, kept_b) = self.forward(pages, True)
         y = np.zeros_like(p)
         for k, v in enumerate(labels):
             y[k, : len(v)] = v
@@ -285,7 +290,10 @@ def made_page(r: random.Random) -> tuple[str, list[bool]]:
     out.append("<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style><script>var t=\"</p>\";</script></head><body>")
     for _ in range(r.randint(0, 4)):
         noise()
-    start, end = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), named("div", "content post article entry main-content post-body story"), named("section", "article-body content"), ("<main><article>", "</article></main>")])
+    start, end = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), named("div", "content post article entry main-content post-body story"), named("section", "article-body content"), ("<main><article>", "</article></main>"), named("div", "main page-body text container"), ("<div><div>", "</div></div>"), ("<section>", "</section>"), ("<div><section>", "</section></div>"), named("section", "".join(r.choices(SYLLABLES, k=2))), named("div", "".join(r.choices(SYLLABLES, k=2)))])
+    if r.random() < 0.15:
+        wrap = named("div", "main page wrap wrapper container")
+        start, end = wrap[0] + start, end + wrap[1]
     if r.random() < 0.97:
         out.append(start)
         if r.random() < 0.8:

@@ -114,9 +114,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # special strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 #: Letters below U+0250 that lower-casing and normal form C keep one to one.
