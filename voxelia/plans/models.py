@@ -1 +1,152 @@
-"""."""
+"""Queries on the data side of models and of the viewer: schedules, losses, hierarchical labels, reports."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from voxelia import carriers as C
+from voxelia.carriers import CTE, rounded
+from voxelia.operators import sections as S
+from voxelia.plans.sections import CENTRES, ELL, VALUES
+from voxelia.registry import query
+
+#: Second-level centres of each first-level label.
+SECOND = {0: [300.0, 600.0], 1: [1300.0, 1500.0, 1700.0], 2: [2500.0, 3500.0]}
+
+
+@query("SELECT step, round(CASE WHEN step < 100 THEN 0.0005 * step / 99 ELSE 0.00001 + 0.5 * (0.0005 - 0.00001) * (1 + cos(pi() * (step - 100) / 900)) END, 10) AS rate FROM range(1000) t(step)")
+def cosine_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear warm-up over 100 steps to 0.0005, then half a cosine down to 0.00001."""
+    step = F.col("id")
+    fall = 0.00001 + 0.5 * (0.0005 - 0.00001) * (1 + F.cos(math.pi * (step - 100) / 900))
+    return spark.range(1000).select(step.alias("step"), F.round(F.when(step < 100, 0.0005 * step / 99).otherwise(fall), 10).alias("rate"))
+
+
+@query(f"WITH {CTE['vox']}, p AS (SELECT a.z, a.y, a.x, a.v AS o, b.v AS l, (a.y BETWEEN 4 AND 11 AND a.x BETWEEN 4 AND 11)::INT AS mask FROM vox a JOIN vox b USING (z, y, x) WHERE a.scan = 0 AND b.scan = 1) SELECT z, round(avg((o - l) ** 2 * (1.25 - mask)), 4) AS loss FROM p GROUP BY z")
+def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of squared differences, weighted by w less the mask of the inner window, w = (8 / 16)^2 + 1."""
+    both = C.vox(spark, sf_dir).groupBy("z", "y", "x").agg(F.max(F.when(F.col("scan") == 0, F.col("v"))).alias("o"), F.max(F.when(F.col("scan") == 1, F.col("v"))).alias("l"))
+    mask = (F.col("y").between(4, 11) & F.col("x").between(4, 11)).cast("int")
+    return both.groupBy("z").agg(F.round(F.avg((F.col("o") - F.col("l")) ** 2 * (1.25 - mask)), 4).alias("loss"))
+
+
+FIRST = f"WITH {CTE['vox']}, c(label, place, spread) AS (VALUES {VALUES}), f AS (SELECT v.*, label FROM vox v CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY scan, z, y, x ORDER BY abs(v - place), label) = 1)"
+OFFSETS = {k: sum(len(SECOND[j]) for j in SECOND if j < k) for k in SECOND}
+SECOND_SQL = ", ".join(f"({k}, {OFFSETS[k] + i}, {p})" for k, own in SECOND.items() for i, p in enumerate(own))
+
+
+def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vox with label, the nearest first-level centre, and full, the number of the nearest centre below it among those of all labels."""
+    first = S.nearest_centre(C.vox(spark, sf_dir), CENTRES)
+    best = [F.least(*[F.struct(F.abs(F.col("v") - p).alias("d"), F.lit(OFFSETS[k] + i).alias("i")) for i, p in enumerate(own)])["i"] for k, own in SECOND.items()]
+    full = F.coalesce(*[F.when(F.col("label") == k, b) for k, b in zip(SECOND, best, strict=True)], F.lit(-1))
+    return first.withColumn("full", full.cast("long")).withColumn("label", F.col("label").cast("long"))
+
+
+@query(FIRST + f", s(label, full_, place) AS (VALUES {SECOND_SQL}) SELECT scan, z, y, x, f.label::BIGINT AS label, s.full_::BIGINT AS \"full\" FROM f JOIN s USING (label) QUALIFY row_number() OVER (PARTITION BY scan, z, y, x ORDER BY abs(v - s.place), full_) = 1")
+def hierarchical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchical(spark, sf_dir).select("scan", "z", "y", "x", "label", "full")
+
+
+@query(FIRST + f", s(label, full_, place) AS (VALUES {SECOND_SQL}) SELECT scan, z, y, x, CASE WHEN v < 500 OR f.label <> 1 THEN -1 ELSE s.full_ END::BIGINT AS label FROM f JOIN s USING (label) QUALIFY row_number() OVER (PARTITION BY scan, z, y, x ORDER BY abs(v - s.place), full_) = 1")
+def label_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sub-structure of class 1, -1 outside it and below the threshold of 500."""
+    label = F.when((F.col("v") < 500) | (F.col("label") != 1), -1).otherwise(F.col("full"))
+    return hierarchical(spark, sf_dir).select("scan", "z", "y", "x", label.cast("long").alias("label"))
+
+
+@query(f"WITH {CTE['vox']}, c(label, place, spread) AS (VALUES {VALUES}) SELECT scan, z, y, x, label::BIGINT AS label, round(exp(-abs(v - place) / (1e-7 + spread)), 6) AS p FROM vox CROSS JOIN c")
+def probability_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The membership of every voxel in every class; the centres are a constant and need no join."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("label"), F.round(F.exp(-F.abs(F.col("v") - p) / (1e-7 + s)), 6).alias("p")) for k, p, s in CENTRES]))
+    return C.vox(spark, sf_dir).select("scan", "z", "y", "x", each.alias("e")).select("scan", "z", "y", "x", "e.label", "e.p")
+
+
+@query(ELL + " SELECT id FROM lifted WHERE area BETWEEN 20 AND 2000 AND short / long >= 0.5 AND long BETWEEN 4 AND 60 AND sqrt((cx - 18) ** 2 + (cy - 20) ** 2) <= 10")
+def ellipse_sieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ellipses of fitting area, shape and length whose centre is within 10 of the place looked at."""
+    fits = F.col("area").between(20, 2000) & (F.col("short") / F.col("long") >= 0.5) & F.col("long").between(4, 60)
+    return S.lifted(C.ell(spark, sf_dir)).where(fits & (F.sqrt((F.col("cx") - 18) ** 2 + (F.col("cy") - 20) ** 2) <= 10)).select("id")
+
+
+def ellipsoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scan, class, c0, c1, c2, size, volume, keep): ellipses of a class and scan taken as one body."""
+    e = S.lifted(C.ell(spark, sf_dir))
+    on = lambda f, c, k: f(F.when(F.col("axis") == k, F.col(c)))
+    g = e.groupBy("scan", "class").agg(
+        *[F.avg(c).alias(c) for c in ("c0", "c1", "c2")], *[on(F.countDistinct, "layer", k).cast("double").alias(f"s{k}") for k in range(3)],
+        *[on(F.sum, "area", k).alias(f"v{k}") for k in range(3)], F.min(F.col("short") / F.col("long")).alias("ratio"))
+    sizes = F.sort_array(F.array("s0", "s1", "s2"))
+    g = g.withColumn("size", sizes[2]).withColumn("volume", F.greatest("v0", "v1", "v2"))
+    return g.withColumn("keep", (F.col("size") > 0) & ((sizes[1] / F.col("size") > 0.6) | (F.sqrt("ratio") > 0.5)))
+
+
+BODIES = ELL + ", b AS (SELECT scan, class, avg(c0) AS c0, avg(c1) AS c1, avg(c2) AS c2, list_sort([" + ", ".join(f"count(DISTINCT layer) FILTER (axis = {k})" for k in range(3)) + "])::DOUBLE[] AS s, greatest(" + ", ".join(f"sum(area) FILTER (axis = {k})" for k in range(3)) + ") AS volume, min(short / long) AS ratio FROM lifted GROUP BY scan, class)"
+
+
+@query(BODIES + " SELECT scan, class, round(c0, 4) + 0.0 AS c0, round(c1, 4) + 0.0 AS c1, round(c2, 4) + 0.0 AS c2, s[3] AS size, round(volume, 2) AS volume, s[3] > 0 AND (s[2] / s[3] > 0.6 OR sqrt(ratio) > 0.5) AS keep FROM b")
+def ellipsoid_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ellipsoids(spark, sf_dir).select("scan", "class", *[rounded(c, 4).alias(c) for c in ("c0", "c1", "c2")], "size", F.round("volume", 2).alias("volume"), "keep")
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, scan, class, centre): the bodies, of which there are as many as scans and classes, largest first."""
+    place = F.row_number().over(W.orderBy("scan", F.desc(F.round("volume", 2)), "class")) - 1
+    centre = F.format_string("[%.2f %.2f %.2f]", F.round("c0", 2), F.round("c1", 2), F.round("c2", 2))
+    return ellipsoids(spark, sf_dir).select(place.cast("long").alias("id"), "scan", "class", centre.alias("centre"))
+
+
+REPORT = BODIES + ", report AS (SELECT row_number() OVER (ORDER BY scan, round(volume, 2) DESC, class) - 1 AS id, scan, class, printf('[%.2f %.2f %.2f]', round(c0, 2), round(c1, 2), round(c2, 2)) AS centre FROM b)"
+
+
+@query(REPORT + " SELECT * FROM report")
+def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir)
+
+
+@query(REPORT + ", p AS (SELECT id, list_filter(string_split(trim(centre, '[]'), ' '), lambda t: t <> '') AS t FROM report) SELECT id, round(t[1]::DOUBLE)::BIGINT AS c0, round(t[2]::DOUBLE)::BIGINT AS c1, round(t[3]::DOUBLE)::BIGINT AS c2 FROM p")
+def centre_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's centres read back from their text."""
+    parts = F.filter(F.split(F.trim("centre", F.lit("[]")), " "), lambda t: t != "")
+    return report(spark, sf_dir).select("id", parts.alias("t")).select("id", *[F.round(F.col("t")[k].cast("double")).cast("long").alias(f"c{k}") for k in range(3)])
+
+
+@query(ELL + ", o AS (SELECT scan, layer + d AS k, id, abs(d) AS far FROM lifted CROSS JOIN range(-2, 3) t(d) WHERE axis = 2) SELECT scan, k, arg_min(id, (far, id)) AS id, min(far) AS far FROM o GROUP BY scan, k")
+def nearest_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each slice, the ellipse of the axial plane on the nearest slice within two: a join by offset, not by range."""
+    o = S.lifted(C.ell(spark, sf_dir)).where("axis = 2").select("scan", "layer", "id", F.explode(F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long"))).alias("d"))
+    best = o.groupBy("scan", (F.col("layer") + F.col("d")).alias("k")).agg(F.min(F.struct(F.abs("d").alias("far"), F.col("id").alias("id"))).alias("m"))
+    return best.select("scan", "k", F.col("m.id").alias("id"), F.col("m.far").alias("far"))
+
+
+AWAY = "sqrt((c0 - 10) ** 2 + (c1 - 20) ** 2 + (c2 - 15) ** 2)"
+
+
+@query(ELL + f" SELECT class, id, round({AWAY}, 6) AS away FROM lifted QUALIFY row_number() OVER (PARTITION BY class ORDER BY {AWAY}, id) <= 5")
+def nearest_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five ellipses of each class nearest to a place (a top-k report)."""
+    away = F.sqrt((F.col("c0") - 10) ** 2 + (F.col("c1") - 20) ** 2 + (F.col("c2") - 15) ** 2)
+    e = S.lifted(C.ell(spark, sf_dir)).withColumn("away", away)
+    return e.withColumn("k", F.row_number().over(W.partitionBy("class").orderBy("away", "id"))).where("k <= 5").select("class", "id", F.round("away", 6).alias("away"))
+
+
+@query(ELL + f" SELECT class, scan, count(*) AS n, count(*) FILTER (area >= 225) AS large, round(min({AWAY}) FILTER (area >= 225), 6) AS nearest FROM lifted GROUP BY class, scan")
+def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ellipses there are, how many are large, and how near the nearest large one is."""
+    away = F.sqrt((F.col("c0") - 10) ** 2 + (F.col("c1") - 20) ** 2 + (F.col("c2") - 15) ** 2)
+    large = F.col("area") >= 225
+    return S.lifted(C.ell(spark, sf_dir)).groupBy("class", "scan").agg(F.count("*").alias("n"), F.count_if(large).alias("large"), F.round(F.min(F.when(large, away)), 6).alias("nearest"))
+
+
+@query(f"WITH {CTE['img']}, s AS (SELECT min(v) AS lo, max(v) AS hi FROM img), t AS (SELECT y, x, (v - lo) / (hi - lo) AS t FROM img, s) SELECT y, x, " + ", ".join(f"round(0.5 * t + 0.5 * least(greatest(1.5 - abs(4 * t - {k}), 0), 1), 6) AS {c}" for c, k in (("r", 3), ("g", 2), ("b", 1))) + " FROM t")
+def heatmap_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half grey and half the blue-to-red colour of the value, scaled to the plane's range."""
+    v = C.img(spark, sf_dir)
+    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row
+    t = v.join(F.broadcast(ends)).select("y", "x", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("t"))
+    colour = lambda k: F.round(0.5 * F.col("t") + 0.5 * F.least(F.greatest(1.5 - F.abs(4 * F.col("t") - k), F.lit(0.0)), F.lit(1.0)), 6)
+    return t.select("y", "x", colour(3).alias("r"), colour(2).alias("g"), colour(1).alias("b"))

@@ -1 +1,131 @@
-"""."""
+"""Queries on point sets and registration: extraction, distances, matches, shifts by phase correlation."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from voxelia import carriers as C
+from voxelia.carriers import CTE, rounded
+from voxelia.registry import query
+
+PTS = f"WITH {CTE['pts']}"
+#: Control points (label, z, y, x) that points are held against.
+CONTROL = [(0, 1.0, 3.0, 4.0), (1, 4.0, 8.0, 8.0), (2, 6.0, 12.0, 11.0)]
+CONTROL_SQL = f"ctl(label, cz, cy, cx) AS (VALUES {', '.join(map(str, CONTROL))})"
+
+
+def controls() -> F.Column:
+    return F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("label", "cz", "cy", "cx"), p, strict=True)]) for p in CONTROL]))
+
+
+@query(PTS + " SELECT scan, z, y, x, v FROM pts")
+def bright_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.pts(spark, sf_dir)
+
+
+@query(PTS + " SELECT scan, z - 2 AS z, y - 2 AS y, x - 2 AS x FROM pts WHERE z BETWEEN 2 AND 5 AND y BETWEEN 2 AND 13 AND x BETWEEN 2 AND 13")
+def interior_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that aren't within two voxels of the border, counted from there."""
+    inside = (F.col("z").between(2, C.DEPTH - 3)) & F.col("y").between(2, C.SIDE - 3) & F.col("x").between(2, C.SIDE - 3)
+    return C.pts(spark, sf_dir).where(inside).select("scan", *[(F.col(c) - 2).alias(c) for c in "zyx"])
+
+
+@query(PTS + ", n AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY z, y, x) - 1 AS k, count(*) OVER (PARTITION BY scan) AS n FROM pts) SELECT scan, z, y, x FROM n WHERE n <= 10 OR k % (n // 10) = 0")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every n // 10th point of a scan that has more than ten."""
+    w = W.partitionBy("scan")
+    n = C.pts(spark, sf_dir).withColumn("k", F.row_number().over(w.orderBy("z", "y", "x")) - 1).withColumn("n", F.count("*").over(w))
+    step = F.greatest(F.floor(F.col("n") / 10), F.lit(1))
+    return n.where((F.col("n") <= 10) | (F.col("k") % step == 0)).select("scan", "z", "y", "x")
+
+
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = F.sqrt((F.col("z") - F.col("c.cz")) ** 2 + (F.col("y") - F.col("c.cy")) ** 2 + (F.col("x") - F.col("c.cx")) ** 2)
+    return C.pts(spark, sf_dir).select("scan", "z", "y", "x", controls().alias("c")).select("scan", "z", "y", "x", F.col("c.label").cast("long").alias("label"), far.alias("d"))
+
+
+DIST = PTS + f", {CONTROL_SQL}, dist AS (SELECT scan, z, y, x, label::BIGINT AS label, sqrt((z - cz) ** 2 + (y - cy) ** 2 + (x - cx) ** 2) AS d FROM pts CROSS JOIN ctl)"
+
+
+@query(DIST + " SELECT scan, z, y, x, label, round(d, 6) + 0.0 AS d FROM dist")
+def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all points to the control points, which are a constant and need no join."""
+    return distances(spark, sf_dir).withColumn("d", rounded("d"))
+
+
+@query(DIST + " SELECT scan, z, y, x, arg_min(label, (d, label)) AS label, round(min(d), 6) + 0.0 AS d FROM dist GROUP BY scan, z, y, x HAVING min(d) < 5")
+def match_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest control point of each point, where it is nearer than 5."""
+    best = distances(spark, sf_dir).groupBy("scan", "z", "y", "x").agg(F.min(F.struct("d", "label")).alias("m"))
+    return best.where("m.d < 5").select("scan", "z", "y", "x", F.col("m.label").alias("label"), rounded("m.d").alias("d"))
+
+
+ORDERS = ["012", "021", "102", "120", "201", "210"]
+
+
+@query(f"WITH {CTE['ell']}, n AS (SELECT class, cx, cy, row_number() OVER (PARTITION BY class ORDER BY id) - 1 AS k FROM ell), s AS (SELECT class, " + ", ".join(f"max(cx) FILTER (k = {k}) AS x{k}, max(cy) FILTER (k = {k}) AS y{k}" for k in range(6)) + " FROM n WHERE k < 6 GROUP BY class) SELECT class, round(least(" + ", ".join(" + ".join(f"sqrt((x{i} - x{3 + int(j)}) ** 2 + (y{i} - y{3 + int(j)}) ** 2)" for i, j in enumerate(o)) for o in ORDERS) + "), 6) AS cost FROM s")
+def assignment_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least total distance of three centres of a class to its next three, over all assignments."""
+    first = F.slice(F.sort_array(F.collect_list(F.struct("id", "cx", "cy"))), 1, 6)
+    # only the six smallest ids of a class can be among the first: the rest goes before anything is collected
+    ranked = C.ell(spark, sf_dir).select("class", "id", "cx", "cy", F.row_number().over(W.partitionBy("class").orderBy("id")).alias("k")).where("k <= 6")
+    s = ranked.groupBy("class").agg(first.alias("p"))
+
+    def far(i: int, j: int):
+        a, b = F.col("p")[i], F.col("p")[3 + j]
+        return F.sqrt((a["cx"] - b["cx"]) ** 2 + (a["cy"] - b["cy"]) ** 2)
+
+    return s.select("class", F.round(F.least(*[sum((far(i, int(j)) for i, j in enumerate(o)), F.lit(0.0)) for o in ORDERS]), 6).alias("cost"))
+
+
+@query(PTS + " SELECT scan, count(*) AS n, round(regr_slope(v, x), 4) + 0.0 AS slope, round(regr_intercept(v, x), 4) + 0.0 AS intercept FROM pts WHERE (z - 4) ** 2 + (y - 8) ** 2 + (x - 8) ** 2 < 64 GROUP BY scan")
+def radial_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares of the value on x, over the points within 8 of the middle."""
+    near = C.pts(spark, sf_dir).where((F.col("z") - 4) ** 2 + (F.col("y") - 8) ** 2 + (F.col("x") - 8) ** 2 < 64)
+    return near.groupBy("scan").agg(F.count("*").alias("n"), rounded(F.regr_slope("v", "x"), 4).alias("slope"), rounded(F.regr_intercept("v", "x"), 4).alias("intercept"))
+
+
+def phase_shifts(voxels: DataFrame, group: str = "pair") -> DataFrame:
+    """(group, dz, dy, dx): how far scan 1 of each group's two scans is rolled against scan 0, by phase correlation.
+
+    Every group is one pair of dense volumes and one task's work, however many pairs there are.
+    """
+
+    def shift(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows.sort_values(["scan", "z", "y", "x"])
+        shape = tuple(own[a].nunique() for a in "zyx")
+        a, b = (np.fft.fftn(own.loc[own.scan == s, "v"].to_numpy().reshape(shape)) for s in (0, 1))
+        cross = a * np.conj(b)
+        peak = np.unravel_index(np.argmax(np.fft.ifftn(cross / (np.abs(cross) + 1e-10)).real.round(9)), shape)
+        moved = [n - p if p > n / 2 else -p for p, n in zip(peak, shape, strict=True)]
+        return pd.DataFrame([[rows[group].iloc[0], *map(int, moved)]], columns=[group, "dz", "dy", "dx"])
+
+    return voxels.groupBy(group).applyInPandas(shift, f"{group} long, dz long, dy long, dx long")
+
+
+@query("SELECT 0::BIGINT AS pair, 2::BIGINT AS dz, -3::BIGINT AS dy, 4::BIGINT AS dx")
+def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phantom's roll, found again."""
+    return phase_shifts(C.phantom(spark).withColumn("pair", F.lit(0).cast("long")))
+
+
+@query("SELECT p::BIGINT AS pair, 2::BIGINT AS dz, -3::BIGINT AS dy, 4::BIGINT AS dx FROM range(2) t(p)")
+def local_region_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll from regions that hold the ball in both scans: one of 12 voxels a side, one of 13."""
+    v = C.phantom(spark).select("*", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("pair"))
+    region = F.col("z").between(1, 12 + F.col("pair")) & F.col("y").between(0, 11 + F.col("pair")) & F.col("x").between(3 - F.col("pair"), 14)
+    return phase_shifts(v.where(region))
+
+
+@query(f"WITH {CTE['phantom']} SELECT count(*) AS n FROM phantom a JOIN phantom b ON a.scan = 0 AND b.scan = 1 AND a.z = b.z - 2 AND a.y = b.y + 3 AND a.x = b.x - 4 WHERE a.v > 0 AND b.v > 0")
+def aligned_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bright voxels that two scans share once the second is moved back by its phase shift."""
+    v = C.phantom(spark).withColumn("pair", F.lit(0).cast("long"))
+    a = v.where("scan = 0 and v > 0").select("pair", "z", "y", "x")
+    b = v.where("scan = 1 and v > 0").join(F.broadcast(phase_shifts(v)), "pair")
+    b = b.select("pair", *[(F.col(c) - F.col(f"d{c}")).alias(c) for c in "zyx"])
+    return a.join(b, ["pair", "z", "y", "x"]).agg(F.count("*").alias("n"))

@@ -37,13 +37,13 @@ def gradient_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.slice_series(spark, sf_dir).select("series", "z", rounded(F.when(b.isNull(), a - x).when(a.isNull(), x - b).otherwise((a - b) / 2)).alias("g"))
 
 
-@query(SERIES + ", s AS (SELECT series, z, row_number() OVER (ORDER BY series, z) - 1 AS k FROM slice_series WHERE z <= 40), n AS (SELECT count(*) AS n FROM s) SELECT pull, series, z FROM range(500) t(pull), n JOIN s ON s.k = pull % n.n".replace("FROM range(500) t(pull), n JOIN s ON s.k = pull % n.n", "FROM range(500) t(pull) CROSS JOIN n JOIN s ON s.k = pull % n.n"))
+@query(SERIES + ", s AS (SELECT series, z, row_number() OVER (ORDER BY series, z) - 1 AS k FROM slice_series), n AS (SELECT count(*) AS n FROM s) SELECT pull, series, z FROM range(500) t(pull) CROSS JOIN n JOIN s ON s.k = pull % n.n")
 def axial_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k-th pull of an endless cursor over all slices in order is slice k mod n.
 
     The numbers come from counts of the series before and the place within the series, so no task sorts
     all slices."""
-    s = C.slice_series(spark, sf_dir).where("z <= 40")
+    s = C.slice_series(spark, sf_dir)
     sizes = s.groupBy("series").agg(F.count("*").alias("m"))  # a row for each series
     before = sizes.select("series", F.coalesce(F.sum("m").over(W.orderBy("series").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("m").over(W.partitionBy()).alias("n"))
     numbered = s.join(before, "series").select("series", "z", (F.col("before") + F.col("z") - 1).alias("k"), "n")
@@ -95,12 +95,11 @@ def metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("name").agg(rounded(F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
 
 
-@query(METRIC + ", w AS (SELECT name, value, step, max(step) OVER (PARTITION BY name) AS n FROM metric) SELECT name, round(sum(CASE WHEN step = 1 THEN power(0.9, n - 1) ELSE 0.1 * power(0.9, n - step) END * value), 6) + 0.0 AS ema FROM w WHERE n - step < 300 OR step = 1 GROUP BY name")
+@query(METRIC + ", w AS (SELECT name, value, step, max(step) OVER (PARTITION BY name) AS n FROM metric) SELECT name, round(sum(CASE WHEN step = 1 THEN power(0.9, n - 1) ELSE 0.1 * power(0.9, n - step) END * value), 6) + 0.0 AS ema FROM w GROUP BY name")
 def exponential_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """s = 0.9 s + 0.1 x in order, as a sum of weighted values, which can be combined in any order; weights
-    below 1e-13 round to nothing."""
+    """s = 0.9 s + 0.1 x in order, as a sum of weighted values, which can be combined in any order."""
     n = F.max("step").over(W.partitionBy("name"))
-    m = C.metric(spark, sf_dir).withColumn("n", n).where((F.col("n") - F.col("step") < 300) | (F.col("step") == 1))
+    m = C.metric(spark, sf_dir).withColumn("n", n)
     power = F.pow(F.lit(0.9), F.col("n") - F.col("step"))
     return m.groupBy("name").agg(rounded(F.sum(F.when(F.col("step") == 1, power).otherwise(0.1 * power) * F.col("value"))).alias("ema"))
 
@@ -134,12 +133,15 @@ def annotation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("patient", "body_part", "scan", "axial", "coronal", "sagittal").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'I' || (o_orderkey % 120)::VARCHAR AS name, o_orderkey % 120 AS number, row_number() OVER (ORDER BY o_orderkey % 120, o_orderkey) AS place FROM orders WHERE o_orderkey % 40 = 1")
+@query("SELECT 'I' || (o_orderkey % 120)::VARCHAR AS name, o_orderkey % 120 AS number, row_number() OVER (ORDER BY o_orderkey % 120, o_orderkey) AS place FROM orders")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names by the number in them: I10 after I2."""
-    o = C.table(spark, sf_dir, "orders").where("o_orderkey % 40 = 1").select("o_orderkey", F.concat(F.lit("I"), (F.col("o_orderkey") % 120).cast("string")).alias("name"))
+    """File names by the number in them: I10 after I2. A place is the count of lower numbers and the place within the own one."""
+    o = C.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("I"), (F.col("o_orderkey") % 120).cast("string")).alias("name"))
     o = o.withColumn("number", files.number(F.col("name")))
-    return o.select("name", "number", F.row_number().over(W.orderBy("number", "o_orderkey")).cast("long").alias("place"))
+    counts = o.groupBy("number").agg(F.count("*").alias("m"))  # a row for each number
+    before = counts.select("number", F.coalesce(F.sum("m").over(W.orderBy("number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("number").orderBy("o_orderkey"))
+    return o.withColumn("own", own).join(before, "number").select("name", "number", (F.col("before") + F.col("own")).cast("long").alias("place"))
 
 
 @query(SERIES + " SELECT series, arg_min(location, z) AS location, min(z) AS z FROM slice_series GROUP BY series")
@@ -176,9 +178,9 @@ def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "part").select("p_partkey", down(s * 13).alias("h"), down(s * 29).alias("w"), F.round(s * F.lit(0.5)).cast("long").alias("rows_mm"), F.round(s * F.lit(0.7) * 10 / 0.7 / 7).cast("long").alias("depth"))
 
 
-@query(METRIC + " SELECT name, step, '{\"name\":\"' || name || '\",\"step\":' || step::VARCHAR || '}' AS line FROM metric WHERE step <= 20")
+@query(METRIC + " SELECT name, step, '{\"name\":\"' || name || '\",\"step\":' || step::VARCHAR || '}' AS line FROM metric")
 def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.metric(spark, sf_dir).where("step <= 20").select("name", "step", F.to_json(F.struct("name", "step")).alias("line"))
+    return C.metric(spark, sf_dir).select("name", "step", F.to_json(F.struct("name", "step")).alias("line"))
 
 
 @query()
