@@ -141,7 +141,6 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(*frames).collect()}
     fold = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
     want = {(i, j): d for i, t in docs for j, x in items if t and x and (d := best_distance(fold(x), fold(t))) <= int(0.2 * len(fold(x)))}
-    want = {k: d for k, d in want.items() if k[1] != 902 or d == 0}
     assert all(got[k] == want.get(k) for k in got)
     assert {(d, i) for d, i in planted.items()} | {(9302, 902)} <= set(got)
     assert len(got) >= 0.9 * len(want)
@@ -151,6 +150,36 @@ def test_decontamination(spark):
     assert decontaminate.leaks(frames[0], frames[1].where("false")).count() == 0
 
 
+def worn(r, text, rate, letters="abcdefghijklmnop qrstuvwxyz"):
+    """text after random changes, insertions and deletions, rate of its length in all."""
+    t = list(text)
+    for _ in range(int(len(t) * rate)):
+        k = r.randrange(len(t))
+        t[k : k + r.choice([0, 1, 1])] = [r.choice(letters)] if r.random() < 0.67 else []
+    return "".join(t)
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.19])
+def test_decontamination_recall_by_edit_rate(spark, rate):
+    r = random.Random(3)
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    index = decontaminate.Index(items, 0.2)
+    found = [index.search([f"some words before it {worn(r, t, rate)} and words after"])[0] for _ in range(3) for _, t in items]
+    assert sum(any(h[0] == i for h in own) for own, (i, _) in zip(found, items * 3, strict=True)) >= 0.9 * len(found)
+
+
+def test_decontamination_of_unspaced_text_and_short_items():
+    r = random.Random(4)
+    signs = [chr(c) for c in range(0x4E00, 0x5200)]
+    item = "".join(r.choices(signs, k=120))
+    index = decontaminate.Index([(1, item), (2, "tiny item here now"), (3, "a")], 0.2)
+    text = "".join(r.choices(signs, k=300))
+    assert [h[0] for h in index.search([text + item + text])[0]] == [1]
+    assert [h[0] for h in index.search([text + worn(r, item, 0.1, signs) + text])[0]] == [1]
+    got = index.search(["XX tiny itXm here now YY", "tniy itm hexe nw", "here is an item, tiny now", "b", None])
+    assert [[h[:2] for h in own] for own in got] == [[(2, 1)], [], [(3, 0)], [], []]
+
+
 @pytest.mark.parametrize("percent", [74, 10])
 def test_parity_join_refuses_lower_limits(spark, percent):
     with pytest.raises(ValueError, match="75"):

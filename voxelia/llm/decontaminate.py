@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 FOLD_BITS = 18
+#: First code point from which scripts are mostly written without blanks.
+UNSPACED = 0x0E00
 
 
 @lru_cache(maxsize=1)
@@ -48,15 +50,16 @@ def narrow(codes: np.ndarray) -> np.ndarray:
 
 
 def word_starts(codes: np.ndarray) -> np.ndarray:
+    """Places after a blank; in scripts that are written without blanks (from Thai on), every place."""
     text = codes != 32
-    text[1:] &= codes[:-1] == 32
+    text[1:] &= (codes[:-1] == 32) | (codes[1:] >= UNSPACED)
     return np.flatnonzero(text)
 
 
 class Index:
     """Keys of the windows of a block of items; ``steps``, ``samples`` and ``walks`` set the LSH."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, steps: int = 64, samples: int = 12, walks: int = 2, seed: int = 5):
+    def __init__(self, items: list[tuple[int, str]], rate: float, steps: int = 64, samples: int = 10, walks: int = 3, seed: int = 5):
         r = np.random.default_rng(seed)
         self.rate, self.steps = rate, steps
         self.moves = r.integers(0, 2, (walks, steps, 256)).astype(np.int32)
@@ -64,7 +67,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.codes = [folded(t)[0] for _, t in items]
         self.codes = [c[int(c[:1].tolist() == [32]) : len(c) - int(c[-1:].tolist() == [32])] for c in self.codes]
-        self.exact: list[tuple[int, str]] = []  # too short for a walk: found as they are
+        self.short: list[tuple[int, list[tuple[int, str]]]] = []  # shorter than a walk has steps: (item, its pieces)
         found: list[list] = [[] for _ in range(walks)]
         for k, c in enumerate(self.codes):
             if not len(c):
@@ -76,8 +79,8 @@ class Index:
                 good = at < len(c)
                 found[w].append((keys[good], np.full(good.sum(), k), starts[good]))
                 some |= bool(good.any())
-            if not some:
-                self.exact.append((k, "".join(map(chr, c))))
+            if not some or len(c) < steps:
+                self.short.append((k, self.pieces("".join(map(chr, c)))))
         self.keys, self.item, self.offset, self.filters = [], [], [], []
         for w in range(walks):
             keys, item, offset = (np.concatenate([f[i] for f in found[w]]) if found[w] else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
@@ -94,6 +97,11 @@ class Index:
                     self.walk(buf, word_starts(c), w, None, mark=self.filters[w])
         self.bits = [self.pattern(c) for c in self.codes]
 
+    def pieces(self, item: str) -> list[tuple[int, str]]:
+        """A short item in one piece more than it may have edits, so that one of them stands unedited wherever it is found."""
+        cuts = np.linspace(0, len(item), int(self.rate * len(item)) + 2).astype(int).tolist()
+        return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
     @staticmethod
     def pattern(codes: np.ndarray) -> dict[int, int]:
         bits: dict[int, int] = {}
@@ -176,14 +184,27 @@ class Index:
                     a, b = max(0, from_ - 2 * most - 1), min(len(codes), from_ + n + 2 * most + 1)
                     self.note(best[d], k, codes[a:b], a, place, most)
         for d, (codes, place) in enumerate(read):
-            if self.exact:
+            if self.short:
                 text = "".join(map(chr, codes))
-                for k, want in self.exact:
-                    a = text.find(want)
-                    if a >= 0:
-                        self.note(best[d], k, codes[a : a + len(want)], a, place, 0)
+                for k, own in self.short:
+                    self.search_short(best[d], k, own, text, codes, place)
         return [[(self.ids[k], *v) for k, v in sorted(b.items())] for b in best]
 
+    def search_short(self, best: dict, k: int, own: list[tuple[int, str]], text: str, codes: np.ndarray, place: np.ndarray) -> None:
+        """Verify a short item at every place of any of its pieces; places that overlap are verified once."""
+        n, most, upto = len(self.codes[k]), int(self.rate * len(self.codes[k])), -1
+        found = set()
+        for offset, piece in own:
+            at = text.find(piece)
+            while at >= 0:
+                found.add(at - offset)
+                at = text.find(piece, at + 1)
+        for from_ in sorted(found):
+            if from_ > upto:
+                upto = from_ + most
+                a, b = max(0, from_ - most), min(len(codes), upto + n + most + 1)
+                self.note(best, k, codes[a:b], a, place, most)
+
     def note(self, best: dict, k: int, part: np.ndarray, a: int, place: np.ndarray, most: int) -> None:
         dist, end = self.distance(k, part)
         if dist > most or (k in best and best[k][0] <= dist):
@@ -235,7 +256,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.2, id_col: str = "d
     An item is found where its edit distance to a part of the text, letters in either case and white space
     runs as one blank, is at most ``rate`` times its length; distance, start and end (code points of the
     text, end exclusive) are of the best place, the first among equals for one walk. Null and empty texts
-    and items match nothing; items too short for a walk are found as they are. Repeated rows give repeated
+    and items match nothing; items too short for a walk are searched by pieces, one more than the edits they may have, of which one must stand unedited. Repeated rows give repeated
     rows. Other columns are dropped. Items go to the executors in blocks of at most LIMITS, one narrow
     pass over the documents each.
     """
