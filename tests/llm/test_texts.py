@@ -95,7 +95,7 @@ def test_byte_bpe_of_long_runs(spark, run):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     (got,) = byte_bpe.encode(spark.createDataFrame([(1, f"x{run}y 7")], "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()
     assert bytes(got.decoded).decode() == f"x{run}y 7"
-    plain, whole = byte_bpe.encoder(path, public_tokenizers.PATTERN)
+    plain, whole = byte_bpe.encoder(path, public_tokenizers.PATTERN), byte_bpe.encoder(path, byte_bpe.WHOLE)
     if run.isspace():
         assert got.ids == plain.encode_ordinary("x") + whole.encode_ordinary(run[:-1]) + plain.encode_ordinary(run[-1] + "y 7")
         short = f"x{run[:20_000]}{run[-20_000:]}y 7"

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Between a letter or digit and one space that a letter or digit follows, no match of the pre-splitting
 #: pattern goes on: white space is only taken at the front of a match.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?= [\p{L}\p{N}])")
+#: The pattern under which a text is one match.
+WHOLE = r"(?s:.+)"
 #: A long run of white space is one match of the pattern, but for its last character where something follows.
 #: The library's regex engine backtracks through such a run and runs out of stack at about a million characters.
 BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}+")
@@ -32,7 +34,7 @@ def encoder(rank_path: str, pattern: str):
         for line in f:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def pieces(text: str, longest: int) -> Iterator[tuple[str, bool]]:
@@ -70,7 +72,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     schema = f"`{id_col}` {kind}, ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, whole = encoder(rank_path, pattern)
+        enc, whole = encoder(rank_path, pattern), encoder(rank_path, WHOLE)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
