@@ -36,39 +36,42 @@ HASH_BITS = 18
 
 def compress(ids: np.ndarray, base: int, min_count: int = 24, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(rules of shape (r, 2), body). Every round replaces the most frequent pairs, about per_round of them, until
-    no pair occurs min_count times."""
+    no pair occurs min_count times.
+
+    A round that looked at every pair of min_count leaves none of them: an occurrence that isn't replaced itself
+    has lost a symbol to its neighbour. So later rounds count only the pairs that hold a symbol made ``since``.
+    """
     rules: list[np.ndarray] = []
-    body, following = ids.astype(np.uint32), base
+    body, following, since = ids.astype(np.uint32), base, 0
     while len(body) >= 2:
-        slot = ((body[:-1] * np.uint32(2654435761)) ^ (body[1:] * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)
+        fresh = np.flatnonzero((body[:-1] >= since) | (body[1:] >= since)) if since else np.arange(len(body) - 1)
+        left, right = body[fresh], body[fresh + 1]
+        slot = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)
         tally = np.bincount(slot, minlength=1 << HASH_BITS)
         least = max(min_count, int(np.partition(tally, -per_round)[-per_round]))
-        at = np.flatnonzero(tally[slot] >= least)
-        if not len(at):
-            break
-        codes = body[at].astype(np.uint64) << np.uint64(32) | body[at + 1]
-        pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
-        good = counts >= min_count
-        if not good.any():  # pairs that only share a slot: look at all
-            if least == min_count:
-                break
-            codes = body[:-1].astype(np.uint64) << np.uint64(32) | body[1:]
-            at = np.arange(len(codes))
-            pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        bits, kind = (16, np.uint32) if following <= 1 << 16 else (32, np.uint64)  # narrow codes sort faster
+        codes = left.astype(kind) << kind(bits) | right.astype(kind)
+        while True:
+            often = tally[slot] >= least
+            pairs, which, counts = np.unique(codes[often], return_inverse=True, return_counts=True)
             good = counts >= min_count
-            if not good.any():
+            if good.any() or least == min_count:
                 break
-        number = np.where(good, np.cumsum(good) - 1, -1)
+            least = min_count  # those pairs only shared a slot
+        if not good.any():
+            break
+        at, number = fresh[often], np.where(good, np.cumsum(good) - 1, -1)
         at, which = at[good[which]], number[which[good[which]]]
         # of pairs that overlap in a run of neighbours, every second one is replaced
         starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         rank = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
         at, which = at[rank % 2 == 0], which[rank % 2 == 0]
         pairs = pairs[good]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([pairs >> kind(bits), pairs & kind((1 << bits) - 1)], 1).astype(np.uint32))
         body[at] = following + which
         keep = np.ones(len(body), bool)
         keep[at + 1] = False
+        since = following if least == min_count else since
         body, following = body[keep], following + len(pairs)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), body
 
@@ -86,16 +89,22 @@ def spans_of(rules: np.ndarray, base: int) -> np.ndarray:
     return spans
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    out = symbols.astype(np.int32)
-    while len(out) and (high := out >= base).any():
-        size = np.where(high, 2, 1)
-        place = np.cumsum(size) - size
-        wider = np.empty(int(size.sum()), np.int32)
-        wider[place] = np.where(high, rules[np.maximum(out - base, 0), 0] if len(rules) else 0, out)
-        wider[place[high] + 1] = rules[out[high] - base, 1]
-        out = wider
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, spans: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for. Every symbol is put where its expansion begins; then each nonterminal gives
+    way to its two parts, so the work is that of the ids, however deep the rules are."""
+    width = np.ones(base + len(rules), np.int64)
+    width[base:] = spans
+    size = width[symbols]
+    place = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.int32)
+    out[place] = symbols
+    high = symbols >= base
+    at, now = place[high], symbols[high]
+    while len(now):
+        left, right = rules[now.astype(np.int64) - base].T
+        second = at + width[left]
+        out[at], out[second] = left, right
+        at, now = np.concatenate([at[left >= base], second[right >= base]]), np.concatenate([left[left >= base], right[right >= base]])
     return out
 
 
@@ -104,7 +113,7 @@ def slice_ids(body: np.ndarray, rules: np.ndarray, spans: np.ndarray, base: int,
     size = np.where(body >= base, spans[np.maximum(body.astype(np.int64) - base, 0)] if len(spans) else 1, 1)
     ends = np.cumsum(size)
     first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
-    ids = expand(body[first : last + 1], rules, base)
+    ids = expand(body[first : last + 1], rules, base, spans)
     skip = start - (int(ends[first - 1]) if first else 0)
     return ids[skip : skip + stop - start]
 
@@ -272,14 +281,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         F.col("shard").alias("s"), F.col("block").alias("b"),
         (F.col("shard_start") + F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("start"),
     )
-    ready = blocks.join(starts, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select("start", "doc_ids", "lengths", "base", "rules", "body", "wide")
+    ready = blocks.join(starts, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select("start", "doc_ids", "lengths", "base", "rules", "spans", "body", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 kind = "<u4" if r["wide"] else "<u2"
                 rules = np.frombuffer(r["rules"], kind).reshape(-1, 2).astype(np.int32)
-                ids = expand(np.frombuffer(r["body"], kind), rules, r["base"]).astype("<u4")
+                ids = expand(np.frombuffer(r["body"], kind), rules, r["base"], np.array(r["spans"], np.int64)).astype("<u4")
                 lengths = np.array(r["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 raw = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
