@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelia.llm.common import shared_dir
+from voxelia.llm.common import remove, shared_dir
 from voxelia.llm.elias_fano import Level, write_shard
 
 END = b"\n"  # no word holds white space
@@ -178,6 +178,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id
     words = spark.read.schema("word long, n long").parquet(path)
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     model = Model([shards(words.select(F.lit(0).cast("long").alias("ctx"), "word", "n"), folder, "level1", distinct, None)], tokens, distinct)
+    remove(spark, words)
     for k in range(2, order + 1):
 
         def count_ngrams(batches: Iterator[pa.RecordBatch], model=model, k=k) -> Iterator[pa.RecordBatch]:
@@ -211,6 +212,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id
         held = kept.groupBy("ctx").agg(F.sum(F.col("n") - DISCOUNT).alias("n"))
         rows = kept.unionByName(held.mapInArrow(shares, "ctx long, word long, n long"))
         model = Model([*model.levels, shards(rows, folder, f"level{k}", kept.count(), model)], tokens, distinct)
+        remove(spark, kept)
     return model
 
 
