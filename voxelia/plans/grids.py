@@ -300,3 +300,33 @@ def plane_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = cells.select(F.lit(name).alias("plane"), "r", "c", z.cast("long").alias("z"), y.cast("long").alias("y"), x.cast("long").alias("x"))
         out = part if out is None else out.union(part)
     return out.join(v, ["z", "y", "x"], "left").select("plane", "r", "c", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def slope(cell: str, by: str, along: str) -> str:
+    """SQL of the central difference of v along an axis, one-sided at the ends."""
+    b, a = (f"{f}(v) OVER (PARTITION BY {by} ORDER BY {along})" for f in ("lag", "lead"))
+    return f"CASE WHEN {b} IS NULL THEN {a} - v WHEN {a} IS NULL THEN v - {b} ELSE ({a} - {b}) / 2 END AS {cell}"
+
+
+@query(VOX + f", s AS (SELECT scan, z, y, x, {slope('gz', 'scan, y, x', 'z')}, {slope('gy', 'scan, z, x', 'y')}, {slope('gx', 'scan, z, y', 'x')} FROM vox) SELECT scan, z, y, x, round(gz + gy + gx, 6) + 0.0 AS divergence FROM s")
+def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the field whose three components all are the voxel's value: the sum of its differences along the axes."""
+    total = F.lit(0.0)
+    for along, by in (("z", ("scan", "y", "x")), ("y", ("scan", "z", "x")), ("x", ("scan", "z", "y"))):
+        w, v = W.partitionBy(*by).orderBy(along), F.col("v")
+        b, a = F.lag("v").over(w), F.lead("v").over(w)
+        total = total + F.when(b.isNull(), a - v).when(a.isNull(), v - b).otherwise((a - b) / 2)
+    return C.vox(spark, sf_dir).select(*CELL, rounded(total).alias("divergence"))
+
+
+@query(VOX + ", t AS (SELECT scan, z, y, x, v, y // 4 - i AS ty, x // 4 - j AS tx FROM vox CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)), d AS (SELECT *, v - avg(v) OVER (PARTITION BY scan, z, ty, tx) AS diff FROM t) SELECT scan, z, y, x, round(sum(diff) / 4, 4) + 0.0 AS anomaly FROM d GROUP BY scan, z, y, x")
+def overlapping_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomaly by tiles of 8 x 8 that overlap by half, padded at the edges: each voxel less its tile's mean, the
+    baseline predictor, summed over its four tiles and divided by the overlap squared. A voxel names its tiles
+    itself, so tiles and voxels meet without a range join."""
+    tiles = C.vox(spark, sf_dir)
+    for axis in ("y", "x"):
+        first = F.floor(F.col(axis) / 4)
+        tiles = tiles.withColumn(f"t{axis}", F.explode(F.array(first - 1, first)))
+    off = tiles.withColumn("diff", F.col("v") - F.avg("v").over(W.partitionBy("scan", "z", "ty", "tx")))
+    return off.groupBy(*CELL).agg(rounded(F.sum("diff") / 4, 4).alias("anomaly"))
