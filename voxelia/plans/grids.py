@@ -330,3 +330,24 @@ def overlapping_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         tiles = tiles.withColumn(f"t{axis}", F.explode(F.array(first - 1, first)))
     off = tiles.withColumn("diff", F.col("v") - F.avg("v").over(W.partitionBy("scan", "z", "ty", "tx")))
     return off.groupBy(*CELL).agg(rounded(F.sum("diff") / 4, 4).alias("anomaly"))
+
+
+#: 3 x 3 kernels by row: the image itself, differences along x and y, the Laplacian.
+BANK = {"identity": (0, 0, 0, 0, 1, 0, 0, 0, 0), "along_x": (-1, 0, 1, -2, 0, 2, -1, 0, 1), "along_y": (-1, -2, -1, 0, 0, 0, 1, 2, 1), "laplacian": (0, 1, 0, 1, -4, 1, 0, 1, 0)}
+BANK_ROWS = ", ".join(f"('{k}', {i // 3 - 1}, {i % 3 - 1}, {w})" for k, own in BANK.items() for i, w in enumerate(own) if w)
+
+
+@query(VOX + f", k(kernel, dy, dx, w) AS (VALUES {BANK_ROWS}) SELECT i.scan, i.z, i.y, i.x, kernel, round(sum(w * n.v), 4) + 0.0 AS response FROM vox i CROSS JOIN k JOIN vox n ON n.scan = i.scan AND n.z = i.z AND {AT} GROUP BY i.scan, i.z, i.y, i.x, kernel")
+def filter_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response of every slice to each kernel of the bank, mirrored at the edges. A neighbour is fetched once for all
+    kernels, which are constants in the sums."""
+    def mirrored(at):
+        return F.when(at < 0, -at).when(at >= 16, 30 - at).otherwise(at)
+
+    v = C.vox(spark, sf_dir).select(*CELL, "v")
+    offset = F.explode(F.array(*[F.struct(F.lit(i // 3 - 1).alias("dy"), F.lit(i % 3 - 1).alias("dx"), F.lit(i).alias("i")) for i in range(9)]))
+    near = v.select(*CELL, offset.alias("o")).select(*CELL, "o.i", mirrored(F.col("y") + F.col("o.dy")).alias("ny"), mirrored(F.col("x") + F.col("o.dx")).alias("nx"))
+    values = v.select("scan", "z", F.col("y").alias("ny"), F.col("x").alias("nx"), "v")
+    sums = [F.sum(F.element_at(F.array(*[F.lit(float(w)) for w in own]), F.col("i") + 1) * F.col("v")).alias(k) for k, own in BANK.items()]
+    wide = near.join(values, ["scan", "z", "ny", "nx"]).groupBy(*CELL).agg(*sums)
+    return wide.unpivot(CELL, list(BANK), "kernel", "response").withColumn("response", rounded(F.col("response"), 4))
