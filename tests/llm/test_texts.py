@@ -266,10 +266,15 @@ def test_registered_language_model_holds_all_three_word_ngrams(spark, tmp_path):
             return p(gram[1:])
         return max(own.get(gram, 0) - 0.75, 0) / of + (1 - sum(c - 0.75 for c in after) / of) * p(gram[1:])
 
-    got = {r.doc_id: r.score for r in queries.op9_lm_scores(spark, str(tmp_path)).collect()}
-    for i, t in texts.items():
-        w = ["\n", *t.split(), "\n"]
-        assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, at - 2) : at + 1]))) for at in range(1, len(w))), abs=0.01)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    split = lm.score(docs, lm.train(docs.where(lm.in_training()), order=3, least=1, range_tokens=2))  # contexts of more than two n-grams in several shards
+    for df in (queries.op9_lm_scores(spark, str(tmp_path)), split):
+        got = {r.doc_id: r.score for r in df.collect()}
+        for i, t in texts.items():
+            w = ["\n", *t.split(), "\n"]
+            assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, at - 2) : at + 1]))) for at in range(1, len(w))), abs=0.01)
+    none = docs.where("false")
+    assert lm.score(none, lm.train(none)).count() == 0 and lm.score(docs, lm.train(none)).count() == len(texts)
 
 
 BODY = "<article><h1>The title of it</h1><p>First paragraph of this article, long enough to be read by someone.<p>Second paragraph with a few more words in it here.</article>"

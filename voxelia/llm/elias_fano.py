@@ -115,7 +115,8 @@ class EliasFano:
 
 
 def write_shard(path: str, contexts: np.ndarray, words: np.ndarray, **columns: np.ndarray) -> None:
-    """Write entries sorted by (context, word) with their columns; the file appears whole or not at all."""
+    """Write entries sorted by (context, word) with their columns; the file appears whole or not at all.
+    A column named rest has one value for each different context."""
     starts = np.flatnonzero(np.diff(contexts, prepend=-1)) if len(contexts) else np.zeros(0, np.int64)
     sizes = np.diff(starts, append=len(contexts))
     lasts = words[starts + sizes - 1] if len(starts) else np.zeros(0, np.int64)
@@ -152,11 +153,11 @@ class Shard:
         ef = {k: EliasFano(n, bits, self.columns[f"{k}.low"], self.columns[f"{k}.high"]) for k, (n, bits) in head["sequences"].items()}
         self.ctx, self.ptr, self.val = ef["ctx"], ef["ptr"], ef["val"]
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Places of (context, word), -1 where there is none; queries sorted by context."""
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of (context, word) and numbers of the contexts, -1 where there is none; queries sorted by context."""
         out = np.full(len(contexts), -1, np.int64)
         if not len(contexts) or not self.ctx.n:
-            return out
+            return out, out
         first = np.flatnonzero(np.diff(contexts, prepend=-1))
         each = np.repeat(np.arange(len(first)), np.diff(first, append=len(contexts)))
         own = contexts[first]
@@ -169,13 +170,16 @@ class Shard:
         at = np.flatnonzero(j[each] >= 0)
         k = each[at]
         out[at] = self.val.find(base[k] + words[at], start[k], end[k])
-        return out
+        return out, j[each]
 
 
 class Level:
-    """Shards in order; manifest has (file, first context, first word, entries) of each."""
+    """Shards in order; manifest has (file, first context, first word, entries) of each, rest the value of
+    the column rest for contexts in several shards."""
 
-    def __init__(self, manifest: list[tuple[str, int, int, int]]):
+    def __init__(self, manifest: list[tuple[str, int, int, int]], rest: dict[int, int] | None = None):
+        self.several = np.array(sorted(rest or {}), np.int64)
+        self.rest = np.array([rest[c] for c in self.several.tolist()], np.float64) if rest else np.zeros(0)
         self.manifest = sorted(manifest, key=lambda m: m[1:3])
         self.offsets = np.cumsum([0] + [m[3] for m in self.manifest])
         self.firsts = [(m[1], m[2]) for m in self.manifest]
@@ -190,7 +194,7 @@ class Level:
         """Index over all shards of each (context, word), -1 where there is none, and its columns (0 there).
         Queries must be sorted by (context, word)."""
         out = np.full(len(contexts), -1, np.int64)
-        got = [np.zeros(len(contexts), np.float64 if c == "code" else np.int64) for c in columns]
+        got = [np.zeros(len(contexts), np.int64) for c in columns]
         begin = 0
         for k in range(len(self.manifest)):
             if k + 1 < len(self.manifest):
@@ -201,10 +205,15 @@ class Level:
                 end = len(contexts)
             if end > begin:
                 s = self.shard(k)
-                at = s.find(contexts[begin:end], words[begin:end])
+                at, of = s.find(contexts[begin:end], words[begin:end])
                 hit = np.flatnonzero(at >= 0)
                 out[begin + hit] = at[hit] + self.offsets[k]
                 for g, c in zip(got, columns, strict=True):
-                    g[begin + hit] = s.columns[c][at[hit]]
+                    which, place = (np.flatnonzero(of >= 0), of) if c == "rest" else (hit, at)
+                    g[begin + which] = s.columns[c][place[which]]
                 begin = end
+        if "rest" in columns and len(self.several):
+            place = np.minimum(np.searchsorted(self.several, contexts), len(self.several) - 1)
+            which = np.flatnonzero(self.several[place] == contexts)
+            got[columns.index("rest")][which] = self.rest[place[which]]
         return (out, *got)

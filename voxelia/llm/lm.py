@@ -3,8 +3,13 @@
 Spark counts n-grams level by level. The first level holds a 63-bit hash of every training word with its
 exact count; level k holds (entry of level k-1, word) for n-grams that occur at least ``least`` times, with
 quantised smoothed probabilities. An n-gram can only reach ``least`` if its shorter ones do, so each pass
-counts what extends an entry of the level below. Levels are files in the shared folder, range-partitioned
-by key after counts are summed, and memory-mapped by the tasks that read them.
+counts what extends an entry of the level below. Levels are files in the shared folder, cut into ranges of
+(context, word) and memory-mapped by the tasks that read them.
+
+The counts of one level tell how many n-grams of the next can begin with each entry, so its ranges are known
+before anything is counted: every task sends its sorted counts to their ranges as packed columns, in one
+shuffle, and a range's task adds them up and writes the shard. A context of more n-grams than a range should
+hold is split by its words.
 
 Smoothing is absolute discounting, interpolated: p(w | h) = f(w | h) + b(h) p(w | shorter h), with
 f = (c - D) / c(h) for kept n-grams and b(h) = 1 - sum of f, so that probabilities of known words and the
@@ -35,6 +40,7 @@ END = b"\n"  # no word holds white space
 DISCOUNT = 0.75
 STEPS = 65535  # of 16-bit codes over log10 values from -8 to 0
 SHARD_ENTRIES = 1_000_000
+RANGE_TOKENS = 2_000_000
 
 
 def encoded(p: np.ndarray) -> np.ndarray:
@@ -51,9 +57,9 @@ def held_out(doc_id) -> bool:
 
 @dataclass
 class Model:
-    """Manifests of the levels, training tokens and distinct ones."""
+    """Levels as (manifest, shares left over by contexts in several shards), training tokens and distinct ones."""
 
-    levels: list[list[tuple[str, int, int, int]]]
+    levels: list[tuple[tuple, tuple]]
     tokens: int
     distinct: int
 
@@ -67,8 +73,8 @@ def local_path(uri: str) -> str:
 
 
 @lru_cache(maxsize=16)
-def level(manifest: tuple) -> Level:
-    return Level(list(manifest))
+def level(made: tuple[tuple, tuple]) -> Level:
+    return Level(list(made[0]), dict(made[1]))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,7 +82,7 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def runs(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[list, list[list[bytes]]]]:
+def runs(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[tuple[list, list[list[bytes]]]]:
     """(ids, words) of rows, in runs of about most characters."""
     ids, own, chars = [], [], 0
     for i, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -109,7 +115,7 @@ def by_pair(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
 def lookup(found: Level, contexts: np.ndarray, words: np.ndarray, *columns: str) -> list[np.ndarray]:
     """Level.find for queries in any order and with repeats; those with a negative part aren't found."""
     out = [np.full(len(contexts), -1, np.int64)] + [np.zeros(len(contexts)) for _ in columns]
-    some = np.flatnonzero((contexts >= 0) & (words >= 0))
+    some = np.flatnonzero((contexts >= 0) & (words >= 0))  # no entry has word 0, which asks for the context alone
     if len(some):
         order = some[by_pair(contexts[some], words[some])]
         c, w = contexts[order], words[order]
@@ -133,35 +139,132 @@ def chain(model: Model, own: list[list[bytes]], top: int) -> tuple[list[np.ndarr
     """Per token: entries of the levels 1 to top that end there, and the word's count. The context of a
     text's first token is the end token."""
     number, hashes, sizes = flat_numbers(own)
-    word, count = lookup(level(tuple(model.levels[0])), np.zeros(len(hashes), np.int64), hashes, "count")
+    word, count = lookup(level(model.levels[0]), np.zeros(len(hashes), np.int64), hashes, "count")
     entries, counts = [word[number]], count[number]
     for k in range(1, top):
         before = shifted(entries[k - 1], sizes, None if k == 1 else -1)
-        entries.append(lookup(level(tuple(model.levels[k])), before, np.where(entries[0] >= 0, entries[0] + 1, -1))[0])
+        entries.append(lookup(level(model.levels[k]), before, np.where(entries[0] >= 0, entries[0] + 1, -1))[0])
     return entries, counts, number, sizes
 
 
-def shards(rows: DataFrame, folder: str, name: str, total: int, below: Model | None) -> list[tuple[str, int, int, int]]:
-    """Write rows (ctx, word, n) as the level above those of below, range-partitioned by (ctx, word); the
-    manifest. n of word 0 is a context's remaining share in parts of 1e9."""
+def smallest(x: np.ndarray) -> np.ndarray:
+    """Non-negative x in the narrowest type that holds it."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def ranges_of(counts: np.ndarray, distinct: int, most: int) -> tuple[list[int], list[int]]:
+    """Starts (entry, word) of ranges for the n-grams that begin with the entries of one shard."""
+    before = (np.cumsum(counts) - counts) // most
+    pieces = -(-counts // most)
+    hot = pieces > 1
+    new = np.diff(before, prepend=-1) > 0
+    new |= hot
+    new[1:] |= hot[:-1]
+    at = np.flatnonzero(new)
+    many = np.maximum(pieces[at], 1)
+    step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(at, many).tolist(), (step * -(-(distinct + 1) // np.repeat(many, many))).tolist()
+
+
+def first_level(words: DataFrame, folder: str, distinct: int, most: int) -> tuple[tuple, list[tuple[int, int]]]:
+    """Write (word, n) as the first level, range-partitioned by word: the level and the ranges of the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if parts:
-            ctx, word, n = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(3))
-            path = os.path.join(folder, f"{name}-{TaskContext.get().partitionId():06d}.ef")
-            of = entry_counts(below, len(below.levels), ctx) if below else 1
-            share = np.where(word == 0, n / 1e9, (n - DISCOUNT) / np.maximum(of, 1))
-            write_shard(path, ctx, word, count=n.astype(np.int64), code=encoded(share))
-            yield pa.RecordBatch.from_pydict({"path": [path], "ctx": [int(ctx[0])], "word": [int(word[0])], "entries": [len(ctx)]})
+            word, n = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(2))
+            path = os.path.join(folder, f"level1-{TaskContext.get().partitionId():06d}.ef")
+            write_shard(path, np.zeros(len(word), np.int64), word, count=smallest(n))
+            at, step = ranges_of(n, distinct, most)
+            yield pa.RecordBatch.from_pydict({"path": [path], "ctx": [0], "word": [int(word[0])], "entries": [len(word)], "at": [at], "step": [step]})
+
+    pieces = max(1, -(-distinct // SHARD_ENTRIES))
+    made = words.repartitionByRange(pieces, "word").sortWithinPartitions("word").mapInArrow(run, "path string, ctx long, word long, entries long, at array<long>, step array<long>")
+    rows = sorted(made.collect(), key=lambda r: r.word)  # one short row a shard
+    return (tuple(tuple(r)[:4] for r in rows), ()), ranges_over(rows)
+
+
+def ranges_over(rows: list) -> list[tuple[int, int]]:
+    """Starts of the next level's ranges, from those within each shard; the shards in order."""
+    offsets = itertools.accumulate((r.entries for r in rows), initial=0)
+    return [(o + a, w) for r, o in zip(rows, offsets) for a, w in zip(r["at"], r["step"], strict=True)]
+
+
+def range_numbers(starts: tuple[np.ndarray, np.ndarray], ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Number of the range that each (ctx, word), sorted, lies in."""
+    left, right = np.searchsorted(starts[0], ctx, "left"), np.searchsorted(starts[0], ctx, "right")
+    out = right - 1
+    split = np.flatnonzero(right - left > 1)
+    firsts = np.flatnonzero(np.diff(ctx[split], prepend=-1))
+    for i, j in itertools.pairwise([*firsts.tolist(), len(split)]):
+        at, a, b = split[i:j], left[split[i]], right[split[i]]
+        out[at] = a + np.searchsorted(starts[1][a:b], word[at], "right") - 1
+    return out
+
+
+def packed(ctx: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted counts as narrow compressed columns."""
+    columns = {"ctx": smallest(np.diff(ctx, prepend=ctx[:1])), "word": smallest(word), "n": smallest(n)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    pieces = max(1, -(-total // SHARD_ENTRIES))
-    made = rows.repartitionByRange(pieces, "ctx", "word").sortWithinPartitions("ctx", "word").mapInArrow(run, "path string, ctx long, word long, entries long")
-    return [tuple(r) for r in made.collect()]  # one short row a shard
 
+def unpacked(ctx0: int, data: bytes) -> list[np.ndarray]:
+    ctx, word, n = (c.to_numpy().astype(np.int64) for c in pa.ipc.open_stream(data).read_next_batch().columns)
+    return [ctx0 + np.cumsum(ctx), word, n]
 
-def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Count and write a model from all given documents. Null texts count as empty: one end token each."""
+
+def summed(ctx: np.ndarray, word: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (ctx, word), sorted, with the sum of n (or how often each occurs)."""
+    rank = by_pair(ctx, word)
+    ctx, word = ctx[rank], word[rank]
+    new = np.flatnonzero((np.diff(ctx, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+    total = np.diff(new, append=len(ctx)) if n is None else np.add.reduceat(n[rank], new) if len(new) else n
+    return ctx[new], word[new], total
+
+
+def higher_level(blocks: DataFrame, folder: str, below: Model, starts: list[tuple[int, int]], least: int, most: int) -> tuple[tuple, list[tuple[int, int]]]:
+    """Add up packed counts (part, ctx0, data) and write the level above those of below: the level and the ranges of the next."""
+    k = len(below.levels) + 1
+    shared = {c for (c, _), (d, _) in itertools.pairwise(starts) if c == d}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list] = {}
+        for batch in batches:
+            for part, ctx0, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                got.setdefault(part, []).append(unpacked(ctx0, data))
+        for part, pieces in got.items():
+            ctx, word, n = summed(*(np.concatenate(c) for c in zip(*pieces, strict=True)))
+            pieces.clear()
+            ctx, word, n = (x[n >= least] for x in (ctx, word, n))
+            if not len(ctx):
+                continue
+            first = np.flatnonzero(np.diff(ctx, prepend=-1))
+            of = np.maximum(entry_counts(below, k - 1, ctx[first]), 1)
+            sizes = np.diff(first, append=len(ctx))
+            taken = np.add.reduceat(n - DISCOUNT, first) / of
+            path = os.path.join(folder, f"level{k}-{part:06d}.ef")
+            write_shard(path, ctx, word, count=smallest(n), code=encoded((n - DISCOUNT) / np.repeat(of, sizes)), rest=encoded(np.maximum(1 - taken, 1e-8)))
+            at, step = ranges_of(n, below.distinct, most)
+            split = float(taken[0]) if int(ctx[0]) in shared else None  # a range of a split context holds no other
+            yield pa.RecordBatch.from_pydict({"path": [path], "ctx": [starts[part][0]], "word": [starts[part][1]], "entries": [len(ctx)], "at": [at], "step": [step],
+                                              "taken": pa.array([split], pa.float64())})
+
+    made = blocks.repartitionById(max(1, len(starts)), "part").mapInArrow(run, "path string, ctx long, word long, entries long, at array<long>, step array<long>, taken double")
+    rows = sorted(made.collect(), key=lambda r: (r.ctx, r.word))  # one short row a shard
+    left: dict[int, float] = {}
+    for r in rows:
+        if r.taken is not None:
+            left[r.ctx] = left.get(r.ctx, 1.0) - r.taken
+    return (tuple(tuple(r)[:4] for r in rows), tuple((c, int(encoded(np.array([max(v, 1e-8)]))[0])) for c, v in left.items())), ranges_over(rows)
+
+
+def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE_TOKENS) -> Model:
+    """Count and write a model from all given documents. Null texts count as empty: one end token each.
+    range_tokens is about how many n-grams a task of the higher levels adds up."""
     spark = docs.sparkSession
     folder = local_path(shared_dir(spark, "ngram-trie"))
     os.makedirs(folder, exist_ok=True)
@@ -177,11 +280,13 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id
     texts.mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
     words = spark.read.schema("word long, n long").parquet(path)
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = Model([shards(words.select(F.lit(0).cast("long").alias("ctx"), "word", "n"), folder, "level1", distinct, None)], tokens, distinct)
+    made, starts = first_level(words, folder, distinct, range_tokens)
     remove(spark, words)
+    model = Model([made], tokens, distinct)
     for k in range(2, order + 1):
+        cuts = tuple(np.array([s[i] for s in starts], np.int64) for i in range(2))
 
-        def count_ngrams(batches: Iterator[pa.RecordBatch], model=model, k=k) -> Iterator[pa.RecordBatch]:
+        def count_ngrams(batches: Iterator[pa.RecordBatch], model=model, k=k, cuts=cuts) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, own in runs(batch):
                     entries, counts, _, sizes = chain(model, own, k - 1)
@@ -191,34 +296,20 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id
                     fine = (ctx >= 0) & (entries[0] >= 0) & (below >= 0)
                     if k == 2:
                         fine &= (counts >= least) & (shifted(counts, sizes, None) >= least)
-                    ctx, word = ctx[fine], entries[0][fine] + 1
-                    rank = by_pair(ctx, word)
-                    ctx, word = ctx[rank], word[rank]
-                    new = np.flatnonzero((np.diff(ctx, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
-                    yield pa.RecordBatch.from_pydict({"ctx": ctx[new], "word": word[new], "n": np.diff(new, append=len(ctx))})
-
-        path = shared_dir(spark, "ngram-counts")
-        counted = texts.mapInArrow(count_ngrams, "ctx long, word long, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
-        counted.where(F.col("n") >= least).write.parquet(path)
-        kept = spark.read.schema("ctx long, word long, n long").parquet(path)
-
-        def shares(batches: Iterator[pa.RecordBatch], model=model, k=k) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ctx, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                of = entry_counts(model, k - 1, ctx)
-                yield pa.RecordBatch.from_pydict({"ctx": ctx, "word": np.zeros(len(ctx), np.int64), "n": np.round(np.maximum(1 - n / np.maximum(of, 1), 1e-8) * 1e9).astype(np.int64)})
-
-        # word 0 of a context holds what its kept n-grams leave over
-        held = kept.groupBy("ctx").agg(F.sum(F.col("n") - DISCOUNT).alias("n"))
-        rows = kept.unionByName(held.mapInArrow(shares, "ctx long, word long, n long"))
-        model = Model([*model.levels, shards(rows, folder, f"level{k}", kept.count(), model)], tokens, distinct)
-        remove(spark, kept)
+                    ctx, word, n = summed(ctx[fine], entries[0][fine] + 1)
+                    part = range_numbers(cuts, ctx, word)
+                    first = np.flatnonzero(np.diff(part, prepend=-1))
+                    blocks = [packed(*(x[i:j] for x in (ctx, word, n))) for i, j in itertools.pairwise([*first.tolist(), len(part)])]
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(part[first], pa.int32()), "ctx0": ctx[first], "data": pa.array(blocks, pa.binary())})
+
+        made, starts = higher_level(texts.mapInArrow(count_ngrams, "part int, ctx0 long, data binary"), folder, model, starts, least, range_tokens)
+        model = Model([*model.levels, made], tokens, distinct)
     return model
 
 
 def entry_counts(model: Model, k: int, entries: np.ndarray) -> np.ndarray:
     """Counts of entries of level k by their index, 0 for -1."""
-    found, out = level(tuple(model.levels[k - 1])), np.zeros(len(entries), np.int64)
+    found, out = level(model.levels[k - 1]), np.zeros(len(entries), np.int64)
     which = np.searchsorted(found.offsets, entries, "right") - 1
     for s in np.unique(which[entries >= 0]).tolist():
         at = np.flatnonzero((which == s) & (entries >= 0))
@@ -235,9 +326,7 @@ def log_scores(model: Model, own: list[list[bytes]]) -> tuple[np.ndarray, np.nda
     below = entries[0]
     for k in range(1, len(model.levels)):
         ctx = shifted(below, sizes, None if k == 1 else -1)
-        found = level(tuple(model.levels[k]))
-        below, code = lookup(found, ctx, np.where(entries[0] >= 0, entries[0] + 1, -1), "code")
-        _, rest = lookup(found, ctx, np.zeros(len(ctx), np.int64), "code")
+        below, code, rest = lookup(level(model.levels[k]), ctx, entries[0] + 1, "code", "rest")
         p = decoded(code) + np.where(rest > 0, decoded(rest), 1.0) * p
     return sizes, np.add.reduceat((counts > 0).astype(np.int64), starts), base, np.add.reduceat(np.log10(p), starts)
 
