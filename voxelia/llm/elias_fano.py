@@ -24,17 +24,22 @@ def or_into(words: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
         words[at[starts]] |= np.bitwise_or.reduceat(values, starts)
 
 
+LOW, HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)  # the lowest and the highest bit of each byte
+#: Place of the set bit number r of a byte at [8 * byte + r].
+IN_BYTE = np.argsort(1 - (np.arange(256)[:, None] >> np.arange(8) & 1), axis=1, kind="stable").astype(np.uint64).ravel()
+
+
 def in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the set bit number rank (from 0) in each word."""
-    place = np.zeros(len(words), np.int64)
-    left = rank.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        part = (words >> place.astype(np.uint64)) & np.uint64((1 << width) - 1)
-        count = np.bitwise_count(part).astype(np.int64)
-        beyond = left >= count
-        left -= np.where(beyond, count, 0)
-        place += np.where(beyond, width, 0)
-    return place
+    """Place of the set bit number rank (from 0) in each word, which must have so many: the byte by counts up
+    to each byte, side by side in one word, then the bit from a table."""
+    k = rank.astype(np.uint64)
+    upto = words - (words >> ONE & LOW * np.uint64(0x55))
+    upto = (upto & LOW * np.uint64(0x33)) + (upto >> np.uint64(2) & LOW * np.uint64(0x33))
+    upto = (upto + (upto >> np.uint64(4)) & LOW * np.uint64(0x0F)) * LOW
+    place = np.bitwise_count((k * LOW | HIGH) - upto & HIGH).astype(np.uint64) << np.uint64(3)
+    before = upto << np.uint64(8) >> place & np.uint64(255)
+    byte = words >> place & np.uint64(255)
+    return (place + IN_BYTE[(byte << np.uint64(3)) + k - before]).astype(np.int64)
 
 
 class EliasFano:
@@ -93,10 +98,22 @@ class EliasFano:
         out[k] = np.minimum(place - zero, self.n)
         return out
 
+    def having(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places from and to (exclusive) of the values with the high part h: ones up to the next zero."""
+        a = self.below(h)
+        bit = a + h
+        there = (h <= self.most) & (bit >> 6 < len(self.high))
+        rest = ~self.high[np.where(there, bit >> 6, 0)] >> (bit & 63).astype(np.uint64)
+        b = a + np.bitwise_count((rest & (~rest + ONE)) - ONE)
+        far = np.flatnonzero(~there | (rest == 0))  # the next zero is in a later word
+        b[far] = self.below(h[far] + 1)
+        return a, b
+
     def find(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Place of x between start and end, or -1."""
         h, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
-        a, b = np.maximum(start, self.below(h)), np.minimum(end, self.below(h + 1))
+        a, b = self.having(h)
+        a, b = np.maximum(start, a), np.minimum(end, b)
         last = b.copy()
         live = np.flatnonzero(a < b)
         while len(live):
@@ -146,7 +163,7 @@ class Shard:
     """A memory-mapped shard file."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
         size = int.from_bytes(raw[:8].tobytes(), "little")
         head = json.loads(raw[8 : 8 + size].tobytes())
         self.columns = {k: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for k, (at, n, kind) in head["arrays"].items()}

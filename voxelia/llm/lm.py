@@ -99,8 +99,8 @@ def runs(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[tuple[list, l
 
 def flat_numbers(own: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each token, hash of each number's word, tokens of each text)."""
-    seen: dict[bytes, int] = {}
-    number = np.fromiter((seen.setdefault(w, len(seen)) for w in itertools.chain.from_iterable(own)), np.int64)
+    seen = dict(zip(dict.fromkeys(itertools.chain.from_iterable(own)), itertools.count()))
+    number = np.fromiter(map(seen.__getitem__, itertools.chain.from_iterable(own)), np.int64)
     digest = xxhash.xxh3_64_intdigest
     hashes = np.fromiter((digest(w) >> 1 for w in seen), np.int64, len(seen))
     return number, hashes, np.fromiter(map(len, own), np.int64, len(own))
