@@ -122,3 +122,21 @@ def stored_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = C.vox(spark, sf_dir)
     range_ = v.groupBy("scan").agg((F.greatest(F.max("v"), F.lit(1.0)) - F.min("v")).alias("m"))
     return v.join(range_, "scan").select(*CELL, F.round(F.col("v") / F.col("m"), 6).alias("v"))
+
+
+def made_cells(spark: SparkSession, patients: int, scans: int, slices: int, rows: int, columns: int) -> DataFrame:
+    """(pid, scan, z, y, x, location, v): test scans of unsigned 16-bit noise, slices 0.7 apart. A value
+    depends on its place alone, so a task that runs again makes the same cells."""
+    cells = C.grid(spark, pid=patients, scan=scans, z=slices, y=rows, x=columns)
+    place = (((F.col("pid") * scans + F.col("scan")) * slices + F.col("z")) * rows + F.col("y")) * columns + F.col("x")
+    noise = (place % 2147483647 * 48271 + 12345) % 2147483647 * 69621 % 2147483647 % 65536
+    return cells.select("pid", *CELL, F.round(F.col("z") * 0.7, 1).alias("location"), noise.alias("v"))
+
+
+@query("""WITH c AS (SELECT p.i AS pid, s.i AS scan, z.i AS z, y.i AS y, x.i AS x, (((p.i * 2 + s.i) * 2 + z.i) * 384 + y.i) * 512 + x.i AS k FROM range(2) p(i), range(2) s(i), range(2) z(i), range(384) y(i), range(512) x(i)),
+  v AS (SELECT *, (k % 2147483647 * 48271 + 12345) % 2147483647 * 69621 % 2147483647 % 65536 AS v FROM c)
+  SELECT pid, scan, z, round(z * 0.7, 1)::DOUBLE AS location, y, min(v) AS least, max(v) AS most, sum(v * (x + 1))::BIGINT AS mark FROM v GROUP BY pid, scan, z, y""")
+def made_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two patients with two scans of two slices each; a row of cells told by its ends and a weighted sum."""
+    cells = made_cells(spark, 2, 2, 2, 384, 512)
+    return cells.groupBy("pid", "scan", "z", "location", "y").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v") * (F.col("x") + 1)).alias("mark"))
