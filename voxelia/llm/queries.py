@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelia.llm import byte_bpe, conversations, decontaminate, html_blocks, licences, line_dedup, lm, parity_join, quality, repair, secrets
+from voxelia.llm import byte_bpe, conversations, decontaminate, html_blocks, licences, line_dedup, lm, parity_join, quality, repair, secrets, warc
 from voxelia.llm.common import shared_dir, table
 
 
@@ -61,5 +61,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.repair(rows, lost="lost"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_parity_join, op4_licence_scan, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text, op11_conversation_repair)}
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.payloads(warc.read(spark, path, payload=False)).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_parity_join, op4_licence_scan, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text, op11_conversation_repair, op12_warc_archives)}
 SQL: dict[str, str] = {}
