@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelia.llm import byte_bpe, conversations, decontaminate, html_blocks, licences, line_dedup, lm, parity_join, quality, repair, secrets, warc
-from voxelia.llm.common import shared_dir, table
+from voxelia.llm import byte_bpe, conversations, decontaminate, html_blocks, licences, line_dedup, lm, parity_join, prefix_trie, quality, repair, secrets, warc
+from voxelia.llm.common import shared_dir, table, written
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +67,10 @@ def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payloads(warc.read(spark, path, payload=False)).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_parity_join, op4_licence_scan, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text, op11_conversation_repair, op12_warc_archives)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(prefix_trie.paths(table(spark, sf_dir, "conversations")), "own-paths")
+    return prefix_trie.trie(prefix_trie.rebuilt(own)).drop("id", "parent_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_parity_join, op4_licence_scan, op5_decontamination, op6_token_files, op7_secret_scan, op8_byte_bpe, op9_lm_scores, op10_html_text, op11_conversation_repair, op12_warc_archives, op13_prefix_trie)}
 SQL: dict[str, str] = {}
