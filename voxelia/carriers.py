@@ -111,6 +111,36 @@ def ell(spark: SparkSession, sf_dir: str) -> DataFrame:
 CTE["ell"] = "ell AS (SELECT p_partkey AS id, p_partkey % 2 AS scan, p_partkey % 3 AS axis, (p_partkey // 3) % 40 AS layer, (p_partkey % 37)::DOUBLE AS cx, (p_partkey % 41)::DOUBLE AS cy, p_size::DOUBLE AS short, (p_size + p_partkey % 9)::DOUBLE AS long, (p_partkey % 180)::DOUBLE AS angle, p_partkey % 4 AS class FROM part)"
 
 
+#: Ellipses of so many bodies.
+BODIES = 60
+
+
+def body_ell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ell, from orders: every customer's orders are ellipses of one of BODIES bodies, seen in three
+    planes and shrinking from the middle; every sixth body is a tube in one plane, every eleventh order lies anywhere."""
+    k, b, cents = F.col("o_orderkey"), F.col("o_custkey") % BODIES, F.floor(F.col("o_totalprice") * 100).cast("long")
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), b.alias("b"), (F.floor(k / 3) % 7 - 3).alias("d"), (cents % 97 / 97 - 0.5).alias("u"), (cents % 89 / 89 - 0.5).alias("w"), F.when(b % 6 == 0, 0).otherwise(k % 3).alias("axis"), (k % 11 == 0).alias("odd"))
+    b, d = F.col("b"), F.col("d")
+    rows = rows.select("*", (b * 37 % 61 + 10).alias("b0"), (b * 53 % 67 + 10).alias("b1"), (b * 29 % 59 + 10).alias("b2"), F.when(b % 6 == 0, 8.0).otherwise((2 * (5 + b % 5)) * F.sqrt(1 - (d / 4) ** 2)).alias("short"))
+    on = lambda x, y, z: F.when(F.col("axis") == 0, x).when(F.col("axis") == 1, y).otherwise(z)
+    away = lambda m: F.when(F.col("odd"), F.col("id") % m).otherwise(0)
+    return rows.select(
+        "id", (F.floor(b / 4) % 2).cast("long").alias("scan"), F.col("axis").cast("long").alias("axis"), (on(F.col("b0"), F.col("b1"), F.col("b2")) + d).cast("long").alias("layer"),
+        (on(F.col("b2"), F.col("b2"), F.col("b1")) + F.col("w") + away(23)).cast("double").alias("cx"), (on(F.col("b1"), F.col("b0"), F.col("b0")) + F.col("u") + away(19)).cast("double").alias("cy"),
+        "short", (F.col("short") * (1 + F.col("id") % 5 / 10)).alias("long"), (F.col("id") % 180).cast("double").alias("angle"), (b % 4).alias("class"))
+
+
+CTE["body_ell"] = f"""body_rows AS (
+  SELECT o_orderkey AS id, o_custkey % {BODIES} AS b, (o_orderkey // 3) % 7 - 3 AS d, floor(o_totalprice * 100)::BIGINT % 97 / 97 - 0.5 AS u, floor(o_totalprice * 100)::BIGINT % 89 / 89 - 0.5 AS w,
+    CASE WHEN o_custkey % {BODIES} % 6 = 0 THEN 0 ELSE o_orderkey % 3 END AS axis, o_orderkey % 11 = 0 AS odd FROM orders),
+body_ell AS (
+  SELECT id, (b // 4) % 2 AS scan, axis, CASE axis WHEN 0 THEN b * 37 % 61 + 10 WHEN 1 THEN b * 53 % 67 + 10 ELSE b * 29 % 59 + 10 END + d AS layer,
+    (CASE axis WHEN 2 THEN b * 53 % 67 + 10 ELSE b * 29 % 59 + 10 END + w + CASE WHEN odd THEN id % 23 ELSE 0 END)::DOUBLE AS cx,
+    (CASE axis WHEN 0 THEN b * 53 % 67 + 10 ELSE b * 37 % 61 + 10 END + u + CASE WHEN odd THEN id % 19 ELSE 0 END)::DOUBLE AS cy,
+    s AS short, s * (1 + id % 5 / 10) AS long, (id % 180)::DOUBLE AS angle, b % 4 AS class
+  FROM (SELECT *, CASE WHEN b % 6 = 0 THEN 8.0::DOUBLE ELSE 2 * (5 + b % 5) * sqrt(1 - (d / 4) ** 2) END AS s FROM body_rows))"""
+
+
 def metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, step, value): a metric series for each event type."""
     return slice_series(spark, sf_dir).select(F.col("series").alias("name"), F.col("z").alias("step"), F.col("location").alias("value"))

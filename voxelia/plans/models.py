@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxelia import carriers as C
 from voxelia.carriers import CTE, rounded
 from voxelia.operators import sections as S
+from voxelia.operators.density import density_clusters
 from voxelia.plans.sections import CENTRES, ELL, VALUES
 from voxelia.registry import query
 
@@ -73,34 +74,60 @@ def ellipse_sieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lifted(C.ell(spark, sf_dir)).where(fits & (F.sqrt((F.col("cx") - 18) ** 2 + (F.col("cy") - 20) ** 2) <= 10)).select("id")
 
 
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ellipses of C.body_ell in space, with core and label: density clusters of the centres of each scan and class."""
+    e = S.lifted(C.body_ell(spark, sf_dir)).withColumn("group", F.struct("scan", "class"))
+    return density_clusters(e, 2.0, 5).drop("group")
+
+
+LIFT = "lifted AS (SELECT *, CASE axis WHEN 0 THEN layer ELSE cy END::DOUBLE AS c0, CASE axis WHEN 0 THEN cy WHEN 1 THEN layer ELSE cx END::DOUBLE AS c1, CASE axis WHEN 2 THEN layer ELSE cx END::DOUBLE AS c2, short * long * pi() / 4 AS area FROM body_ell)"
+CLUSTERS = f"""WITH RECURSIVE {CTE['body_ell']}, {LIFT},
+near AS MATERIALIZED (SELECT a.scan, a.class, a.id AS a, b.id AS b FROM lifted a JOIN lifted b ON a.scan = b.scan AND a.class = b.class AND (a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2 + (a.c2 - b.c2) ** 2 <= 4),
+core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
+link AS MATERIALIZED (SELECT n.a, n.b FROM near n JOIN core x ON n.a = x.id JOIN core y ON n.b = y.id),
+reach(id, c) USING KEY (id) AS (
+  SELECT id, id FROM core
+  UNION
+  SELECT l.b, min(r.c) FROM reach r JOIN link l ON l.a = r.id JOIN recurring.reach o ON o.id = l.b WHERE r.c < o.c GROUP BY l.b),
+number AS (SELECT c, row_number() OVER (PARTITION BY scan, class ORDER BY c) - 1 AS label FROM (SELECT DISTINCT c FROM reach) JOIN lifted ON id = c),
+owned AS (SELECT r.id, n.label FROM reach r JOIN number n USING (c)),
+edge AS (SELECT n.a AS id, min(o.label) AS label FROM near n JOIN owned o ON n.b = o.id WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a),
+labelled AS (SELECT l.*, o.id IS NOT NULL AS core, coalesce(o.label, e.label, -1) AS label FROM lifted l LEFT JOIN owned o USING (id) LEFT JOIN edge e USING (id))"""
+
+
+@query(CLUSTERS + " SELECT id, scan, class, core, label FROM labelled")
+def density_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and kind of every ellipse's centre."""
+    return clustered(spark, sf_dir).select("id", "scan", "class", "core", "label")
+
+
 def ellipsoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scan, class, c0, c1, c2, size, volume, keep): ellipses of a class and scan taken as one body."""
-    e = S.lifted(C.ell(spark, sf_dir))
-    on = lambda f, c, k: f(F.when(F.col("axis") == k, F.col(c)))
-    g = e.groupBy("scan", "class").agg(
-        *[F.avg(c).alias(c) for c in ("c0", "c1", "c2")], *[on(F.countDistinct, "layer", k).cast("double").alias(f"s{k}") for k in range(3)],
-        *[on(F.sum, "area", k).alias(f"v{k}") for k in range(3)], F.min(F.col("short") / F.col("long")).alias("ratio"))
-    sizes = F.sort_array(F.array("s0", "s1", "s2"))
-    g = g.withColumn("size", sizes[2]).withColumn("volume", F.greatest("v0", "v1", "v2"))
-    return g.withColumn("keep", (F.col("size") > 0) & ((sizes[1] / F.col("size") > 0.6) | (F.sqrt("ratio") > 0.5)))
+    """Bodies of clustered ellipses, by scan and class."""
+    return S.bodies(clustered(spark, sf_dir), 0.5, "scan", "class")
 
 
-BODIES = ELL + ", b AS (SELECT scan, class, avg(c0) AS c0, avg(c1) AS c1, avg(c2) AS c2, list_sort([" + ", ".join(f"count(DISTINCT layer) FILTER (axis = {k})" for k in range(3)) + "])::DOUBLE[] AS s, greatest(" + ", ".join(f"sum(area) FILTER (axis = {k})" for k in range(3)) + ") AS volume, min(short / long) AS ratio FROM lifted GROUP BY scan, class)"
+BODIES = CLUSTERS + """,
+areas AS (SELECT scan, class, label, axis, quantile_cont(area, 0.1) / quantile_cont(area, 0.9) AS ratio, sum(area) AS volume FROM labelled WHERE label >= 0 GROUP BY ALL),
+b AS (SELECT scan, class, label, """ + ", ".join(f"avg(c{k}) AS c{k}, min(c{k}) AS min_{k}, max(c{k}) AS max_{k}, count(*) FILTER (axis = {k}) AS n_{k}" for k in range(3)) + """,
+  list_sort([max(c0) - min(c0), max(c1) - min(c1), max(c2) - min(c2)]) AS s FROM labelled WHERE label >= 0 GROUP BY ALL),
+found AS (SELECT b.*, a.volume, s[3] > 0 AND (s[2] / s[3] > 0.5 OR sqrt(a.ratio) > 0.5) AS keep FROM b JOIN (SELECT scan, class, label, max(volume) AS volume, min(ratio) AS ratio FROM areas GROUP BY ALL) a USING (scan, class, label))"""
+CENTRE_SQL = ", ".join(f"round(c{k}, 4) + 0.0 AS c{k}, round(min_{k}, 4) + 0.0 AS min_{k}, round(max_{k}, 4) + 0.0 AS max_{k}, n_{k}" for k in range(3))
 
 
-@query(BODIES + " SELECT scan, class, round(c0, 4) + 0.0 AS c0, round(c1, 4) + 0.0 AS c1, round(c2, 4) + 0.0 AS c2, s[3] AS size, round(volume, 2) AS volume, s[3] > 0 AND (s[2] / s[3] > 0.6 OR sqrt(ratio) > 0.5) AS keep FROM b")
+@query(BODIES + f" SELECT scan, class, label, {CENTRE_SQL}, round(volume, 2) AS volume, keep FROM found")
 def ellipsoid_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ellipsoids(spark, sf_dir).select("scan", "class", *[rounded(c, 4).alias(c) for c in ("c0", "c1", "c2")], "size", F.round("volume", 2).alias("volume"), "keep")
+    shown = [c for k in range(3) for c in (*[rounded(f"{n}{k}", 4).alias(f"{n}{k}") for n in ("c", "min_", "max_")], F.col(f"n_{k}"))]
+    return ellipsoids(spark, sf_dir).select("scan", "class", "label", *shown, F.round("volume", 2).alias("volume"), "keep")
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, scan, class, centre): the bodies, of which there are as many as scans and classes, largest first."""
-    place = F.row_number().over(W.orderBy("scan", F.desc(F.round("volume", 2)), "class")) - 1
+    """(id, scan, class, centre): the bodies kept, numbered in each scan, largest first."""
+    place = F.row_number().over(W.partitionBy("scan").orderBy(F.desc(F.round("volume", 2)), "class", "label")) - 1
     centre = F.format_string("[%.2f %.2f %.2f]", F.round("c0", 2), F.round("c1", 2), F.round("c2", 2))
-    return ellipsoids(spark, sf_dir).select(place.cast("long").alias("id"), "scan", "class", centre.alias("centre"))
+    return ellipsoids(spark, sf_dir).where("keep").select(place.cast("long").alias("id"), "scan", "class", centre.alias("centre"))
 
 
-REPORT = BODIES + ", report AS (SELECT row_number() OVER (ORDER BY scan, round(volume, 2) DESC, class) - 1 AS id, scan, class, printf('[%.2f %.2f %.2f]', round(c0, 2), round(c1, 2), round(c2, 2)) AS centre FROM b)"
+REPORT = BODIES + ", report AS (SELECT row_number() OVER (PARTITION BY scan ORDER BY round(volume, 2) DESC, class, label) - 1 AS id, scan, class, printf('[%.2f %.2f %.2f]', round(c0, 2), round(c1, 2), round(c2, 2)) AS centre FROM found WHERE keep)"
 
 
 @query(REPORT + " SELECT * FROM report")
@@ -108,11 +135,11 @@ def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir)
 
 
-@query(REPORT + ", p AS (SELECT id, list_filter(string_split(trim(centre, '[]'), ' '), lambda t: t <> '') AS t FROM report) SELECT id, round(t[1]::DOUBLE)::BIGINT AS c0, round(t[2]::DOUBLE)::BIGINT AS c1, round(t[3]::DOUBLE)::BIGINT AS c2 FROM p")
+@query(REPORT + ", p AS (SELECT scan, id, list_filter(string_split(trim(centre, '[]'), ' '), lambda t: t <> '') AS t FROM report) SELECT scan, id, round(t[1]::DOUBLE)::BIGINT AS c0, round(t[2]::DOUBLE)::BIGINT AS c1, round(t[3]::DOUBLE)::BIGINT AS c2 FROM p")
 def centre_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's centres read back from their text."""
     parts = F.filter(F.split(F.trim("centre", F.lit("[]")), " "), lambda t: t != "")
-    return report(spark, sf_dir).select("id", parts.alias("t")).select("id", *[F.round(F.col("t")[k].cast("double")).cast("long").alias(f"c{k}") for k in range(3)])
+    return report(spark, sf_dir).select("scan", "id", parts.alias("t")).select("scan", "id", *[F.round(F.col("t")[k].cast("double")).cast("long").alias(f"c{k}") for k in range(3)])
 
 
 @query(ELL + ", o AS (SELECT scan, layer + d AS k, id, abs(d) AS far FROM lifted CROSS JOIN range(-2, 3) t(d) WHERE axis = 2) SELECT scan, k, arg_min(id, (far, id)) AS id, min(far) AS far FROM o GROUP BY scan, k")
