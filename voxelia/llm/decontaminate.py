@@ -237,7 +237,7 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, most_items: int,
 LIMITS = {"most_items": 5000, "most_chars": 2_000_000}
 
 
-def groups(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list]]:
+def groups(column: pa.Array, most: int = 750_000) -> Iterator[tuple[int, list]]:
     """Runs of texts of about most characters together, with the row of the first."""
     run, chars, first = [], 0, 0
     for k, t in enumerate(column):
@@ -288,8 +288,8 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = 0.2, text_col: str =
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block, rate)
             for batch in batches:
-                fine = [not own for _, texts in groups(batch.column(where)) for own in index.search(texts)]
-                yield batch.filter(pa.array(fine, pa.bool_()))
+                for first, texts in groups(batch.column(where)):
+                    yield batch.slice(first, len(texts)).filter(pa.array([not own for own in index.search(texts)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
