@@ -57,31 +57,6 @@ def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distances(spark, sf_dir).withColumn("d", rounded("d"))
 
 
-@query(DIST + " SELECT scan, z, y, x, arg_min(label, (d, label)) AS label, round(min(d), 6) + 0.0 AS d FROM dist GROUP BY scan, z, y, x HAVING min(d) < 5")
-def match_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest control point of each point, where it is nearer than 5."""
-    best = distances(spark, sf_dir).groupBy("scan", "z", "y", "x").agg(F.min(F.struct("d", "label")).alias("m"))
-    return best.where("m.d < 5").select("scan", "z", "y", "x", F.col("m.label").alias("label"), rounded("m.d").alias("d"))
-
-
-ORDERS = ["012", "021", "102", "120", "201", "210"]
-
-
-@query(f"WITH {CTE['ell']}, n AS (SELECT class, cx, cy, row_number() OVER (PARTITION BY class ORDER BY id) - 1 AS k FROM ell), s AS (SELECT class, " + ", ".join(f"max(cx) FILTER (k = {k}) AS x{k}, max(cy) FILTER (k = {k}) AS y{k}" for k in range(6)) + " FROM n WHERE k < 6 GROUP BY class) SELECT class, round(least(" + ", ".join(" + ".join(f"sqrt((x{i} - x{3 + int(j)}) ** 2 + (y{i} - y{3 + int(j)}) ** 2)" for i, j in enumerate(o)) for o in ORDERS) + "), 6) AS cost FROM s")
-def assignment_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least total distance of three centres of a class to its next three, over all assignments."""
-    first = F.slice(F.sort_array(F.collect_list(F.struct("id", "cx", "cy"))), 1, 6)
-    # only the six smallest ids of a class can be among the first: the rest goes before anything is collected
-    ranked = C.ell(spark, sf_dir).select("class", "id", "cx", "cy", F.row_number().over(W.partitionBy("class").orderBy("id")).alias("k")).where("k <= 6")
-    s = ranked.groupBy("class").agg(first.alias("p"))
-
-    def far(i: int, j: int):
-        a, b = F.col("p")[i], F.col("p")[3 + j]
-        return F.sqrt((a["cx"] - b["cx"]) ** 2 + (a["cy"] - b["cy"]) ** 2)
-
-    return s.select("class", F.round(F.least(*[sum((far(i, int(j)) for i, j in enumerate(o)), F.lit(0.0)) for o in ORDERS]), 6).alias("cost"))
-
-
 @query(PTS + " SELECT scan, count(*) AS n, round(regr_slope(v, x), 4) + 0.0 AS slope, round(regr_intercept(v, x), 4) + 0.0 AS intercept FROM pts WHERE (z - 4) ** 2 + (y - 8) ** 2 + (x - 8) ** 2 < 64 GROUP BY scan")
 def radial_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least squares of the value on x, over the points within 8 of the middle."""

@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from voxelia.plans import grids, models, points, rasters, sections, series, vectors  # noqa: E402, F401
+from voxelia.plans import fits, grids, models, points, rasters, registration, sections, series, vectors  # noqa: E402, F401
