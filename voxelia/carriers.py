@@ -141,6 +141,32 @@ body_ell AS (
   FROM (SELECT *, CASE WHEN b % 6 = 0 THEN 8.0::DOUBLE ELSE 2 * (5 + b % 5) * sqrt(1 - (d / 4) ** 2) END AS s FROM body_rows))"""
 
 
+#: Planes of drawn ellipses have so many pixels a side.
+PLANE = 48
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plane, y, x, label): a plane for each part with its filled ellipse, label 1; every third has a smaller one in it,
+    label 2, every fourth a hole, every seventh lacks its lower half."""
+    k = F.col("p_partkey")
+    short = (F.col("p_size") % 12 + 9).cast("double")
+    rows = table(spark, sf_dir, "part").select(k.alias("plane"), short.alias("s"), (short * (1 + k % 6 / 5)).alias("l"), F.radians((k * 7 % 180 + 0.5)).alias("t"), (23.5 + k % 5).alias("mx"), (24.5 - k % 4).alias("my"))
+    box = F.explode(F.sequence(F.lit(0), F.lit(PLANE * PLANE - 1))).alias("i")
+    at = rows.select("*", box).select("*", F.floor(F.col("i") / PLANE).alias("y"), (F.col("i") % PLANE).cast("long").alias("x"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    p, q = dx * F.cos("t") + dy * F.sin("t"), dy * F.cos("t") - dx * F.sin("t")
+    r = at.withColumn("r", 4 * (p * p / (F.col("s") * F.col("s")) + q * q / (F.col("l") * F.col("l"))))
+    label = F.when((F.col("plane") % 7 == 0) & (F.col("y") > 24), 0).when(F.col("r") > 1.0101, 0).when((F.col("plane") % 4 == 0) & (F.col("r") < 0.1011), 0).when((F.col("plane") % 3 == 0) & (F.col("r") < 0.4111), 2).otherwise(1)
+    return r.select("plane", "y", "x", label.cast("long").alias("label"))
+
+
+CTE["drawn"] = f"""drawn AS (
+  SELECT plane, y, x, CASE WHEN plane % 7 = 0 AND y > 24 THEN 0 WHEN r > 1.0101::DOUBLE THEN 0 WHEN plane % 4 = 0 AND r < 0.1011::DOUBLE THEN 0 WHEN plane % 3 = 0 AND r < 0.4111::DOUBLE THEN 2 ELSE 1 END::BIGINT AS label
+  FROM (SELECT plane, y, x, 4 * (power(dx * cos(t) + dy * sin(t), 2) / (s * s) + power(dy * cos(t) - dx * sin(t), 2) / (l * l)) AS r
+        FROM (SELECT plane, s, s * (1 + plane % 6 / 5) AS l, t, y.i AS y, x.i AS x, x.i - mx AS dx, y.i - my AS dy
+              FROM (SELECT p_partkey AS plane, (p_size % 12 + 9)::DOUBLE AS s, radians(p_partkey * 7 % 180 + 0.5::DOUBLE) AS t, 23.5::DOUBLE + p_partkey % 5 AS mx, 24.5::DOUBLE - p_partkey % 4 AS my FROM part), range({PLANE}) y(i), range({PLANE}) x(i))))"""
+
+
 def metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, step, value): a metric series for each event type."""
     return slice_series(spark, sf_dir).select(F.col("series").alias("name"), F.col("z").alias("step"), F.col("location").alias("value"))
