@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from voxelia.plans import borders, fits, grids, kernels, models, points, rasters, registration, sections, series, vectors  # noqa: E402, F401
+from voxelia.plans import borders, fits, grids, kernels, models, points, rasters, registration, sections, series, stores, vectors  # noqa: E402, F401
