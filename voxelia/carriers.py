@@ -53,18 +53,22 @@ def img(spark: SparkSession, sf_dir: str) -> DataFrame:
 CTE["img"] = CTE["vox"] + ", img AS (SELECT y, x, v FROM vox WHERE scan = 0 AND z = 0)"
 
 
-def phantom(spark: SparkSession, n: int = 16, roll: tuple[int, int, int] = (2, -3, 4)) -> DataFrame:
-    """(scan, z, y, x, v): a ball in an n^3 volume, and the same volume rolled."""
-    at = {a: F.when(F.col("scan") == 0, F.col(a)).otherwise(F.pmod(F.col(a) - r, F.lit(n))) for a, r in zip("zyx", roll, strict=True)}
-    inside = (at["z"] - 5) ** 2 + (at["y"] - 6) ** 2 + (at["x"] - 7) ** 2 <= 9
-    return grid(spark, scan=2, z=n, y=n, x=n).withColumn("v", F.when(inside, 1000.0).otherwise(0.0))
-
-
-CTE["phantom"] = """phantom AS (
-  SELECT s.i AS scan, z.i AS z, y.i AS y, x.i AS x,
-    CASE WHEN power((CASE s.i WHEN 0 THEN z.i ELSE (z.i - 2 + 16) % 16 END) - 5, 2) + power((CASE s.i WHEN 0 THEN y.i ELSE (y.i + 3) % 16 END) - 6, 2)
-      + power((CASE s.i WHEN 0 THEN x.i ELSE (x.i - 4 + 16) % 16 END) - 7, 2) <= 9 THEN 1000.0 ELSE 0.0 END::DOUBLE AS v
-  FROM range(2) s(i), range(16) z(i), range(16) y(i), range(16) x(i))"""
+#: How far the second scan of C.rolled is moved.
+ROLL = (2, -3, 4)
+
+
+def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair, scan, z, y, x, v): a 16^3 volume of summed quantities for each line status, and the same rolled by ROLL as scan 1."""
+    found = table(spark, sf_dir, "lineitem").groupBy(F.when(F.col("l_linestatus") == "F", 1).otherwise(0).cast("long").alias("pair"), *[(F.col(c) % 16).alias(a) for a, c in zip("zyx", ("l_orderkey", "l_partkey", "l_suppkey"), strict=True)]).agg(F.sum("l_quantity").alias("v"))
+    first = grid(spark, pair=2, z=16, y=16, x=16).join(found, ["pair", "z", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    each = first.select("*", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("scan"))
+    return each.select("pair", "scan", *[F.pmod(F.col(a) + F.col("scan") * r, F.lit(16)).cast("long").alias(a) for a, r in zip("zyx", ROLL, strict=True)], "v")
+
+
+CTE["rolled"] = """rolled AS (
+  SELECT g.pair, s.i AS scan, (g.z + s.i * 2) % 16 AS z, (g.y - s.i * 3 + 16) % 16 AS y, (g.x + s.i * 4) % 16 AS x, coalesce(f.v, 0.0)::DOUBLE AS v
+  FROM (SELECT p.i AS pair, z.i AS z, y.i AS y, x.i AS x FROM range(2) p(i), range(16) z(i), range(16) y(i), range(16) x(i)) g
+  LEFT JOIN (SELECT (l_linestatus = 'F')::BIGINT AS pair, l_orderkey % 16 AS z, l_partkey % 16 AS y, l_suppkey % 16 AS x, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) f USING (pair, z, y, x), range(2) s(i))"""
 
 
 def slice_series(spark: SparkSession, sf_dir: str) -> DataFrame:

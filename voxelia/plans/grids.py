@@ -11,7 +11,7 @@ from voxelia.carriers import CTE, rounded
 from voxelia.operators import grid as G
 from voxelia.registry import query
 
-VOX, IMG, PHANTOM = f"WITH {CTE['vox']}", f"WITH {CTE['img']}", f"WITH {CTE['phantom']}"
+VOX, IMG = f"WITH {CTE['vox']}", f"WITH {CTE['img']}"
 CELL = ["scan", "z", "y", "x"]
 PLANE = {"y": 16, "x": 16}
 SPACE = {"z": 8, "y": 16, "x": 16}
@@ -114,23 +114,21 @@ def equalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return below.select("scan", "z", "u", F.round((F.col("below") - F.col("least")) / F.greatest(256 - F.col("least"), F.lit(1)) * 255).cast("long").alias("e"))
 
 
-@query("SELECT (y + 20 + 10) % 20 AS y, (x + 20 + 10) % 20 AS x, ((y - 10) * (y - 10) + (x - 10) * (x - 10) <= 25)::BIGINT AS inside FROM range(20) a(y), range(20) b(x)")
+@query(VOX + " SELECT scan, z, y, x, CASE WHEN power(least(y, 16 - y), 2) + power(least(x, 16 - x), 2) <= 25 THEN v ELSE 0.0 END AS v FROM vox")
 def disk_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A disk about the middle, with the middle moved to the origin."""
-    dy, dx = F.col("y") - 10, F.col("x") - 10
-    return C.grid(spark, y=20, x=20).select(F.pmod(F.col("y") + 10, F.lit(20)).alias("y"), F.pmod(F.col("x") + 10, F.lit(20)).alias("x"), (dy * dy + dx * dx <= 25).cast("long").alias("inside"))
+    """Every slice cut to a disk of radius 5 around its first cell, the slice wrapping round."""
+    d = [F.least(F.col(a), C.SIDE - F.col(a)) for a in "yx"]
+    return C.vox(spark, sf_dir).select(*CELL, F.when(d[0] * d[0] + d[1] * d[1] <= 25, F.col("v")).otherwise(0.0).alias("v"))
 
 
-@query("SELECT (z + 6) % 12 AS z, (y + 6) % 12 AS y, (x + 6) % 12 AS x, ((z - 6) * (z - 6) + (y - 6) * (y - 6) + (x - 6) * (x - 6) <= 16)::BIGINT AS inside FROM range(12) c(z), range(12) a(y), range(12) b(x)")
+@query(VOX + " SELECT scan, z, y, x, CASE WHEN power(least(z, 8 - z), 2) + power(least(y, 16 - y), 2) + power(least(x, 16 - x), 2) <= 16 THEN v ELSE 0.0 END AS v FROM vox")
 def ball_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = [F.col(a) - 6 for a in "zyx"]
-    return C.grid(spark, z=12, y=12, x=12).select(*[F.pmod(F.col(a) + 6, F.lit(12)).alias(a) for a in "zyx"], (d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= 16).cast("long").alias("inside"))
+    """Every volume cut to a ball of radius 4 around its first cell, the volume wrapping round."""
+    d = [F.least(F.col(a), n - F.col(a)) for a, n in (("z", C.DEPTH), ("y", C.SIDE), ("x", C.SIDE))]
+    return C.vox(spark, sf_dir).select(*CELL, F.when(sum((k * k for k in d), F.lit(0)) <= 16, F.col("v")).otherwise(0.0).alias("v"))
 
 
-DISK = "range(-{r}, {r} + 1) p(dy), range(-{r}, {r} + 1) q(dx)"
-
-
-@query(IMG + f" SELECT i.y, i.x, sum(n.v) AS s FROM img i, {DISK.format(r=2)} JOIN img n ON n.y = (i.y + dy + 16) % 16 AND n.x = (i.x + dx + 16) % 16 WHERE dy * dy + dx * dx <= 4 GROUP BY i.y, i.x".replace("FROM img i, range(-2, 2 + 1) p(dy), range(-2, 2 + 1) q(dx) JOIN", "FROM img i CROSS JOIN range(-2, 3) p(dy) CROSS JOIN range(-2, 3) q(dx) JOIN"))
+@query(IMG + " SELECT i.y, i.x, sum(n.v) AS s FROM img i CROSS JOIN range(-2, 3) p(dy) CROSS JOIN range(-2, 3) q(dx) JOIN img n ON n.y = (i.y + dy + 16) % 16 AND n.x = (i.x + dx + 16) % 16 WHERE dy * dy + dx * dx <= 4 GROUP BY i.y, i.x")
 def circular_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.weighted_sum(G.neighbours(C.img(spark, sf_dir), G.disk(2), PLANE, "wrap"), "y", "x")
 
@@ -209,20 +207,23 @@ def histogram_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("bin", F.round("s", 6).alias("s"))
 
 
-@query("SELECT y, x, NOT (y >= 24 AND y < 40 AND x >= 24 AND x < 40) AS kept FROM range(64) a(y), range(64) b(x)")
+@query(VOX + " SELECT scan, z, y, x, CASE WHEN y BETWEEN 6 AND 9 AND x BETWEEN 6 AND 9 THEN 0.0 ELSE v END AS v FROM vox")
 def centre_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = (F.col("y") >= 24) & (F.col("y") < 40) & (F.col("x") >= 24) & (F.col("x") < 40)
-    return C.grid(spark, y=64, x=64).select("y", "x", (~inside).alias("kept"))
+    """Every slice with the middle quarter of its sides blanked."""
+    inside = F.col("y").between(6, 9) & F.col("x").between(6, 9)
+    return C.vox(spark, sf_dir).select(*CELL, F.when(inside, 0.0).otherwise(F.col("v")).alias("v"))
 
 
-@query("SELECT a.y, a.x, count(*) AS n FROM (SELECT y, x FROM range(12) p(y), range(12) q(x)) a JOIN (SELECT y, x FROM range(12) p(y), range(12) q(x)) b ON abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY a.y, a.x")
+@query(f"WITH {CTE['pts']} SELECT a.scan, a.z, a.y, a.x, count(*) AS n FROM pts a JOIN pts b ON a.scan = b.scan AND abs(a.z - b.z) <= 2 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL")
 def neighbourhood_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells within two steps on both axes, by offsets and not by comparing all pairs."""
-    cells = C.grid(spark, y=12, x=12).withColumn("v", F.lit(1.0))
-    return G.neighbours(cells, G.box(5), {"y": 12, "x": 12}, "zero").groupBy("y", "x").agg(F.count("*").alias("n"))
+    """Bright voxels within two steps of each on all axes, itself included, by offsets and not by comparing all pairs."""
+    p = C.pts(spark, sf_dir).select(*CELL)
+    step = lambda a: F.explode(F.sequence(F.col(a) - 2, F.col(a) + 2)).alias(f"n_{a}")
+    wide = p.select(*CELL, step("z")).select("*", step("y")).select("*", step("x"))
+    return wide.join(p.select("scan", *[F.col(a).alias(f"n_{a}") for a in "zyx"]), ["scan", "n_z", "n_y", "n_x"]).groupBy(*CELL).agg(F.count("*").alias("n"))
 
 
-@query(IMG + " SELECT y, x, coalesce(i.v, (SELECT avg(v) FROM img)) AS v FROM (SELECT y, x FROM range(18) p(y), range(20) q(x)) g LEFT JOIN img i USING (y, x)".replace("SELECT y, x, coalesce(i.v, (SELECT avg(v) FROM img)) AS v", "SELECT y, x, round(coalesce(i.v, (SELECT avg(v) FROM img)), 6) AS v"))
+@query(IMG + " SELECT y, x, round(coalesce(i.v, (SELECT avg(v) FROM img)), 6) AS v FROM (SELECT y, x FROM range(18) p(y), range(20) q(x)) g LEFT JOIN img i USING (y, x)")
 def pad_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.padded_with_mean(C.img(spark, sf_dir), {"y": 18, "x": 20}).select("y", "x", F.round("v", 6).alias("v"))
 
@@ -251,27 +252,41 @@ def bilinear_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bilinear_shift(C.img(spark, sf_dir), 1.25, -0.5, PLANE).select("y", "x", F.round("v", 6).alias("v"))
 
 
+def slope(cell: str, by: str, along: str, value: str = "v") -> str:
+    """SQL of the central difference of a value along an axis, one-sided at the ends."""
+    b, a = (f"{f}({value}) OVER (PARTITION BY {by} ORDER BY {along})" for f in ("lag", "lead"))
+    return f"CASE WHEN {b} IS NULL THEN {a} - {value} WHEN {a} IS NULL THEN {value} - {b} ELSE ({a} - {b}) / 2 END AS {cell}"
+
+
 AFFINE = {"z": ("z * 0.5 + 2", lambda z, y, x: z * 0.5 + 2), "y": ("y * 0.9 + x * 0.1", lambda z, y, x: y * 0.9 + x * 0.1), "x": ("x * 1.1 - 1", lambda z, y, x: x * 1.1 - 1)}
 
 
-@query(PHANTOM + ", p AS (SELECT * FROM phantom WHERE scan = 0), g AS (SELECT z, y, x, " + ", ".join(f"floor(({e})::DOUBLE + 0.5)::BIGINT AS n{a}" for a, (e, _) in AFFINE.items()) + " FROM p) SELECT g.z, g.y, g.x, coalesce(s.v, 0.0) AS v FROM g LEFT JOIN p s ON s.z = nz AND s.y = ny AND s.x = nx")
+@query(VOX + ", g AS (SELECT scan, z, y, x, " + ", ".join(f"floor(({e})::DOUBLE + 0.5)::BIGINT AS n{a}" for a, (e, _) in AFFINE.items()) + " FROM vox) SELECT g.scan, g.z, g.y, g.x, coalesce(s.v, 0.0) AS v FROM g LEFT JOIN vox s ON s.scan = g.scan AND s.z = nz AND s.y = ny AND s.x = nx")
 def nearest_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = {a: f(F.col("z"), F.col("y"), F.col("x")) for a, (_, f) in AFFINE.items()}
-    return G.resampled(C.phantom(spark).where("scan = 0").select("z", "y", "x", "v"), {"z": 16, "y": 16, "x": 16}, at)
+    """Every volume resampled by an affine map, the nearest value or zero outside."""
+    v = C.vox(spark, sf_dir)
+    cells = v.select(*CELL, *[F.floor(f(F.col("z"), F.col("y"), F.col("x")) + 0.5).alias(f"n_{a}") for a, (_, f) in AFFINE.items()])
+    source = v.select("scan", *[F.col(a).alias(f"n_{a}") for a in "zyx"], "v")
+    return cells.join(source, ["scan", "n_z", "n_y", "n_x"], "left").select(*CELL, F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-@query("SELECT z, y, x FROM range(2, 6) a(z), range(4) b(y), range(5) c(x)")
+@query(VOX + ", s AS (SELECT scan, max(z) + 1 AS n0, max(y) + 1 AS n1, max(x) + 1 AS n2 FROM vox WHERE v > 0 GROUP BY scan) SELECT scan, a.z + 2 AS z, b.y AS y, c.x AS x FROM s, range(8) a(z), range(16) b(y), range(16) c(x) WHERE a.z < n0 AND b.y < n1 AND c.x < n2")
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.grid(spark, z=4, y=4, x=5).withColumn("z", F.col("z") + 2)
+    """All grid points of each scan's shape, which is where its values end, the slices counted from 2."""
+    shape = C.vox(spark, sf_dir).where("v > 0").groupBy("scan").agg(*[F.max(a).alias(a) for a in "zyx"])
+    along = lambda a, first=0: F.explode(F.sequence(F.lit(first).cast("long"), F.col(a) + first)).alias(f"p_{a}")
+    return shape.select("*", along("z", 2)).select("*", along("y")).select("*", along("x")).select("scan", *[F.col(f"p_{a}").alias(a) for a in "zyx"])
 
 
-@query("SELECT c AS scales, z, y, x, w AS warp FROM (VALUES ('2,1,1', -0.5), ('2,2,1', -0.75), ('2,2,2', -0.875), ('0.5,0.5,1', 3.0), ('2,1,0.5', 0.0)) t(c, w), range(6) a(z), range(4) b(y), range(4) d(x)".replace("w AS warp", "w::DOUBLE AS warp"))
+@query(VOX + f""", w AS (SELECT scan, z, y, x, z // 3 AS chunk, 2 * z + v / 5000 AS c0, y * (1 + scan) + v / 7000 AS c1, x - v / 9000 AS c2 FROM vox),
+  g AS (SELECT scan, z, y, x, {slope('a', 'scan, chunk, y, x', 'z', 'c0')}, {slope('b', 'scan, z, x', 'y', 'c1')}, {slope('c', 'scan, z, y', 'x', 'c2')} FROM w)
+  SELECT scan, z, y, x, round(1 / (a * b * c) - 1, 5) + 0.0 AS warp FROM g""")
 def warp_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volume change under axis scalings, whose true values are known, over chunks of three slices."""
-    out = None
-    for scales in ((2, 1, 1), (2, 2, 1), (2, 2, 2), (0.5, 0.5, 1), (2, 1, 0.5)):
-        coords = C.grid(spark, z=6, y=4, x=4).select("z", "y", "x", *[(F.col(a) * float(s)).alias(f"c{k}") for k, (a, s) in enumerate(zip("zyx", scales, strict=True))])
-        part = G.warp_magnitude(coords, 3).select(F.lit(",".join(f"{s:g}" for s in scales)).alias("scales"), "z", "y", "x", rounded("warp").alias("warp"))
+    """Volume change where every voxel goes to coordinates that its value disturbs, over chunks of three slices."""
+    v, out = C.vox(spark, sf_dir), None
+    for scan in (0, 1):
+        coords = v.where(F.col("scan") == scan).select("z", "y", "x", (2 * F.col("z") + F.col("v") / 5000).alias("c0"), (F.col("y") * (1 + scan) + F.col("v") / 7000).alias("c1"), (F.col("x") - F.col("v") / 9000).alias("c2"))
+        part = G.warp_magnitude(coords, 3).select(F.lit(scan).cast("long").alias("scan"), "z", "y", "x", rounded("warp", 5).alias("warp"))
         out = part if out is None else out.union(part)
     return out
 
@@ -302,21 +317,17 @@ def plane_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(v, ["z", "y", "x"], "left").select("plane", "r", "c", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-def slope(cell: str, by: str, along: str) -> str:
-    """SQL of the central difference of v along an axis, one-sided at the ends."""
-    b, a = (f"{f}(v) OVER (PARTITION BY {by} ORDER BY {along})" for f in ("lag", "lead"))
-    return f"CASE WHEN {b} IS NULL THEN {a} - v WHEN {a} IS NULL THEN v - {b} ELSE ({a} - {b}) / 2 END AS {cell}"
-
-
-@query(VOX + f", s AS (SELECT scan, z, y, x, {slope('gz', 'scan, y, x', 'z')}, {slope('gy', 'scan, z, x', 'y')}, {slope('gx', 'scan, z, y', 'x')} FROM vox) SELECT scan, z, y, x, round(gz + gy + gx, 6) + 0.0 AS divergence FROM s")
+@query(VOX + f", w AS (SELECT *, v * (1 + z) AS f0, v - 3 * y AS f1, v * v / 100 AS f2 FROM vox), s AS (SELECT scan, z, y, x, {slope('gz', 'scan, y, x', 'z', 'f0')}, {slope('gy', 'scan, z, x', 'y', 'f1')}, {slope('gx', 'scan, z, y', 'x', 'f2')} FROM w) SELECT scan, z, y, x, round(gz + gy + gx, 6) + 0.0 AS divergence FROM s")
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divergence of the field whose three components all are the voxel's value: the sum of its differences along the axes."""
-    total = F.lit(0.0)
+    """Divergence of a vector field of three components made from each voxel: the sum of their differences, each along its own axis."""
+    v, total = F.col("v"), F.lit(0.0)
+    field = {"z": v * (1 + F.col("z")), "y": v - 3 * F.col("y"), "x": v * v / 100}
+    cells = C.vox(spark, sf_dir).select(*CELL, *[f.alias(f"f_{a}") for a, f in field.items()])
     for along, by in (("z", ("scan", "y", "x")), ("y", ("scan", "z", "x")), ("x", ("scan", "z", "y"))):
-        w, v = W.partitionBy(*by).orderBy(along), F.col("v")
-        b, a = F.lag("v").over(w), F.lead("v").over(w)
-        total = total + F.when(b.isNull(), a - v).when(a.isNull(), v - b).otherwise((a - b) / 2)
-    return C.vox(spark, sf_dir).select(*CELL, rounded(total).alias("divergence"))
+        w, f = W.partitionBy(*by).orderBy(along), F.col(f"f_{along}")
+        b, a = F.lag(f).over(w), F.lead(f).over(w)
+        total = total + F.when(b.isNull(), a - f).when(a.isNull(), f - b).otherwise((a - b) / 2)
+    return cells.select(*CELL, rounded(total).alias("divergence"))
 
 
 @query(VOX + ", t AS (SELECT scan, z, y, x, v, y // 4 - i AS ty, x // 4 - j AS tx FROM vox CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)), d AS (SELECT *, v - avg(v) OVER (PARTITION BY scan, z, ty, tx) AS diff FROM t) SELECT scan, z, y, x, round(sum(diff) / 4, 4) + 0.0 AS anomaly FROM d GROUP BY scan, z, y, x")

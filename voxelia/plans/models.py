@@ -19,12 +19,13 @@ from voxelia.registry import query
 SECOND = {0: [300.0, 600.0], 1: [1300.0, 1500.0, 1700.0], 2: [2500.0, 3500.0]}
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN 0.0005 * step / 99 ELSE 0.00001 + 0.5 * (0.0005 - 0.00001) * (1 + cos(pi() * (step - 100) / 900)) END, 10) AS rate FROM range(1000) t(step)")
+@query(f"WITH {CTE['metric']}, t AS (SELECT name, step, count(*) OVER (PARTITION BY name) AS total, floor(count(*) OVER (PARTITION BY name) / 10) AS warm FROM metric) SELECT name, step, round(CASE WHEN step <= warm THEN 0.0005::DOUBLE * step / warm ELSE 0.00001::DOUBLE + 0.5::DOUBLE * (0.0005::DOUBLE - 0.00001::DOUBLE) * (1 + cos(pi() * (step - warm) / (total - warm))) END, 10) AS rate FROM t")
 def cosine_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear warm-up over 100 steps to 0.0005, then half a cosine down to 0.00001."""
-    step = F.col("id")
-    fall = 0.00001 + 0.5 * (0.0005 - 0.00001) * (1 + F.cos(math.pi * (step - 100) / 900))
-    return spark.range(1000).select(step.alias("step"), F.round(F.when(step < 100, 0.0005 * step / 99).otherwise(fall), 10).alias("rate"))
+    """The rate at every step of each metric's series: a linear rise to 0.0005 over its first tenth, then half a cosine down to 0.00001."""
+    m = C.metric(spark, sf_dir).select("name", "step")
+    t = m.join(C.small(m.groupBy("name").agg(F.count("*").alias("total"))), "name").withColumn("warm", F.floor(F.col("total") / 10))
+    fall = 0.00001 + 0.5 * (0.0005 - 0.00001) * (1 + F.cos(math.pi * (F.col("step") - F.col("warm")) / (F.col("total") - F.col("warm"))))
+    return t.select("name", "step", F.round(F.when(F.col("step") <= F.col("warm"), 0.0005 * F.col("step") / F.col("warm")).otherwise(fall), 10).alias("rate"))
 
 
 @query(f"WITH {CTE['vox']}, p AS (SELECT a.z, a.y, a.x, a.v AS o, b.v AS l, (a.y BETWEEN 4 AND 11 AND a.x BETWEEN 4 AND 11)::INT AS mask FROM vox a JOIN vox b USING (z, y, x) WHERE a.scan = 0 AND b.scan = 1) SELECT z, round(avg((o - l) ** 2 * (1.25 - mask)), 4) AS loss FROM p GROUP BY z")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelia import carriers as C
 from voxelia.carriers import CTE, rounded
+from voxelia.operators.sections import quantiles
 from voxelia.registry import query
 
 PTS = f"WITH {CTE['pts']}"
@@ -82,25 +83,30 @@ def phase_shifts(voxels: DataFrame, group: str = "pair") -> DataFrame:
     return voxels.groupBy(group).applyInPandas(shift, f"{group} long, dz long, dy long, dx long")
 
 
-@query("SELECT 0::BIGINT AS pair, 2::BIGINT AS dz, -3::BIGINT AS dy, 4::BIGINT AS dx")
+SHIFTS = "SELECT (l_linestatus = 'F')::BIGINT AS pair, 2::BIGINT AS dz, -3::BIGINT AS dy, 4::BIGINT AS dx FROM lineitem GROUP BY ALL"
+
+
+@query(SHIFTS)
 def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The phantom's roll, found again."""
-    return phase_shifts(C.phantom(spark).withColumn("pair", F.lit(0).cast("long")))
+    """How far each pair's second volume is rolled, found again."""
+    return phase_shifts(C.rolled(spark, sf_dir))
 
 
-@query("SELECT p::BIGINT AS pair, 2::BIGINT AS dz, -3::BIGINT AS dy, 4::BIGINT AS dx FROM range(2) t(p)")
+@query(f"SELECT pair * 2 + i AS pair, dz, dy, dx FROM ({SHIFTS}) CROSS JOIN range(2) t(i)")
 def local_region_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The roll from regions that hold the ball in both scans: one of 12 voxels a side, one of 13."""
-    v = C.phantom(spark).select("*", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("pair"))
-    region = F.col("z").between(1, 12 + F.col("pair")) & F.col("y").between(0, 11 + F.col("pair")) & F.col("x").between(3 - F.col("pair"), 14)
-    return phase_shifts(v.where(region))
+    """The same from a region of each volume alone: of 13 voxels a side, and of 14."""
+    part = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("part")
+    v = C.rolled(spark, sf_dir).select("*", part)
+    region = F.col("z").between(1, 13 + F.col("part")) & F.col("y").between(0, 12 + F.col("part")) & F.col("x").between(2 - F.col("part"), 14)
+    return phase_shifts(v.where(region).withColumn("pair", F.col("pair") * 2 + F.col("part")))
 
 
-@query(f"WITH {CTE['phantom']} SELECT count(*) AS n FROM phantom a JOIN phantom b ON a.scan = 0 AND b.scan = 1 AND a.z = b.z - 2 AND a.y = b.y + 3 AND a.x = b.x - 4 WHERE a.v > 0 AND b.v > 0")
+@query(f"WITH {CTE['rolled']}, c AS (SELECT pair, quantile_cont(v, 0.5) AS cut FROM rolled WHERE scan = 0 GROUP BY pair) SELECT a.pair, count(*) AS n FROM rolled a JOIN c ON a.pair = c.pair JOIN rolled b ON a.pair = b.pair AND a.scan = 0 AND b.scan = 1 AND a.z = b.z - 2 AND a.y = b.y + 3 AND a.x = b.x - 4 WHERE a.v > cut AND b.v > cut GROUP BY a.pair")
 def aligned_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bright voxels that two scans share once the second is moved back by its phase shift."""
-    v = C.phantom(spark).withColumn("pair", F.lit(0).cast("long"))
-    a = v.where("scan = 0 and v > 0").select("pair", "z", "y", "x")
-    b = v.where("scan = 1 and v > 0").join(F.broadcast(phase_shifts(v)), "pair")
-    b = b.select("pair", *[(F.col(c) - F.col(f"d{c}")).alias(c) for c in "zyx"])
-    return a.join(b, ["pair", "z", "y", "x"]).agg(F.count("*").alias("n"))
+    """Voxels above the median that a pair's scans share once the second is moved back by its phase shift."""
+    v = C.rolled(spark, sf_dir)
+    cut = quantiles(v.where("scan = 0"), "v", {"cut": 0.5}, "pair")
+    bright = v.join(C.small(cut), "pair").where("v > cut").select("pair", "scan", "z", "y", "x")
+    shift = C.small(phase_shifts(v))  # a row for each pair
+    b = bright.where("scan = 1").join(shift, "pair").select("pair", *[(F.col(c) - F.col(f"d{c}")).alias(c) for c in "zyx"])
+    return bright.where("scan = 0").drop("scan").join(b, ["pair", "z", "y", "x"]).groupBy("pair").agg(F.count("*").alias("n"))

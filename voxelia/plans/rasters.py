@@ -80,13 +80,13 @@ def table_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUT = {a: "NOT coalesce(lag(i) OVER {0}, false) OR NOT coalesce(lead(i) OVER {0}, false)".format(f"w{a}") for a in "zyx"}
 
 
-@query(f"""WITH {CTE['phantom']}, m AS (SELECT scan, z, y, x, v > 500 AS i FROM phantom),
+@query(f"""WITH {CTE['vox']}, m AS (SELECT scan, z, y, x, v > 200 AS i FROM vox),
   o AS (SELECT scan, z, y, x, i, {OUT['z']} AS ez, {OUT['y']} AS ey, {OUT['x']} AS ex FROM m
         WINDOW wz AS (PARTITION BY scan, y, x ORDER BY z), wy AS (PARTITION BY scan, z, x ORDER BY y), wx AS (PARTITION BY scan, z, y ORDER BY x))
   SELECT scan, z, y, x, (ey OR ex)::BIGINT + (ez OR ex)::BIGINT + (ez OR ey)::BIGINT AS votes FROM o WHERE i AND (ez OR ey OR ex)""")
 def wall_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each cell of a body, in how many of the planes along the three axes it lies on the outline."""
-    out = C.phantom(spark).withColumn("i", F.col("v") > 500)
+    out = C.vox(spark, sf_dir).withColumn("i", F.col("v") > 200)
     for a, rest in (("z", "yx"), ("y", "zx"), ("x", "zy")):
         w = W.partitionBy("scan", *rest).orderBy(a)
         out = out.withColumn(f"e{a}", ~F.coalesce(F.lag("i").over(w), F.lit(False)) | ~F.coalesce(F.lead("i").over(w), F.lit(False)))
@@ -124,19 +124,21 @@ def stored_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(range_, "scan").select(*CELL, F.round(F.col("v") / F.col("m"), 6).alias("v"))
 
 
-def made_cells(spark: SparkSession, patients: int, scans: int, slices: int, rows: int, columns: int) -> DataFrame:
-    """(pid, scan, z, y, x, location, v): test scans of unsigned 16-bit noise, slices 0.7 apart. A value
+def made_cells(patients: DataFrame, scans: int, slices: int, rows: int, columns: int) -> DataFrame:
+    """(pid, scan, z, y, x, location, v): test scans of unsigned 16-bit noise for each pid of patients, slices 0.7 apart. A value
     depends on its place alone, so a task that runs again makes the same cells."""
-    cells = C.grid(spark, pid=patients, scan=scans, z=slices, y=rows, x=columns)
-    place = (((F.col("pid") * scans + F.col("scan")) * slices + F.col("z")) * rows + F.col("y")) * columns + F.col("x")
-    noise = (place % 2147483647 * 48271 + 12345) % 2147483647 * 69621 % 2147483647 % 65536
+    size = scans * slices * rows * columns
+    at = lambda below, n: (F.floor(F.col("i") / below) % n).cast("long")
+    cells = patients.select("pid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("i")).select("*", at(slices * rows * columns, scans).alias("scan"), at(rows * columns, slices).alias("z"), at(columns, rows).alias("y"), at(1, columns).alias("x"))
+    noise = ((F.col("pid") * size + F.col("i")) % 2147483647 * 48271 + 12345) % 2147483647 * 69621 % 2147483647 % 65536
     return cells.select("pid", *CELL, F.round(F.col("z") * 0.7, 1).alias("location"), noise.alias("v"))
 
 
-@query("""WITH c AS (SELECT p.i AS pid, s.i AS scan, z.i AS z, y.i AS y, x.i AS x, (((p.i * 2 + s.i) * 2 + z.i) * 384 + y.i) * 512 + x.i AS k FROM range(2) p(i), range(2) s(i), range(2) z(i), range(384) y(i), range(512) x(i)),
+@query("""WITH c AS (SELECT s_suppkey AS pid, s.i AS scan, z.i AS z, y.i AS y, x.i AS x, (((s_suppkey * 2 + s.i) * 2 + z.i) * 24 + y.i) * 32 + x.i AS k FROM supplier, range(2) s(i), range(2) z(i), range(24) y(i), range(32) x(i)),
   v AS (SELECT *, (k % 2147483647 * 48271 + 12345) % 2147483647 * 69621 % 2147483647 % 65536 AS v FROM c)
   SELECT pid, scan, z, round(z * 0.7, 1)::DOUBLE AS location, y, min(v) AS least, max(v) AS most, sum(v * (x + 1))::BIGINT AS mark FROM v GROUP BY pid, scan, z, y""")
 def made_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two patients with two scans of two slices each; a row of cells told by its ends and a weighted sum."""
-    cells = made_cells(spark, 2, 2, 2, 384, 512)
+    """Two scans of two slices for every supplier as patient; a row of cells told by its ends and a weighted sum."""
+    patients = C.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pid"))
+    cells = made_cells(patients, 2, 2, 24, 32)
     return cells.groupBy("pid", "scan", "z", "location", "y").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v") * (F.col("x") + 1)).alias("mark"))
