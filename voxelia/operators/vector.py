@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +30,42 @@ def similarities(queries: DataFrame, base: DataFrame) -> DataFrame:
     """(q, id, q_label, label, sim): every query against every row. The queries are a stated set; where they
     are few, they go to the base rows, which then don't move."""
     q = queries.select(F.col("vec_id").alias("q"), F.col("label").alias("q_label"), F.col("u").alias("qu"))
-    return base.join(small(q)).select("q", F.col("vec_id").alias("id"), "q_label", "label", dot("qu", "u").alias("sim"))
+    return base.join(small(q)).select("q", F.col("vec_id").alias("id"), "q_label", "label", F.round(dot("qu", "u"), 12).alias("sim"))
+
+
+#: Rows of a block of queries and of the base: a pair of blocks is one matrix product.
+QUERY_BLOCK, BASE_BLOCK = 1024, 4096
+
+
+def in_blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
+    """Rows (vec_id, label, u) dealt by a hash of their id into blocks of about size: one row a block, with lists of ids, labels and vectors."""
+    n = max(1, -(-rows.count() // size))
+    each = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"), F.struct("vec_id", "label", "u").alias("r"))
+    return each.groupBy("block").agg(F.collect_list("r").alias("r")).select(*[F.col(f"r.{c}").alias(f"{prefix}_{c}") for c in ("vec_id", "label", "u")])
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """(q, id, q_label, label, sim, rank): the k rows of base most similar to each query, the smaller id first among equals.
+
+    Both have vec_id, label and the unit vector u. Queries meet the base in blocks; of every pair of blocks only the k best of each
+    query go on, so what is shuffled and sorted grows with queries x k x blocks and not with queries x rows.
+    Similarities are rounded to 12 digits, so that equal vectors are equal. Rows with a null vector are left out.
+    """
+    q, b = (in_blocks(f.where("u is not null"), n, name) for f, n, name in ((queries, QUERY_BLOCK, "q"), (base, BASE_BLOCK, "b")))
+    kinds = {"q": queries.schema["vec_id"].dataType, "id": base.schema["vec_id"].dataType, "q_label": queries.schema["label"].dataType, "label": base.schema["label"].dataType}
+
+    def best(batches):
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                sim = np.round(np.stack(r.q_u) @ np.stack(r.b_u).T, 12)
+                ids, labels = np.asarray(r.b_vec_id), np.asarray(r.b_label)
+                order = np.stack([np.lexsort((ids, -row))[:k] for row in sim])
+                m = order.shape[1]
+                yield pd.DataFrame({"q": np.repeat(r.q_vec_id, m), "id": ids[order].ravel(), "q_label": np.repeat(r.q_label, m), "label": labels[order].ravel(), "sim": np.take_along_axis(sim, order, 1).ravel()})
+
+    pairs = b.join(F.broadcast(q)) if queries.count() <= 4 * QUERY_BLOCK else b.join(q)
+    found = pairs.mapInPandas(best, ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", sim double")
+    return top(found, k)
 
 
 def top(sims: DataFrame, k: int) -> DataFrame:

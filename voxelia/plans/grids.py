@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxelia import carriers as C
 from voxelia.carriers import CTE, rounded
 from voxelia.operators import grid as G
+from voxelia.operators.knee import knees, smoothed_histogram
 from voxelia.registry import query
 
 VOX, IMG = f"WITH {CTE['vox']}", f"WITH {CTE['img']}"
@@ -362,3 +363,22 @@ def filter_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = [F.sum(F.element_at(F.array(*[F.lit(float(w)) for w in own]), F.col("i") + 1) * F.col("v")).alias(k) for k, own in BANK.items()]
     wide = near.join(values, ["scan", "z", "ny", "nx"]).groupBy(*CELL).agg(*sums)
     return wide.unpivot(CELL, list(BANK), "kernel", "response").withColumn("response", rounded(F.col("response"), 4))
+
+
+#: Kneedle over the smoothed histograms of what each line was sold for, by ship status.
+KNEES = """WITH v AS (SELECT l_linestatus AS status, l_extendedprice * l_discount * l_discount AS v FROM lineitem), e AS (SELECT status, min(v) AS lo, max(v) AS hi FROM v GROUP BY status),
+h AS (SELECT status, least(99, floor((v - lo) / ((hi - lo) / 100)))::BIGINT AS b, count(*) AS n FROM v JOIN e USING (status) GROUP BY ALL),
+k AS (SELECT d, exp(-d * d / 18.0::DOUBLE) / sum(exp(-d * d / 18.0::DOUBLE)) OVER () AS w FROM range(-12, 13) t(d)),
+c AS (SELECT e.status, t.bin, lo + (t.bin + 1) * (hi - lo) / 100 AS edge, coalesce(sum(n * w), 0) AS s FROM e CROSS JOIN range(100) t(bin) CROSS JOIN k
+  LEFT JOIN h ON h.status = e.status AND h.b = CASE WHEN t.bin + d < 0 THEN -1 - t.bin - d WHEN t.bin + d > 99 THEN 199 - t.bin - d ELSE t.bin + d END GROUP BY e.status, t.bin, lo, hi),
+d AS (SELECT status, bin, edge, (max(s) OVER w - s) / (max(s) OVER w - min(s) OVER w) - bin / 99 AS d FROM c WINDOW w AS (PARTITION BY status)),
+m AS (SELECT *, d > lag(d) OVER o AND d > lead(d) OVER o AS top, d < lag(d) OVER o AND d < lead(d) OVER o AS dip FROM d WINDOW o AS (PARTITION BY status ORDER BY bin)),
+n AS (SELECT *, coalesce(min(bin) FILTER (top) OVER o, 1000) AS next_top, coalesce(min(bin) FILTER (dip) OVER o, 1000) AS next_dip FROM m WINDOW o AS (PARTITION BY status ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+found AS (SELECT a.status, min(a.bin) AS bin FROM n a JOIN m b ON a.status = b.status AND b.bin > a.bin AND b.bin <= a.next_top AND b.d < CASE WHEN b.bin > a.next_dip THEN 0 ELSE a.d - 1 / 99 END WHERE a.top GROUP BY a.status)"""
+
+
+@query(KNEES + " SELECT e.status, round(c.edge, 4) AS knee FROM e LEFT JOIN found f USING (status) LEFT JOIN c ON c.status = f.status AND c.bin = f.bin")
+def histogram_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value above which values are rare, for each line status."""
+    v = C.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), (F.col("l_extendedprice") * F.col("l_discount") * F.col("l_discount")).alias("v"))
+    return knees(smoothed_histogram(v, "status"), "status").select("status", F.round("knee", 4).alias("knee"))
