@@ -8,6 +8,7 @@ sequence and labels every block; the main text is the blocks labelled as content
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,17 +27,21 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 HEAD_TAGS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: A start tag closes an open tag of these kinds (optional end tags).
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-PATH_SLOTS, WORD_SLOTS = 16384, 512
+PATH_SLOTS, WORD_SLOTS = 16384, 32768
+#: What joins the parts of a class or id.
+PARTS = re.compile(r"[-_:.0-9]+")
 
 
 class Blocks(HTMLParser):
     """Collects (path tokens, text, link share) for every leaf block with text. Path tokens are the different
-    tags, classes, ids and roles of all open elements, so nesting of like elements adds nothing."""
+    tags, classes, ids and roles of all open elements, and the parts of these names, kept as elements open and
+    close; nesting of like elements adds nothing to them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
         self.count: Counter[str] = Counter()  # open elements by tag
+        self.tokens: dict[str, int] = {}  # open elements by path token
         self.found: list[tuple[list[str], str, float]] = []
         self.parts: list[str] = []
         self.linked = self.hidden = self.links = 0
@@ -50,8 +55,13 @@ class Blocks(HTMLParser):
 
     def pop(self, tags) -> None:
         while self.open:
-            tag, _ = self.open.pop()
+            tag, names = self.open.pop()
             self.count[tag] -= 1
+            for t in (tag, *names):
+                if self.tokens[t] == 1:
+                    del self.tokens[t]
+                else:
+                    self.tokens[t] -= 1
             self.hidden -= tag in HIDDEN_TAGS
             self.links -= tag == "a"
             if tag in tags:
@@ -70,14 +80,18 @@ class Blocks(HTMLParser):
             self.flush()
             stale = CLOSES.get(tag, {"p"})
             while any(t in stale for t, _ in self.open[-4:]) and not (tag == "li" and self.open[-1][0] in ("ul", "ol")):
-                near = next(t for t, _ in reversed(self.open) if t in stale)
-                if any(t in ("div", "article", "section", "table", "ul", "ol", "td") and t not in stale for t, _ in self.open[[i for i, o in enumerate(self.open) if o[0] == near][-1] :]):
+                at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in stale)  # one of the last four
+                near = self.open[at][0]
+                if any(t in ("div", "article", "section", "table", "ul", "ol", "td") and t not in stale for t, _ in self.open[at:]):
                     break
                 self.pop({near})
         if tag in VOID_TAGS:
             return
-        names = tuple(f"{tag}.{x}" for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split())
+        said = dict.fromkeys(x for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split())
+        names = tuple(dict.fromkeys([*(f"{tag}.{x}" for x in said), *(f"~{y}" for x in said for y in PARTS.split(x) if y)]))
         self.open.append((tag, names))
+        for t in (tag, *names):
+            self.tokens[t] = self.tokens.get(t, 0) + 1
         self.count[tag] += 1
         self.hidden += tag in HIDDEN_TAGS
         self.links += tag == "a"
@@ -102,7 +116,7 @@ class Blocks(HTMLParser):
         if self.hidden:
             return
         if not self.path and data.strip():
-            self.path = list(dict.fromkeys(x for own in dict.fromkeys(self.open) for x in (own[0], *own[1])))
+            self.path = list(self.tokens)
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -123,7 +137,7 @@ def slots(tokens, size: int) -> list[int]:
 def features(found) -> tuple:
     """Flat path slots, path sizes, flat word slots, word sizes, and numbers of one page's blocks."""
     paths = [slots(p, PATH_SLOTS) for p, _, _ in found]
-    words = [slots(t.lower().split(), WORD_SLOTS) for _, t, _ in found]
+    words = [slots(dict.fromkeys(t.lower().split()), WORD_SLOTS) for _, t, _ in found]  # a word that repeats says nothing more
     numbers = [(np.log1p(len(t)) / 6, share, float(t[-1] in ".!?"), 1.0) for _, t, share in found]
     return paths, words, np.array(numbers)
 
@@ -223,76 +237,116 @@ class Labeller:
 
 
 SYLLABLES = "an be co da en fu ga he in jo ka lo me nu or pa qui re so ta un ver wi xe yo zu".split()
+#: Names that pages give to what isn't their article, and words that it says, by kind; the names meet in pairs, too.
+NAMES = {
+    "nav": "nav menu navigation navbar breadcrumbs breadcrumb topbar toolbar pagination pager tabs skip sitemap",
+    "header": "header masthead branding banner site-header page-header logo tagline topline",
+    "footer": "footer site-footer colophon bottom copyright legal imprint credits page-footer",
+    "ad": "ad ads advert advertisement banner sponsored sponsor promo adslot dfp outbrain taboola commercial",
+    "side": "sidebar side related widget widgets aside rail recommended trending popular teaser more-stories secondary tags share social",
+    "notice": "cookie cookies notice consent popup alert gdpr modal overlay dialog banner toast message privacy paywall subscribe newsletter",
+    "comments": "comments comment comment-list discussion replies reply disqus disqus_thread respond thread responses reviews feedback commentary",
+    "form": "form search searchbox login signup subscribe newsletter contact-form register",
+}
+ROLES = {"nav": "navigation menu menubar", "header": "banner", "footer": "contentinfo", "ad": "complementary", "side": "complementary", "notice": "dialog alertdialog alert status", "comments": "feed log", "form": "search form"}
+SAYINGS = {
+    "nav": "home about contact menu search login news sports help", "header": "welcome menu log in search home", "footer": "copyright all rights reserved terms privacy policy imprint contact",
+    "ad": "advertisement sponsored buy now sale offer shop", "side": "related most read more stories share follow us trending", "notice": "we use cookies accept all reject settings privacy consent close",
+    "comments": "reply says posted by likes report commented days ago", "form": "email password submit subscribe your name send search sign up",
+}
 
 
 def made_page(r: random.Random) -> tuple[str, list[bool]]:
     """A generated page and, for each of its blocks in order, whether it is content."""
     out, labels = [], []
 
-    def say(least: int, most: int) -> str:
-        return " ".join("".join(r.choices(SYLLABLES, k=r.randint(1, 4))) for _ in range(r.randint(least, most))) + r.choice(["", ".", ".", "&amp;", "!"])
+    def invented(n: int = 3) -> str:
+        return "".join(r.choices(SYLLABLES, k=n))
 
-    def leaf(tag: str, content: bool, least: int, most: int, link: bool = False) -> None:
-        text = say(least, most)
+    def say(least: int, most: int, kind: str = "") -> str:
+        words = [invented(r.randint(1, 4)) for _ in range(r.randint(least, most))]
+        if kind and r.random() < 0.5:
+            words = [*r.choices(SAYINGS[kind].split(), k=r.randint(1, 6)), *words[: r.choice([0, 3, 40])]]
+        elif not kind and r.random() < 0.1:  # an article may use such words, too
+            words.insert(r.randint(0, len(words)), r.choice(SAYINGS[r.choice(list(SAYINGS))].split()))
+        return " ".join(words) + r.choice(["", ".", ".", "&amp;", "!"])
+
+    def leaf(tag: str, content: bool, least: int, most: int, link: bool = False, kind: str = "") -> None:
+        text = say(least, most, kind)
         text = f'<a href="/x">{text}</a>' if link else text
         text = f"<b>{text}" + r.choice(["</b>", "<br>"]) if r.random() < 0.1 else text
-        out.append(f"<{tag}>{text}" + (f"</{tag}>" if tag != "p" or r.random() < 0.8 else ""))
+        names = f' class="{invented()}"' if r.random() < 0.1 else ""
+        out.append(f"<{tag}{names}>{text}" + (f"</{tag}>" if tag != "p" or r.random() < 0.8 else ""))
         labels.append(content)
 
-    def named(tag: str, names: str) -> tuple[str, str]:
+    def named(tag: str, names: str, role: str = "") -> tuple[str, str]:
         key, name = r.choice(["class", "id"]), r.choice(names.split())
+        if r.random() < 0.3:  # a name of several parts, of which one tells
+            name = r.choice(["-", "_"]).join(r.sample([name, invented(2)], 2) if r.random() < 0.7 else [name, r.choice(names.split())])
         if key == "class" and r.random() < 0.2:
-            name = " ".join([*("".join(r.choices(SYLLABLES, k=3)) for _ in range(r.randint(1, 6))), name])
-        return f'<{tag} {key}="{name}">', f"</{tag}>"
+            name = " ".join([*(invented() for _ in range(r.randint(1, 6))), name])
+        more = f' role="{r.choice(role.split())}"' if role and r.random() < 0.3 else ""
+        return f'<{tag} {key}="{name}"{more}>', f"</{tag}>"
 
-    def listed(links: bool, content: bool) -> None:
-        out.append("<ul>")
+    def listed(links: bool, content: bool, kind: str = "") -> None:
+        shape = "ul" if not content else r.choice(["ul", "ol", "dl", "table"])
+        out.append(f"<{shape}>")
         for _ in range(r.randint(2, 8)):
-            leaf("li", content, 1, 4 if links else 15, links)
-        out.append("</ul>")
+            if shape == "dl":
+                leaf("dt", content, 1, 4)
+                leaf("dd", content, 1, 25)
+            elif shape == "table":
+                out.append("<tr>")
+                for _ in range(r.randint(1, 3)):
+                    leaf(r.choice(["td", "td", "th"]), content, 1, 5)
+                out.append("</tr>")
+            else:
+                leaf("li", content, 1, 4 if links else 15, links, kind)
+        out.append(f"</{shape}>")
 
     def noise() -> None:
-        kind = r.choice("nav header footer ad ad side notice form comments".split())
+        kind = r.choice("nav header footer ad ad side notice form comments comments".split())
         if kind == "nav":
-            start, end = r.choice([("<nav>", "</nav>"), named("div", "nav menu navigation navbar breadcrumbs"), named("ul", "menu nav-list")])
+            # a list of links alone is no article, whatever it is called
+            start, end = r.choice([("<nav>", "</nav>"), ("<nav>", "</nav>"), named("div", NAMES[kind], ROLES[kind]), named("ul", NAMES[kind], ROLES[kind]), named("div", invented()), ("<div>", "</div>")])
             out.append(start)
-            listed(True, False)
+            listed(True, False, kind)
             out.append(end)
         elif kind in ("header", "footer"):
-            start, end = r.choice([(f"<{kind}>", f"</{kind}>"), named("div", f"{kind} site-{kind} page-{kind}")])
+            start, end = r.choice([(f"<{kind}>", f"</{kind}>"), named("div", NAMES[kind], ROLES[kind])])
             out.append(start)
             for _ in range(r.randint(1, 3)):
-                leaf(r.choice(["p", "div"]), False, 1, 12, r.random() < 0.4)
+                leaf(r.choice(["p", "div"]), False, 1, 12, r.random() < 0.4, kind)
             out.append(end)
         elif kind == "form":
-            out.append("<form>")
-            leaf(r.choice(["label", "p", "div", "legend"]), False, 1, 8)
-            out.append('<input type="text"><button>' + say(1, 2) + "</button></form>")
+            start, end = r.choice([("<form>", "</form>"), ("<form>", "</form>"), tuple(a + b for a, b in zip(named("div", NAMES[kind], ROLES[kind]), ("<form>", ""), strict=True))])
+            out.append(start)
+            leaf(r.choice(["label", "p", "div", "legend"]), False, 1, 8, False, kind)
+            out.append('<input type="text"><button>' + say(1, 2, kind) + "</button>" + ("</form>" if "<form>" in start and start != "<form>" else "") + end)
             labels.append(False)
-            if out[-2].startswith("<label"):  # inline, but the button starts a block of its own
-                pass
         else:
-            names = {"ad": "ad ads advert banner sponsored promo", "side": "sidebar related widget aside", "notice": "cookie notice consent popup alert", "comments": "comments comment-list discussion replies"}[kind]
-            start, end = r.choice([named("div", names), named("section", names), ("<aside>", "</aside>") if kind == "side" else named("div", names)])
+            start, end = r.choice([named("div", NAMES[kind], ROLES[kind]), named("section", NAMES[kind], ROLES[kind]), ("<aside>", "</aside>") if kind == "side" else ("<dialog open>", "</dialog>") if kind == "notice" else named(r.choice(["div", "ol", "ul"]), NAMES[kind], ROLES[kind])])
             out.append(start)
             deep = r.randint(1, 12) if r.random() < 0.3 else 0  # as in threads of replies
-            inside = r.choice(["<div>", "<ul><li>", "<div><ul><li>"])
+            inside = r.choice(["<div>", "<ul><li>", "<div><ul><li>", "<article>"] if kind == "comments" else ["<div>", "<ul><li>", "<div><ul><li>"])
             out.append(inside * deep)
             if r.random() < 0.4:
-                out.append(say(2, 40))
+                out.append(say(2, 40, kind))
                 labels.append(False)
             else:
                 for _ in range(r.randint(1, 4)):
-                    leaf(r.choice(["p", "div", "h3"]), False, 1, 40, r.random() < 0.2)
+                    leaf(r.choice(["p", "div", "h3"]), False, 1, 40, r.random() < 0.2, kind)
             out.append("".join(f"</{t}>" for t in reversed(inside[1:-1].split("><"))) * deep)
             out.append(end)
 
-    out.append("<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style><script>var t=\"</p>\";</script></head><body>")
+    head = r.choice(["<title>t</title><style>p{margin:0}</style><script>var t=\"</p>\";</script>", "", '<meta charset="utf-8"><title>' + say(1, 6) + "</title>"])
+    out.append(r.choice(["<!DOCTYPE html>", ""]) + r.choice([f"<html><head>{head}</head><body>", f'<html lang="en"><head>{head}</head><body class="{invented()}">', f"<head>{head}<body>"]))
     for _ in range(r.randint(0, 4)):
         noise()
-    start, end = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), named("div", "content post article entry main-content post-body story"), named("section", "article-body content"), ("<main><article>", "</article></main>"), named("div", "main page-body text container"), ("<div><div>", "</div></div>"), ("<section>", "</section>"), ("<div><section>", "</section></div>"), named("section", "".join(r.choices(SYLLABLES, k=2))), named("div", "".join(r.choices(SYLLABLES, k=2)))])
+    own = "content post article entry main-content post-body story article-body body text prose single page-content"
+    start, end = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main>", "</main>"), named("div", own), named("section", own), ("<main><article>", "</article></main>"), named("article", own), named("div", "main page-body text container"), ("<div><div>", "</div></div>"), ("<section>", "</section>"), ("<div><section>", "</section></div>"), named("section", invented(2)), named("div", invented(2)), ('<div role="main">', "</div>")])
     if r.random() < 0.15:
-        wrap = named("div", "main page wrap wrapper container")
+        wrap = named("div", "main page wrap wrapper container layout grid row col app root site")
         start, end = wrap[0] + start, end + wrap[1]
     if r.random() < 0.97:
         out.append(start)
@@ -301,7 +355,7 @@ def made_page(r: random.Random) -> tuple[str, list[bool]]:
         for _ in range(r.randint(1, 14)):
             if r.random() < 0.06:
                 noise()
-            elif r.random() < 0.08:
+            elif r.random() < 0.12:
                 listed(False, True)
             else:
                 leaf(r.choice(["p"] * 9 + ["h2", "blockquote", "pre", "figcaption"]), True, 1, r.choice([3, 40, 120]), r.random() < 0.03)
@@ -312,7 +366,7 @@ def made_page(r: random.Random) -> tuple[str, list[bool]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n_pages: int = 1500, epochs: int = 4, seed: int = 11) -> Labeller:
+def trained(n_pages: int = 2200, epochs: int = 4, seed: int = 11) -> Labeller:
     """A labeller fitted to n_pages generated pages, a bound that no input changes. Deterministic."""
     r, model = random.Random(seed), Labeller.start()
     data = []
