@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -11,7 +12,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from voxelia.llm import byte_bpe
+from voxelia.llm import byte_bpe, quality
+
+from .test_pairs import best_distance, groups, shingles
 
 ROOT = Path(__file__).parents[2]
 SF = "/root/testdata/sf0.001"
@@ -57,6 +60,61 @@ def test_stages(spark, folder):
         assert r.decoded_sha256 == hashlib.sha256(leaks[i].text.encode()).hexdigest()
 
 
+def judged(text):
+    """The quality rules, counted place by place."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+
+    def marked(n, first):
+        seen, out = {}, set()
+        for k in range(len(words) - n + 1):
+            g = tuple(words[k : k + n])
+            if g in seen:
+                out |= set(range(k, k + n)) | (set(range(seen[g], seen[g] + n)) if first else set())
+            seen.setdefault(g, k)
+        return out
+
+    chars = max(sum(map(len, words)), 1)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    again = [x for k, x in enumerate(lines) if x in lines[:k]]
+    fine = len(words) >= 50 and 100 * len(marked(3, True)) <= 50 * len(words)
+    fine &= all(sum(len(words[k]) for k in marked(n, False)) <= most * chars for n, most in quality.NGRAM_LIMITS.items())
+    return fine and sum(len(w) for x in again for w in re.findall(r"[^\x20\x09-\x0D]+", x)) <= quality.LINE_CHARS_LIMIT * chars
+
+
+def undoubled(texts):
+    """texts without the lines that an earlier one stands for; a text that loses all its lines goes."""
+    norm = lambda x: x.strip(" \t\r\x0b\x0c").lower()
+    lines = sorted((i, k, norm(x)) for i, t in texts.items() for k, x in enumerate(t.split("\n")) if norm(x))
+    sets = [{x[k : k + 10] for k in range(max(1, len(x) - 9))} for _, _, x in lines]
+    links = [(a, b) for b in range(len(lines)) for a in range(b) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    own = groups(range(len(lines)), links)
+    gone = {lines[k][:2] for k, first in own.items() if k != first}
+    out = {}
+    for i, t in texts.items():
+        parts = t.split("\n")
+        stays = [x for k, x in enumerate(parts) if (i, k) not in gone]
+        if len(stays) == len(parts) or any(norm(x) for x in stays):
+            out[i] = "\n".join(stays)
+    return out
+
+
+def test_run_against_brute_force(spark, folder):
+    """Every stage done by hand, on what the one before kept."""
+    texts = {i: t for i, t in folder[1].items() if judged(t)}
+    texts = undoubled(texts)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    own = groups(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    texts = {i: t for i, t in texts.items() if own[i] == i}
+    fold = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
+    items = [fold(r.text) for r in spark.read.parquet(f"{folder[0]}/benchmark.parquet").collect() if r.text]
+    texts = {i: t for i, t in texts.items() if all(best_distance(x, fold(t)) > int(0.2 * len(x)) for x in items)}
+    enc = byte_bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    wanted = sorted((i, enc.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items())
+    got = sorted((r.doc_id, r.ids, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(folder[0])).collect())
+    assert got == wanted and set(range(40)) <= set(texts)
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
