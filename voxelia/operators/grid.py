@@ -94,25 +94,34 @@ def less_local_mean(v: DataFrame, kernel: list[tuple], sizes: dict[str, int], ke
     return v.join(mean, [*keys, *axes]).select(*keys, *axes, F.when(F.abs(left) < 1e-10, 0.0).otherwise(left).alias("v"))
 
 
-def zero_crossings(v: DataFrame, sizes: dict[str, int], threshold: float) -> DataFrame:
+def zero_crossings(v: DataFrame, sizes: dict[str, int], threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """crossing: some forward neighbour has the other sign and is further off than threshold."""
     axes = list(sizes)
+    cell = [*keys, *axes]
     steps = [tuple((k >> i) & 1 for i in range(len(axes))) + (1.0,) for k in range(1, 1 << len(axes))]
     # the last row of each axis has no forward neighbour on it and stays false
     inner = [F.col(a) < n - 1 for a, n in sizes.items()]
-    near = neighbours(v, steps, sizes, "zero")
-    both = near.join(v, axes).where((F.abs(F.col("v") - F.col("value")) > threshold) & (F.col("v") * F.col("value") < 0))
-    hits = both.select(*axes).distinct().withColumn("hit", F.lit(True))
+    near = neighbours(v, steps, sizes, "zero", keys)
+    both = near.join(v, cell).where((F.abs(F.col("v") - F.col("value")) > threshold) & (F.col("v") * F.col("value") < 0))
+    hits = both.select(*cell).distinct().withColumn("hit", F.lit(True))
     ok = inner[0]
     for c in inner[1:]:
         ok = ok & c
-    return v.join(hits, axes, "left").select(*axes, "v", (F.coalesce("hit", F.lit(False)) & ok).alias("crossing"))
+    return v.join(hits, cell, "left").select(*cell, "v", (F.coalesce("hit", F.lit(False)) & ok).alias("crossing"))
 
 
-def padded_with_mean(v: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """v on a larger grid; new cells hold the mean of the given ones."""
-    mean = F.broadcast(v.agg(F.avg("v").alias("mean")))  # one row
-    return grid(v.sparkSession, **sizes).join(v, list(sizes), "left").join(mean).select(*sizes, F.coalesce("v", "mean").alias("v"))
+def every_cell(v: DataFrame, sizes: dict[str, int], keys: tuple[str, ...]) -> DataFrame:
+    """(keys, axes): all cells of a grid for each image of v."""
+    cells = grid(v.sparkSession, **sizes)
+    return v.select(*keys).distinct().join(F.broadcast(cells)) if keys else cells  # the grid of one image is a constant
+
+
+def padded_with_mean(v: DataFrame, sizes: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """v on a larger grid; new cells hold the mean of the given ones of their image."""
+    mean = v.groupBy(*keys).agg(F.avg("v").alias("mean"))
+    wide = every_cell(v, sizes, keys).join(v, [*keys, *sizes], "left")
+    both = wide.join(mean, list(keys)) if keys else wide.join(F.broadcast(mean))  # one row
+    return both.select(*keys, *sizes, F.coalesce("v", "mean").alias("v"))
 
 
 def shifted(v: DataFrame, by: dict[str, int], sizes: dict[str, int]) -> DataFrame:
@@ -122,13 +131,13 @@ def shifted(v: DataFrame, by: dict[str, int], sizes: dict[str, int]) -> DataFram
     return grid(v.sparkSession, **sizes).join(moved, axes, "left").select(*axes, F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-def bilinear_shift(v: DataFrame, dy: float, dx: float, sizes: dict[str, int]) -> DataFrame:
+def bilinear_shift(v: DataFrame, dy: float, dx: float, sizes: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
     """v(y - dy, x - dx) by bilinear weights, zero outside."""
     iy, ix = int(dy // 1), int(dx // 1)
     fy, fx = dy - iy, dx - ix
     corners = [(a, b, (1 - fy if a == -iy else fy) * (1 - fx if b == -ix else fx)) for a in (-iy, -iy - 1) for b in (-ix, -ix - 1)]
-    got = weighted_sum(neighbours(v, corners, sizes, "zero"), "y", "x")
-    return grid(v.sparkSession, **sizes).join(got, ["y", "x"], "left").select("y", "x", F.coalesce("s", F.lit(0.0)).alias("v"))
+    got = weighted_sum(neighbours(v, corners, sizes, "zero", keys), *keys, "y", "x")
+    return every_cell(v, sizes, keys).join(got, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
 def resampled(v: DataFrame, sizes: dict[str, int], at: dict[str, Column]) -> DataFrame:

@@ -12,8 +12,9 @@ from voxelia.operators import grid as G
 from voxelia.operators.knee import knees, smoothed_histogram
 from voxelia.registry import query
 
-VOX, IMG = f"WITH {CTE['vox']}", f"WITH {CTE['img']}"
+VOX = f"WITH {CTE['vox']}"
 CELL = ["scan", "z", "y", "x"]
+IMAGE = ("scan", "z")
 PLANE = {"y": 16, "x": 16}
 SPACE = {"z": 8, "y": 16, "x": 16}
 
@@ -101,10 +102,10 @@ def rgba_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("z", "y", "x").agg(*cols, F.round(F.sum(F.pow(F.col("u8") / 255, 2) * 255 * 0.6), 6).alias("a"))
 
 
-@query(IMG + " SELECT y, x, round(v * (1 - 0.5 * (v > 1000)::INT) + 0.5 * (v > 1000)::INT * 0.25 * 255, 6) AS c FROM img")
+@query(VOX + " SELECT scan, z, y, x, round(v * (1 - 0.5 * (v > 1000)::INT) + 0.5 * (v > 1000)::INT * 0.25 * 255, 6) AS c FROM vox")
 def alpha_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = (F.col("v") > 1000).cast("int")
-    return C.img(spark, sf_dir).select("y", "x", F.round(F.col("v") * (1 - 0.5 * m) + 0.5 * m * 0.25 * 255, 6).alias("c"))
+    return C.vox(spark, sf_dir).select(*CELL, F.round(F.col("v") * (1 - 0.5 * m) + 0.5 * m * 0.25 * 255, 6).alias("c"))
 
 
 @query(VOX + ", u AS (SELECT *, floor(least(v, 2000.0) / 2000.0 * 255)::BIGINT AS u FROM vox), h AS (SELECT scan, z, u, sum(count(*)) OVER (PARTITION BY scan, z ORDER BY u) AS below FROM u GROUP BY scan, z, u), k AS (SELECT *, min(below) OVER (PARTITION BY scan, z) AS least FROM h) SELECT scan, z, u, round((below - least)::DOUBLE / greatest(256 - least, 1) * 255)::BIGINT AS e FROM k")
@@ -129,55 +130,57 @@ def ball_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.vox(spark, sf_dir).select(*CELL, F.when(sum((k * k for k in d), F.lit(0)) <= 16, F.col("v")).otherwise(0.0).alias("v"))
 
 
-@query(IMG + " SELECT i.y, i.x, sum(n.v) AS s FROM img i CROSS JOIN range(-2, 3) p(dy) CROSS JOIN range(-2, 3) q(dx) JOIN img n ON n.y = (i.y + dy + 16) % 16 AND n.x = (i.x + dx + 16) % 16 WHERE dy * dy + dx * dx <= 4 GROUP BY i.y, i.x")
+@query(VOX + " SELECT i.scan, i.z, i.y, i.x, sum(n.v) AS s FROM vox i CROSS JOIN range(-2, 3) p(dy) CROSS JOIN range(-2, 3) q(dx) JOIN vox n ON n.scan = i.scan AND n.z = i.z AND n.y = (i.y + dy + 16) % 16 AND n.x = (i.x + dx + 16) % 16 WHERE dy * dy + dx * dx <= 4 GROUP BY i.scan, i.z, i.y, i.x")
 def circular_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.weighted_sum(G.neighbours(C.img(spark, sf_dir), G.disk(2), PLANE, "wrap"), "y", "x")
+    return G.weighted_sum(G.neighbours(C.vox(spark, sf_dir), G.disk(2), PLANE, "wrap", IMAGE), *CELL)
 
 
-LMR = """, near AS (SELECT i.y, i.x, avg(n.v) AS m FROM img i CROSS JOIN range(-3, 4) p(dy) CROSS JOIN range(-3, 4) q(dx) JOIN img n ON n.y = (i.y + dy + 16) % 16 AND n.x = (i.x + dx + 16) % 16 WHERE dy * dy + dx * dx <= 9 GROUP BY i.y, i.x),
-lmr AS (SELECT y, x, CASE WHEN abs(v - abs(m)) < 1e-10 THEN 0.0 ELSE v - abs(m) END AS v FROM img JOIN near USING (y, x))"""
+LMR = """, near AS (SELECT i.scan, i.z, i.y, i.x, avg(n.v) AS m FROM vox i CROSS JOIN range(-3, 4) p(dy) CROSS JOIN range(-3, 4) q(dx) JOIN vox n ON n.scan = i.scan AND n.z = i.z AND n.y = (i.y + dy + 16) % 16 AND n.x = (i.x + dx + 16) % 16 WHERE dy * dy + dx * dx <= 9 GROUP BY i.scan, i.z, i.y, i.x),
+lmr AS (SELECT scan, z, y, x, CASE WHEN abs(v - abs(m)) < 1e-10 THEN 0.0 ELSE v - abs(m) END AS v FROM vox JOIN near USING (scan, z, y, x))"""
 
 
-@query(IMG + LMR + " SELECT y, x, round(v, 6) + 0.0 AS v FROM lmr")
+@query(VOX + LMR + " SELECT scan, z, y, x, round(v, 6) + 0.0 AS v FROM lmr")
 def local_mean_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.less_local_mean(C.img(spark, sf_dir), G.disk(3), PLANE).select("y", "x", rounded("v").alias("v"))
+    return G.less_local_mean(C.vox(spark, sf_dir), G.disk(3), PLANE, IMAGE).select(*CELL, rounded("v").alias("v"))
 
 
-CROSS = """, hit AS (SELECT DISTINCT i.y, i.x FROM lmr i CROSS JOIN range(2) p(dy) CROSS JOIN range(2) q(dx) JOIN lmr n ON n.y = i.y + dy AND n.x = i.x + dx WHERE dy + dx > 0 AND i.y < 15 AND i.x < 15 AND abs(i.v - n.v) > 50 AND i.v * n.v < 0)"""
+CROSS = """, hit AS (SELECT DISTINCT i.scan, i.z, i.y, i.x FROM lmr i CROSS JOIN range(2) p(dy) CROSS JOIN range(2) q(dx) JOIN lmr n ON n.scan = i.scan AND n.z = i.z AND n.y = i.y + dy AND n.x = i.x + dx WHERE dy + dx > 0 AND i.y < 15 AND i.x < 15 AND abs(i.v - n.v) > 50 AND i.v * n.v < 0)"""
 
 
-@query(IMG + LMR + CROSS + " SELECT y, x, (h.y IS NOT NULL)::BIGINT AS crossing, round(CASE WHEN h.y IS NOT NULL THEN l.v ELSE 0.0 END, 6) + 0.0 AS weighted FROM lmr l LEFT JOIN hit h USING (y, x)")
+@query(VOX + LMR + CROSS + " SELECT scan, z, y, x, (h.y IS NOT NULL)::BIGINT AS crossing, round(CASE WHEN h.y IS NOT NULL THEN l.v ELSE 0.0 END, 6) + 0.0 AS weighted FROM lmr l LEFT JOIN hit h USING (scan, z, y, x)")
 def zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zero crossings after local mean removal, and the image where they are."""
-    found = G.zero_crossings(G.less_local_mean(C.img(spark, sf_dir), G.disk(3), PLANE), PLANE, 50.0)
-    return found.select("y", "x", F.col("crossing").cast("long").alias("crossing"), rounded(F.when(F.col("crossing"), F.col("v")).otherwise(0.0)).alias("weighted"))
+    """Zero crossings of every slice after local mean removal, and the slice where they are."""
+    found = G.zero_crossings(G.less_local_mean(C.vox(spark, sf_dir), G.disk(3), PLANE, IMAGE), PLANE, 50.0, IMAGE)
+    return found.select(*CELL, F.col("crossing").cast("long").alias("crossing"), rounded(F.when(F.col("crossing"), F.col("v")).otherwise(0.0)).alias("weighted"))
 
 
 REFLECT = "(CASE WHEN {a} < 0 THEN -({a}) WHEN {a} >= 16 THEN 30 - ({a}) ELSE {a} END)"
 AT = f"n.y = {REFLECT.format(a='i.y + dy')} AND n.x = {REFLECT.format(a='i.x + dx')}"
 
 
-@query(IMG + f" SELECT i.y, i.x, round(sum(n.v) / 9, 6) AS b FROM img i CROSS JOIN range(-1, 2) p(dy) CROSS JOIN range(-1, 2) q(dx) JOIN img n ON {AT} GROUP BY i.y, i.x")
+@query(VOX + f" SELECT i.scan, i.z, i.y, i.x, round(sum(n.v) / 9, 6) AS b FROM vox i CROSS JOIN range(-1, 2) p(dy) CROSS JOIN range(-1, 2) q(dx) JOIN vox n ON n.scan = i.scan AND n.z = i.z AND {AT} GROUP BY i.scan, i.z, i.y, i.x")
 def box_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = G.weighted_sum(G.neighbours(C.img(spark, sf_dir), [(y, x, 1.0) for y, x, _ in G.box(3)], PLANE, "reflect"), "y", "x")
-    return s.select("y", "x", F.round(F.col("s") / 9, 6).alias("b"))
+    s = G.weighted_sum(G.neighbours(C.vox(spark, sf_dir), [(y, x, 1.0) for y, x, _ in G.box(3)], PLANE, "reflect", IMAGE), *CELL)
+    return s.select(*CELL, F.round(F.col("s") / 9, 6).alias("b"))
 
 
-@query(IMG + f" SELECT i.y, i.x, round(sum(n.v * cos(sqrt(dy * dy + dx * dx) * pi() / 4) * (dy * dy + dx * dx <= 9)::INT), 6) + 0.0 AS f FROM img i CROSS JOIN range(-3, 4) p(dy) CROSS JOIN range(-3, 4) q(dx) JOIN img n ON {AT} GROUP BY i.y, i.x")
+@query(VOX + f", k AS (SELECT dy, dx, abs(cos(sqrt(dy * dy + dx * dx) * pi() / 4) * exp(-(dy * dy + dx * dx) / 4.0::DOUBLE)) AS w FROM range(-3, 4) p(dy), range(-3, 4) q(dx)) SELECT i.scan, i.z, i.y, i.x, round(sum(n.v * w) / (SELECT sum(w) FROM k), 6) + 0.0 AS f FROM vox i CROSS JOIN k JOIN vox n ON n.scan = i.scan AND n.z = i.z AND {AT} GROUP BY i.scan, i.z, i.y, i.x")
 def circular_cosine_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from math import cos, pi, sqrt
+    """A ring cosine of frequency pi / 4 that decays with sigma 2, over its sum, on every slice."""
+    from math import pi
 
-    kernel = [(y, x, cos(sqrt(y * y + x * x) * pi / 4)) for y, x, _ in G.disk(3)]
-    s = G.weighted_sum(G.neighbours(C.img(spark, sf_dir), kernel, PLANE, "reflect"), "y", "x")
-    return s.select("y", "x", rounded("s").alias("f"))
+    from voxelia.operators.blocks import correlated, ring_cosine
 
+    found = correlated(C.vox(spark, sf_dir), {"f": ring_cosine(pi / 4, 2.0)}, PLANE, "reflect", IMAGE, block=8)
+    return found.select(*CELL, rounded("f").alias("f"))
 
-@query(IMG + " SELECT i.y, i.x, median(coalesce(n.v, 0.0)) AS m FROM img i CROSS JOIN range(-1, 2) p(dy) CROSS JOIN range(-1, 2) q(dx) LEFT JOIN img n ON n.y = i.y + dy AND n.x = i.x + dx GROUP BY i.y, i.x")
+
+@query(VOX + " SELECT i.scan, i.z, i.y, i.x, median(coalesce(n.v, 0.0)) AS m FROM vox i CROSS JOIN range(-1, 2) p(dy) CROSS JOIN range(-1, 2) q(dx) LEFT JOIN vox n ON n.scan = i.scan AND n.z = i.z AND n.y = i.y + dy AND n.x = i.x + dx GROUP BY i.scan, i.z, i.y, i.x")
 def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of 3 x 3, zeros outside: those that are missing at the border are put in by number."""
-    near = G.neighbours(C.img(spark, sf_dir), G.box(3), PLANE, "zero").groupBy("y", "x").agg(F.collect_list("value").alias("all"))
+    near = G.neighbours(C.vox(spark, sf_dir), G.box(3), PLANE, "zero", IMAGE).groupBy(*CELL).agg(F.collect_list("value").alias("all"))
     full = F.sort_array(F.concat("all", F.array_repeat(F.lit(0.0), 9 - F.size("all"))))
-    return near.select("y", "x", F.get(full, F.lit(4)).alias("m"))
+    return near.select(*CELL, F.get(full, F.lit(4)).alias("m"))
 
 
 HIST = "h AS (SELECT least(99, floor((value - lo) / ((hi - lo) / 100)))::BIGINT AS bin, count(*) AS n FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events) GROUP BY ALL)"
@@ -224,9 +227,9 @@ def neighbourhood_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(p.select("scan", *[F.col(a).alias(f"n_{a}") for a in "zyx"]), ["scan", "n_z", "n_y", "n_x"]).groupBy(*CELL).agg(F.count("*").alias("n"))
 
 
-@query(IMG + " SELECT y, x, round(coalesce(i.v, (SELECT avg(v) FROM img)), 6) AS v FROM (SELECT y, x FROM range(18) p(y), range(20) q(x)) g LEFT JOIN img i USING (y, x)")
+@query(VOX + ", m AS (SELECT scan, z, avg(v) AS m FROM vox GROUP BY scan, z) SELECT scan, z, p.y AS y, q.x AS x, round(coalesce(i.v, m), 6) AS v FROM m CROSS JOIN range(18) p(y) CROSS JOIN range(20) q(x) LEFT JOIN (SELECT scan AS s, z AS k, y AS r, x AS c, v FROM vox) i ON i.s = scan AND i.k = z AND i.r = p.y AND i.c = q.x")
 def pad_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.padded_with_mean(C.img(spark, sf_dir), {"y": 18, "x": 20}).select("y", "x", F.round("v", 6).alias("v"))
+    return G.padded_with_mean(C.vox(spark, sf_dir), {"y": 18, "x": 20}, IMAGE).select(*CELL, F.round("v", 6).alias("v"))
 
 
 @query(VOX + " SELECT max(z) + 1 AS z, max(y) + 1 AS y, max(x) + 1 AS x FROM vox WHERE v > 500")
@@ -247,10 +250,10 @@ def shift_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.shifted(C.vox(spark, sf_dir).where("scan = 0").select("z", "y", "x", "v"), {"z": 2, "y": -3, "x": 1}, SPACE)
 
 
-@query(IMG + " SELECT g.y, g.x, round(coalesce(sum(n.v * (CASE dy WHEN 0 THEN 0.75 ELSE 0.25 END) * (CASE dx WHEN 0 THEN 0.5 ELSE 0.5 END)), 0), 6) AS v FROM (SELECT y, x FROM img) g CROSS JOIN range(2) p(dy) CROSS JOIN range(2) q(dx) LEFT JOIN img n ON n.y = g.y - 1 - dy AND n.x = g.x + 1 - dx GROUP BY g.y, g.x")
+@query(VOX + " SELECT g.scan, g.z, g.y, g.x, round(coalesce(sum(n.v * (CASE dy WHEN 0 THEN 0.75 ELSE 0.25 END) * (CASE dx WHEN 0 THEN 0.5 ELSE 0.5 END)), 0), 6) AS v FROM vox g CROSS JOIN range(2) p(dy) CROSS JOIN range(2) q(dx) LEFT JOIN vox n ON n.scan = g.scan AND n.z = g.z AND n.y = g.y - 1 - dy AND n.x = g.x + 1 - dx GROUP BY g.scan, g.z, g.y, g.x")
 def bilinear_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moved by (1.25, -0.5): one and a quarter down, half to the left."""
-    return G.bilinear_shift(C.img(spark, sf_dir), 1.25, -0.5, PLANE).select("y", "x", F.round("v", 6).alias("v"))
+    return G.bilinear_shift(C.vox(spark, sf_dir), 1.25, -0.5, PLANE, IMAGE).select(*CELL, F.round("v", 6).alias("v"))
 
 
 def slope(cell: str, by: str, along: str, value: str = "v") -> str:

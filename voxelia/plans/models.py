@@ -170,11 +170,11 @@ def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lifted(C.ell(spark, sf_dir)).groupBy("class", "scan").agg(F.count("*").alias("n"), F.count_if(large).alias("large"), F.round(F.min(F.when(large, away)), 6).alias("nearest"))
 
 
-@query(f"WITH {CTE['img']}, s AS (SELECT min(v) AS lo, max(v) AS hi FROM img), t AS (SELECT y, x, (v - lo) / (hi - lo) AS t FROM img, s) SELECT y, x, " + ", ".join(f"round(0.5 * t + 0.5 * least(greatest(1.5 - abs(4 * t - {k}), 0), 1), 6) AS {c}" for c, k in (("r", 3), ("g", 2), ("b", 1))) + " FROM t")
+@query(f"WITH {CTE['vox']}, t AS (SELECT scan, z, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS t FROM vox WINDOW w AS (PARTITION BY scan, z)) SELECT scan, z, y, x, " + ", ".join(f"round(0.5 * t + 0.5 * least(greatest(1.5 - abs(4 * t - {k}), 0), 1), 6) AS {c}" for c, k in (("r", 3), ("g", 2), ("b", 1))) + " FROM t")
 def heatmap_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half grey and half the blue-to-red colour of the value, scaled to the plane's range."""
-    v = C.img(spark, sf_dir)
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row
-    t = v.join(F.broadcast(ends)).select("y", "x", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("t"))
+    """Half grey and half the blue-to-red colour of the value, scaled to the slice's range."""
+    v = C.vox(spark, sf_dir)
+    ends = v.groupBy("scan", "z").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    t = v.join(C.small(ends), ["scan", "z"]).select("scan", "z", "y", "x", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("t"))
     colour = lambda k: F.round(0.5 * F.col("t") + 0.5 * F.least(F.greatest(1.5 - F.abs(4 * F.col("t") - k), F.lit(0.0)), F.lit(1.0)), 6)
-    return t.select("y", "x", colour(3).alias("r"), colour(2).alias("g"), colour(1).alias("b"))
+    return t.select("scan", "z", "y", "x", colour(3).alias("r"), colour(2).alias("g"), colour(1).alias("b"))
