@@ -164,13 +164,13 @@ def memmap_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", "stem", *[F.get("shape", F.lit(k)).alias(n) for k, n in enumerate("abc")])
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'ppm', 'bmp', 'pgm', 'tif', 'tiff', 'webp') AS image, split_part(split_part(url, '://', 2), '/', 1) AS block FROM pages".replace("regexp_extract(url, '\\.", "regexp_extract(url, '\\."))
+@query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'ppm', 'bmp', 'pgm', 'tif', 'tiff', 'webp') AS image, split_part(split_part(url, '://', 2), '/', 1) AS block FROM pages")
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a path names an image, and the block (first folder) it is in."""
     return C.table(spark, sf_dir, "pages").select("page_id", files.is_image(F.col("url")).alias("image"), F.get(F.split(F.get(F.split("url", "://"), F.lit(1)), "/"), F.lit(0)).alias("block"))
 
 
-@query("SELECT p_partkey, (p_size * 13) // 64 * 64 AS h, (p_size * 29) // 64 * 64 AS w, round(p_size * 0.5)::BIGINT AS rows_mm, round(p_size * 0.7 * 10 / 0.7 / 7)::BIGINT AS depth FROM part".replace("(p_size * 13) // 64 * 64 AS h", "((p_size * 13) // 64 * 64)::BIGINT AS h").replace("(p_size * 29) // 64 * 64 AS w", "((p_size * 29) // 64 * 64)::BIGINT AS w"))
+@query("SELECT p_partkey, ((p_size * 13) // 64 * 64)::BIGINT AS h, ((p_size * 29) // 64 * 64)::BIGINT AS w, round(p_size * 0.5)::BIGINT AS rows_mm, round(p_size * 0.7 * 10 / 0.7 / 7)::BIGINT AS depth FROM part")
 def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame sizes rounded down to multiples of 64, and sizes in millimetres and slices after scaling."""
     s = F.col("p_size")
