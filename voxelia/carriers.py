@@ -45,14 +45,6 @@ CTE["vox"] = """vox AS (
              FROM lineitem GROUP BY ALL) f USING (scan, z, y, x))"""
 
 
-def img(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(y, x, v): one plane of vox."""
-    return vox(spark, sf_dir).where("scan = 0 and z = 0").select("y", "x", "v")
-
-
-CTE["img"] = CTE["vox"] + ", img AS (SELECT y, x, v FROM vox WHERE scan = 0 AND z = 0)"
-
-
 #: How far the second scan of C.rolled is moved.
 ROLL = (2, -3, 4)
 

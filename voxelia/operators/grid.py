@@ -140,12 +140,12 @@ def bilinear_shift(v: DataFrame, dy: float, dx: float, sizes: dict[str, int], ke
     return every_cell(v, sizes, keys).join(got, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
-def resampled(v: DataFrame, sizes: dict[str, int], at: dict[str, Column]) -> DataFrame:
-    """The nearest value at the point that at gives for each cell, zero outside; .5 rounds up."""
-    axes = list(sizes)
-    cells = grid(v.sparkSession, **sizes).select(*axes, *[F.floor(at[a] + 0.5).alias(f"n_{a}") for a in axes])
-    source = v.select(*[F.col(a).alias(f"n_{a}") for a in axes], "v")
-    return cells.join(source, [f"n_{a}" for a in axes], "left").select(*axes, F.coalesce("v", F.lit(0.0)).alias("v"))
+def resampled(v: DataFrame, at: dict[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:
+    """For every cell of v the nearest value of its image at the point that at gives, zero outside; .5 rounds up."""
+    axes = list(at)
+    cells = v.select(*keys, *axes, *[F.floor(at[a] + 0.5).alias(f"n_{a}") for a in axes])
+    source = v.select(*keys, *[F.col(a).alias(f"n_{a}") for a in axes], "v")
+    return cells.join(source, [*keys, *[f"n_{a}" for a in axes]], "left").select(*keys, *axes, F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def warp_magnitude(coords: DataFrame, chunk: int) -> DataFrame:

@@ -268,10 +268,8 @@ AFFINE = {"z": ("z * 0.5 + 2", lambda z, y, x: z * 0.5 + 2), "y": ("y * 0.9 + x
 @query(VOX + ", g AS (SELECT scan, z, y, x, " + ", ".join(f"floor(({e})::DOUBLE + 0.5)::BIGINT AS n{a}" for a, (e, _) in AFFINE.items()) + " FROM vox) SELECT g.scan, g.z, g.y, g.x, coalesce(s.v, 0.0) AS v FROM g LEFT JOIN vox s ON s.scan = g.scan AND s.z = nz AND s.y = ny AND s.x = nx")
 def nearest_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every volume resampled by an affine map, the nearest value or zero outside."""
-    v = C.vox(spark, sf_dir)
-    cells = v.select(*CELL, *[F.floor(f(F.col("z"), F.col("y"), F.col("x")) + 0.5).alias(f"n_{a}") for a, (_, f) in AFFINE.items()])
-    source = v.select("scan", *[F.col(a).alias(f"n_{a}") for a in "zyx"], "v")
-    return cells.join(source, ["scan", "n_z", "n_y", "n_x"], "left").select(*CELL, F.coalesce("v", F.lit(0.0)).alias("v"))
+    at = {a: f(F.col("z"), F.col("y"), F.col("x")) for a, (_, f) in AFFINE.items()}
+    return G.resampled(C.vox(spark, sf_dir), at, ("scan",))
 
 
 @query(VOX + ", s AS (SELECT scan, max(z) + 1 AS n0, max(y) + 1 AS n1, max(x) + 1 AS n2 FROM vox WHERE v > 0 GROUP BY scan) SELECT scan, a.z + 2 AS z, b.y AS y, c.x AS x FROM s, range(8) a(z), range(16) b(y), range(16) c(x) WHERE a.z < n0 AND b.y < n1 AND c.x < n2")
