@@ -52,7 +52,10 @@ def axial_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulls.join(numbered.drop("n"), "k").select("pull", "series", "z")
 
 
-@query(VOX + ", t AS (SELECT quantile_cont(v, 0.999) AS t FROM vox), k AS (SELECT scan, z FROM vox, t GROUP BY scan, z, t HAVING max(v) >= t) SELECT scan, z, y, x, CASE WHEN v < t THEN 0.0 ELSE v END AS v FROM vox JOIN k USING (scan, z), t")
+ACCEPT = VOX + ", t AS (SELECT quantile_cont(v, 0.999) AS t FROM vox), k AS (SELECT scan, z FROM vox, t GROUP BY scan, z, t HAVING max(v) >= t) SELECT scan, z, y, x, CASE WHEN v < t THEN 0.0 ELSE v END AS v FROM vox JOIN k USING (scan, z), t"
+
+
+@query(ACCEPT)
 def slice_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices whose greatest value reaches the threshold, with lesser values set to zero."""
     v = C.vox(spark, sf_dir)
@@ -104,21 +107,26 @@ def exponential_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("name").agg(rounded(F.sum(F.when(F.col("step") == 1, power).otherwise(0.1 * power) * F.col("value"))).alias("ema"))
 
 
-@query()
+@query(VOX + ", t AS (SELECT quantile_cont(v, 0.9) AS t FROM vox) SELECT scan, z, y, x, v FROM vox, t WHERE v > t QUALIFY row_number() OVER (PARTITION BY scan, z ORDER BY md5(concat_ws(':', 7, scan, z, y, x)), y, x) <= 8")
 def pixel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to eight pixels above the threshold from each image, by the order of a seeded hash."""
     v = C.vox(spark, sf_dir)
     bright = v.where(F.col("v") > cut(v, 0.9))
-    w = W.partitionBy("scan", "z").orderBy(F.xxhash64(F.lit(7), "scan", "z", "y", "x"), "y", "x")
+    w = W.partitionBy("scan", "z").orderBy(F.md5(F.concat_ws(":", F.lit(7), "scan", "z", "y", "x")), "y", "x")
     return bright.withColumn("r", F.row_number().over(w)).where("r <= 8").select("scan", "z", "y", "x", "v")
 
 
-@query()
+DRAW = "('0x' || left(md5({salt} || ':' || id), 8))::BIGINT / 4294967296"
+
+
+@query(f"""WITH {CTE['slice_series']}, n AS (SELECT series, count(*) AS n, row_number() OVER (ORDER BY series) - 1 AS k FROM slice_series GROUP BY series),
+d AS (SELECT id, {DRAW.format(salt=1)} AS a, {DRAW.format(salt=2)} AS b FROM range(200) t(id))
+SELECT id AS pull, series, floor(b * n)::BIGINT + 1 AS z FROM d JOIN n ON k = floor(a * (SELECT count(*) FROM n))""")
 def random_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hundred draws, each uniform over series and then over the slices of the series."""
     n = C.slice_series(spark, sf_dir).groupBy("series").agg(F.count("*").alias("n"))
     listed = F.broadcast(n.agg(F.sort_array(F.collect_list(F.struct("series", "n"))).alias("all")))  # one row, a struct for each series
-    draw = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1 << 30)) / (1 << 30)
+    draw = lambda salt: F.conv(F.left(F.md5(F.concat_ws(":", F.lit(salt), "id")), F.lit(8)), 16, 10).cast("long") / (1 << 32)
     pick = spark.range(200).join(listed).select("id", F.get("all", F.floor(draw(1) * F.size("all")).cast("int")).alias("s"))
     return pick.select(F.col("id").alias("pull"), F.col("s.series").alias("series"), (F.floor(draw(2) * F.col("s.n")) + 1).alias("z"))
 
@@ -183,7 +191,7 @@ def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.metric(spark, sf_dir).select("name", "step", F.to_json(F.struct("name", "step")).alias("line"))
 
 
-@query()
+@query(ACCEPT)
 def streamed_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """slice_accept's rows by a file stream of slices, one row a slice."""
     v = C.vox(spark, sf_dir)
