@@ -112,3 +112,16 @@ def test_quantiles(spark):
             at = q * (len(own) - 1)
             lo = own[math.floor(at)]
             assert abs(found - (lo + (own[math.ceil(at)] - lo) * (at - math.floor(at)))) < 1e-12
+
+
+def test_nothing_goes_through_the_driver(spark):
+    """Cells kept in small files are joined by a shuffle: sent to the driver, their rows would take far more than the files."""
+    from voxelia.operators.density import near_cells
+    from voxelia.operators.graph import to_larger, to_smaller
+    from voxelia.store import kept
+
+    cells = kept(spark.range(50).selectExpr("id AS cell", "id % 3 AS grp", "id AS g0", "id AS g1"), "cells")
+    links = kept(spark.range(50).selectExpr("id + 1 AS a", "id AS b"), "links")
+    for df in (near_cells(cells, ("g0", "g1")), to_larger(links), to_smaller(links)):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert near_cells(cells, ("g0", "g1")).count() == 0
