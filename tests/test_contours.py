@@ -110,3 +110,15 @@ def test_small_tables(spark):
     bad = spark.createDataFrame([(0, None, 1, 1, "x"), (0, 1, 1, None, "x"), (None, 2, 2, 1, "x")], SCHEMA)
     (only,) = contours.ellipses(contours.borders(bad, "plane")).collect()
     assert (only.plane, only.n, only.area, only.com_x, only.cx) == (None, 1, 0.0, None, None)
+
+
+def test_borders_through_tiles(spark):
+    """Borders in many tiles, with a hole over an edge between them, and no row of single cracks where a border lies in one tile."""
+    r = random.Random(4)
+    images = {0: {(y, x): 1 for y in range(60, 70) for x in range(-5, 140) if r.random() < 0.8}, 1: {(y, x): 2 for y in range(-70, 70) for x in range(60, 68) if not (-2 <= y <= 1 and 62 <= x <= 65)}}
+    got = {}
+    for b in found(spark, images).collect():
+        got.setdefault(b.plane, []).append((b.label, b.y0, b.x0, b.n, b.area, b.hole))
+    assert {k: sorted(v) for k, v in got.items()} == {k: walked(image) for k, image in images.items()}
+    small = spark.createDataFrame(rows({0: ellipse(30, 30, 20, 30, 10)}), SCHEMA)
+    assert contours.tile_borders(contours.packed(small, "plane"), "plane").count() == 1
