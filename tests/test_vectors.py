@@ -22,3 +22,14 @@ def test_prefix_match_without_pairs(spark, tmp_path):
     sizes = [None, 1, 1, 1, 4, 4, 9, 30]
     rows = [(k, None if k % 17 == 3 else ("rust", "blue", "rosy")[k * k % 3] + str(k), 77 if k == 100 else None if k % 5 == 4 else sizes[k * 7 % 8]) for k in range(400)]
     against_sql(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_size int", "prefix_match_ap")
+
+
+def test_cells_of_scans_are_dealt_out(spark, monkeypatch):
+    """Patients in one file are one task's rows, but not their cells."""
+    from pyspark.sql import functions as F
+
+    from voxelia.plans import rasters
+
+    monkeypatch.setattr(rasters, "TASK_CELLS", 500, raising=False)
+    cells = rasters.made_cells(spark.range(100).select(F.col("id").alias("pid")).coalesce(1), 1, 1, 10, 10)
+    assert cells.count() == 10000 and max(r["count"] for r in cells.groupBy(F.spark_partition_id().alias("p")).count().collect()) < 2500

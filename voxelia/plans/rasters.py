@@ -124,10 +124,16 @@ def stored_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(range_, "scan").select(*CELL, F.round(F.col("v") / F.col("m"), 6).alias("v"))
 
 
+#: Cells that one task makes, about.
+TASK_CELLS = 4_000_000
+
+
 def made_cells(patients: DataFrame, scans: int, slices: int, rows: int, columns: int) -> DataFrame:
     """(pid, scan, z, y, x, location, v): test scans of unsigned 16-bit noise for each pid of patients, slices 0.7 apart. A value
     depends on its place alone, so a task that runs again makes the same cells."""
     size = scans * slices * rows * columns
+    # a table of patients is one small file, so one task would make all the cells
+    patients = patients.select("pid").repartition(max(1, -(-patients.count() * size // TASK_CELLS)), "pid")
     at = lambda below, n: (F.floor(F.col("i") / below) % n).cast("long")
     cells = patients.select("pid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("i")).select("*", at(slices * rows * columns, scans).alias("scan"), at(rows * columns, slices).alias("z"), at(columns, rows).alias("y"), at(1, columns).alias("x"))
     noise = ((F.col("pid") * size + F.col("i")) % 2147483647 * 48271 + 12345) % 2147483647 * 69621 % 2147483647 % 65536
