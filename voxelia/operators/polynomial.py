@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,19 +29,32 @@ def moments(matches: DataFrame, *keys: str, places: tuple[str, ...] = ("t0", "t1
     means: of each term with itself, the terms behind it and the values, in this order.
 
     Rows with a null place or value don't count. Products are taken after the means, so large coordinates lose
-    no digits; both passes are sums with a map-side combine.
+    no digits. Means are sums with a map-side combine; products are summed within the batches that are read, as one matrix
+    product for each key, so that a batch and key gives one row and not a row for each point and product.
     """
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*places, *values)])
     rows = matches.where(whole).select(*keys, F.array(*terms(*places), *[F.col(v).cast("double") for v in values]).alias("x"))
     every = range(len(TERMS) + AXES)
     means = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("x")[k]) for k in every]).alias("means"))
     left = rows.join(small(means), list(keys)) if keys else rows.join(F.broadcast(means))  # one row
-    left = left.select(*keys, "n", "means", F.zip_with("x", "means", lambda x, m: x - m).alias("x"))
+    left = left.select(*keys, F.zip_with("x", "means", lambda x, m: x - m).alias("x"))
     size = len(TERMS)
-    products = F.flatten(F.transform(F.slice("x", 1, size), lambda v, i: F.transform(F.slice("x", i + 1, size + AXES - i), lambda u: u * v)))
-    each = left.select(*keys, "n", "means", F.posexplode(products).alias("at", "p"))
-    summed = each.groupBy(*keys, "n", "means", "at").agg(F.sum("p").alias("p"))
-    return summed.groupBy(*keys, "n", "means").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p"))), lambda s: s["p"]).alias("sums"))
+    upper = np.triu_indices(size, 0, size + AXES)
+
+    def products(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size + AXES)
+            own = pa.Table.from_batches([batch]).select(list(keys)).append_column("at", pa.array(np.arange(len(x)))).group_by(list(keys)).aggregate([("at", "list")])
+            rows = [x[np.asarray(at)] for at in own["at_list"].to_pylist()] if keys else [x]
+            sums = pa.array([(r[:, :size].T @ r)[upper] for r in rows if len(r)], pa.list_(pa.float64()))
+            if len(sums):
+                yield from pa.table([*(own[k] for k in keys), sums], names=[*keys, "sums"]).combine_chunks().to_batches()
+
+    kinds = "".join(f"`{k}` {left.schema[k].dataType.simpleString()}, " for k in keys)
+    each = left.mapInArrow(products, f"{kinds}sums array<double>").select(*keys, F.posexplode("sums").alias("at", "p"))
+    summed = each.groupBy(*keys, "at").agg(F.sum("p").alias("p"))
+    sums = summed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p"))), lambda s: s["p"]).alias("sums"))
+    return (means.join(small(sums), list(keys)) if keys else means.where("n > 0").crossJoin(F.broadcast(sums))).select(*keys, "n", "means", "sums")  # one row
 
 
 def fitted(matches: DataFrame, *keys: str, alpha: float = 1.0, places: tuple[str, ...] = ("t0", "t1", "t2"), values: tuple[str, ...] = ("s0", "s1", "s2")) -> DataFrame:
