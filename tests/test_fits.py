@@ -175,3 +175,24 @@ def test_cubic_ridge(spark, far, tmp_path):
     frame.select("k").write.parquet(str(tmp_path / "keys"))
     with pytest.raises(ValueError, match="no weights"):
         polynomial.load(spark, str(tmp_path / "keys"))
+
+
+def test_points_at_one_place_are_matched_in_order(spark):
+    """Points that share a place, as targets, as sources and as both, with one target more than sources."""
+    places = {k: (float(k % 7), float(k % 3), 0.0) for k in range(40)}
+    t = spark.createDataFrame([(0, k, *p) for k, p in places.items()] + [(0, 40, *places[0])], "k long, id long, c0 double, c1 double, c2 double")
+    s = spark.createDataFrame([(0, 100 + k, p[0], p[1], 0.001) for k, p in reversed(places.items())], "k long, id long, c0 double, c1 double, c2 double")
+    assert sorted((r.target, r.source) for r in matching.matched(t, s, "k").collect()) == [(k, 100 + k) for k in range(40)]
+    assert sorted((r.target, r.source) for r in matching.matched(s, t, "k").collect()) == [(100 + k, k) for k in range(40)]
+
+
+def test_products_are_summed_where_rows_are_read(spark):
+    """One row for a batch and key is exploded, not a row for each point and product."""
+    points = spark.range(300).selectExpr("id % 2 AS k", *[f"id * {m} % 17 / 3 AS t{a}" for a, m in enumerate((3, 5, 7))], *[f"id * {m} % 13 / 2 AS s{a}" for a, m in enumerate((2, 6, 11))])
+    plan = polynomial.moments(points, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and 0 <= plan.index("Generate posexplode") < plan.find("MapInArrow")
+    rows = np.array([tuple(r) for r in points.where("k = 1").collect()])
+    x = np.stack([np.prod(rows[:, 1:4] ** np.array(t), 1) for t in polynomial.TERMS] + [*rows[:, 4:].T], 1)
+    x -= x.mean(0)
+    (got,) = polynomial.moments(points, "k").where("k = 1").collect()
+    assert got.n == 150 and np.allclose(got.sums, (x[:, :19].T @ x)[np.triu_indices(19, 0, 22)])

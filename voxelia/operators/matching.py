@@ -69,11 +69,20 @@ def usable(points: pd.DataFrame, axes: tuple[str, ...]) -> pd.DataFrame:
     return points.dropna(subset=list(axes)).sort_values("id") if len(points) else points
 
 
+def in_order(i: np.ndarray, j: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j), where those of i's points that share a place are the first ones there, in the order of j. Distances stay."""
+    at = np.unique(places, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((j, at[i]))
+    own, members = at[i][order], np.argsort(at, kind="stable")
+    return members[np.searchsorted(at[members], own) + np.arange(len(own)) - np.searchsorted(own, own)], j[order]
+
+
 def matched(targets: DataFrame, sources: DataFrame, *keys: str, axes: tuple[str, ...] = ("c0", "c1", "c2")) -> DataFrame:
     """(keys, target, source, d): the pairs of ids whose distances have the least sum, for each key with points on both sides.
 
     Both have the keys, id and the axes. The smaller set is matched whole, each of its points with one of the
-    other's own. Which of several assignments of the same sum is returned isn't stated. Points with a null or NaN
+    other's own. Points of one side at the same place are matched by their ids: the first of them, in the order of their
+    partners' ids. Which of several other assignments of the same sum is returned isn't stated. Points with a null or NaN
     place are left out. A key on one side only has no rows.
     """
 
@@ -87,6 +96,8 @@ def matched(targets: DataFrame, sources: DataFrame, *keys: str, axes: tuple[str,
         flip = far.shape[0] > far.shape[1]
         columns = least_cost(far.T if flip else far)
         i, j = (columns, np.arange(len(columns))) if flip else (np.arange(len(columns)), columns)
+        i, j = in_order(i, j, t[list(axes)].to_numpy(float))
+        j, i = in_order(j, i, s[list(axes)].to_numpy(float))
         out = pd.DataFrame({"target": t["id"].to_numpy()[i], "source": s["id"].to_numpy()[j], "d": far[i, j]})
         for k in keys:
             out[k] = t[k].iloc[0]
