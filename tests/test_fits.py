@@ -196,3 +196,13 @@ def test_products_are_summed_where_rows_are_read(spark):
     x -= x.mean(0)
     (got,) = polynomial.moments(points, "k").where("k = 1").collect()
     assert got.n == 150 and np.allclose(got.sums, (x[:, :19].T @ x)[np.triu_indices(19, 0, 22)])
+
+
+def test_drift_runs_once(spark):
+    """The fit reads the matches several times, but points drift once."""
+    runs = spark.sparkContext.accumulator(0)
+    points = [(0, k, float(k % 5), float(k % 7), float(k % 3)) for k in range(60)]
+    t = spark.createDataFrame(points, "k long, id long, c0 double, c1 double, c2 double")
+    s = t.mapInPandas(lambda batches: ((runs.add(len(b)), b)[1] for b in batches), t.schema)
+    assert matching.estimated(t, s, "k").count() == 3
+    assert runs.value <= 3 * len(points)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelia.operators import polynomial
+from voxelia.store import kept
 
 #: Point sets beyond these sizes are refused: sample them first.
 MOST_SOURCES, MOST_TARGETS = 5_000, 30_000
@@ -194,4 +195,5 @@ def estimated(targets: DataFrame, sources: DataFrame, *keys: str, axes: tuple[st
     pairs = matched(targets, moved, *keys, axes=axes).where(F.col("d") < within)
     t = targets.select(*keys, F.col("id").alias("target"), *[F.col(a).alias(f"t{k}") for k, a in enumerate(axes)])
     s = sources.select(*keys, F.col("id").alias("source"), *[F.col(a).alias(f"s{k}") for k, a in enumerate(axes)])
-    return polynomial.fitted(pairs.join(t, [*keys, "target"]).join(s, [*keys, "source"]), *keys, alpha=alpha)
+    found = kept(pairs.join(t, [*keys, "target"]).join(s, [*keys, "source"]), "matches")  # the fit reads them twice
+    return polynomial.fitted(found, *keys, alpha=alpha)

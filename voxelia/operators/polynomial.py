@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelia.carriers import small
+from voxelia.store import kept
 
 AXES = 3
 #: Exponents of the terms of degree 1 to 3; the constant is apart, as it isn't penalised.
@@ -36,6 +37,7 @@ def moments(matches: DataFrame, *keys: str, places: tuple[str, ...] = ("t0", "t1
     rows = matches.where(whole).select(*keys, F.array(*terms(*places), *[F.col(v).cast("double") for v in values]).alias("x"))
     every = range(len(TERMS) + AXES)
     means = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("x")[k]) for k in every]).alias("means"))
+    means = kept(means, "means")  # read twice, and counted
     left = rows.join(small(means), list(keys)) if keys else rows.join(F.broadcast(means))  # one row
     left = left.select(*keys, F.zip_with("x", "means", lambda x, m: x - m).alias("x"))
     size = len(TERMS)
@@ -54,7 +56,7 @@ def moments(matches: DataFrame, *keys: str, places: tuple[str, ...] = ("t0", "t1
     each = left.mapInArrow(products, f"{kinds}sums array<double>").select(*keys, F.posexplode("sums").alias("at", "p"))
     summed = each.groupBy(*keys, "at").agg(F.sum("p").alias("p"))
     sums = summed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p"))), lambda s: s["p"]).alias("sums"))
-    return (means.join(small(sums), list(keys)) if keys else means.where("n > 0").crossJoin(F.broadcast(sums))).select(*keys, "n", "means", "sums")  # one row
+    return (means.join(sums, list(keys)) if keys else means.where("n > 0").crossJoin(F.broadcast(sums))).select(*keys, "n", "means", "sums")  # one row
 
 
 def fitted(matches: DataFrame, *keys: str, alpha: float = 1.0, places: tuple[str, ...] = ("t0", "t1", "t2"), values: tuple[str, ...] = ("s0", "s1", "s2")) -> DataFrame:
@@ -78,7 +80,7 @@ def fitted(matches: DataFrame, *keys: str, alpha: float = 1.0, places: tuple[str
             yield pd.DataFrame(out, columns=[*keys, "axis", "w"])
 
     kinds = "".join(f"{k} {matches.schema[k].dataType.simpleString()}, " for k in keys)
-    return moments(matches, *keys, places=places, values=values).mapInPandas(solve, f"{kinds}axis long, w array<double>")
+    return kept(moments(matches, *keys, places=places, values=values).mapInPandas(solve, f"{kinds}axis long, w array<double>"), "weights")
 
 
 def mapped(points: DataFrame, weights: DataFrame, *keys: str, places: tuple[str, ...] = ("t0", "t1", "t2")) -> DataFrame:
