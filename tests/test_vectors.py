@@ -33,3 +33,11 @@ def test_cells_of_scans_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(rasters, "TASK_CELLS", 500, raising=False)
     cells = rasters.made_cells(spark.range(100).select(F.col("id").alias("pid")).coalesce(1), 1, 1, 10, 10)
     assert cells.count() == 10000 and max(r["count"] for r in cells.groupBy(F.spark_partition_id().alias("p")).count().collect()) < 2500
+
+
+def test_precision_with_few_relevant_rows(spark, tmp_path):
+    """Labels with no other row, with all their rows among the ten nearest, and with none of them there; no sort of all pairs."""
+    rows = [(k, [float((k * k * 7 + j * 5) % 23 + 1 + (k % 50 == 0 and j == k // 50)) for j in range(64)], 100 + k if k == 50 else k // 50 % 3 + (3 if k % 50 < 2 else 7 if k == 149 else 0)) for k in range(260)]
+    against_sql(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int", "retrieval_precision_at_10")
+    plan = registry.QUERIES["retrieval_precision_at_10"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sim" not in plan or "MapInPandas" in plan
