@@ -41,3 +41,33 @@ def test_precision_with_few_relevant_rows(spark, tmp_path):
     against_sql(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int", "retrieval_precision_at_10")
     plan = registry.QUERIES["retrieval_precision_at_10"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "sim" not in plan or "MapInPandas" in plan
+
+
+def test_ranking_in_ranges(spark, tmp_path, monkeypatch):
+    """Copies of one vector over several parts and ranges, missing labels, ids and vectors; no sort of all pairs in the JVM."""
+    from voxelia.operators import ranking
+
+    for name, size in (("QUERIES", 2), ("PART", 40), ("RANGE", 90), ("SAMPLE", 60)):
+        monkeypatch.setattr(ranking, name, size)
+    vector = lambda k: [float((k * k * 7 + j * 5) % 23 + (k % 50 == 0 and j == k // 50) - 9) for j in range(64)]
+    rows = [(k, vector(1 if 60 < k < 170 else k) if k % 41 else None if k % 82 else [0.0] * 64, None if k % 29 == 7 else k * k % 5) for k in range(400)]
+    against_sql(spark, tmp_path, "embeddings", rows + [(None, vector(1000), 1)], "vec_id long, embedding array<float>, label int", "full_ranking", "retrieval_average_precision")
+    emb = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    runs = ranking.runs(emb.where("vec_id % 50 = 0"), emb)
+    held = runs.groupBy("q", "range").agg({"n": "sum"}).collect()
+    assert len(held) > 8 and max(r["sum(n)"] for r in held) <= 150
+    assert "row_number" not in registry.QUERIES["full_ranking"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_are_those_of_sums_in_order():
+    import numpy as np
+
+    from voxelia.operators import ranking
+
+    g = np.random.default_rng(3)
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (g.normal(size=(100, 64)), g.normal(size=(3000, 64))))
+    sums = np.zeros((100, 3000))
+    for i in range(64):
+        sums += a[:, i, None] * b[:, i]
+    v = sums * 1e12
+    assert (ranking.places(a, b.T) == ranking.MIDDLE - np.trunc(v + np.copysign(0.5, v))).all()
