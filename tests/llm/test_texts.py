@@ -301,3 +301,19 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     assert repair.spans_of(rules, 100).max() > 64
     pairs = np.unique(body[:-1].astype(np.int64) << 32 | body[1:], return_counts=True)[1]
     assert (pairs < 24).all()
+
+
+def test_lm_words_of_a_column():
+    """Tokens come from the Arrow column itself, with words as bytes.lower and bytes.split give them."""
+    import pyarrow as pa
+
+    from voxelia.llm import lm
+
+    texts = ["  The\x0bthe\x1cend \n", "", None, " \t ", "\u00c9t\u00e9 \u00e9t\u00e9\u00a0x THE", "a", "long " * 50, "b"]
+    want = [[*(t or "").encode().lower().split(), lm.END] for t in texts]
+    number, hashes, sizes = lm.flat_numbers(pa.array(texts))
+    assert sizes.tolist() == [len(w) for w in want]
+    assert hashes[number].tolist() == [lm.xxhash.xxh3_64_intdigest(x) >> 1 for w in want for x in w] and len(set(number.tolist())) == len(hashes)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(lm.runs(batch, most=10))
+    assert len(parts) > 2 and [i for ids, _ in parts for i in ids.to_pylist()] == list(range(len(texts))) and [t for _, own in parts for t in own.to_pylist()] == texts

@@ -28,6 +28,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,8 +48,12 @@ def encoded(p: np.ndarray) -> np.ndarray:
     return np.round(np.clip(np.log10(np.maximum(p, 1e-8)) / 8 + 1, 0, 1) * (STEPS - 1) + 1).astype(np.uint16)
 
 
-def decoded(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** ((np.maximum(code, 1) - 1) / (STEPS - 1) * 8 - 8), 0.0)
+#: The value of each code; 0 stands for none.
+VALUES = np.where(np.arange(STEPS + 1) > 0, 10.0 ** ((np.maximum(np.arange(STEPS + 1), 1) - 1) / (STEPS - 1) * 8 - 8), 0.0)
+
+
+def decoded(code: np.ndarray, none: float = 0.0) -> np.ndarray:
+    return np.append(none, VALUES[1:])[code]
 
 
 def held_out(doc_id) -> bool:
@@ -77,33 +82,29 @@ def level(made: tuple[tuple, tuple]) -> Level:
     return Level(list(made[0]), dict(made[1]))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words and one end. bytes.lower and bytes.split keep to ASCII."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
-
-
-def runs(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(ids, words) of rows, in runs of about most characters."""
-    ids, own, chars = [], [], 0
-    for i, t in zip(batch.column(0), batch.column(1), strict=True):
-        text = t.as_py()
-        ids.append(i.as_py())
-        own.append(words_of(text))
-        chars += len(text or "")
-        if chars >= most:
-            yield ids, own
-            ids, own, chars = [], [], 0
-    if own:
-        yield ids, own
+def runs(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of rows, in runs of about most bytes."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(size) - size) // most, prepend=-1))
+    for i, j in itertools.pairwise([*starts.tolist(), len(size)]):
+        yield tuple(batch.column(c).slice(i, j - i) for c in range(2))
 
 
-def flat_numbers(own: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each token, hash of each number's word, tokens of each text)."""
-    seen = dict(zip(dict.fromkeys(itertools.chain.from_iterable(own)), itertools.count()))
-    number = np.fromiter(map(seen.__getitem__, itertools.chain.from_iterable(own)), np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(w) >> 1 for w in seen), np.int64, len(seen))
-    return number, hashes, np.fromiter(map(len, own), np.int64, len(own))
+def flat_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each token, hash of each number's word, tokens of each text): words and one end. Arrow's ascii functions keep to ASCII."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, pieces = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at the ends of a text leaves empty pieces
+    coded = flat.filter(some).dictionary_encode()
+    sizes = np.bincount(np.repeat(np.arange(len(texts)), pieces)[some.to_numpy(zero_copy_only=False)], minlength=len(texts)) + 1
+    ends = np.cumsum(sizes) - 1
+    word = np.ones(int(sizes.sum()), bool)
+    word[ends] = False
+    number = np.full(len(word), len(coded.dictionary), np.int64)
+    number[word] = coded.indices.to_numpy()
+    seen = [*coded.dictionary.cast(pa.large_binary()).to_pylist(), END]
+    hashes = (np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)) >> np.uint64(1)).astype(np.int64)
+    return number, hashes, sizes
 
 
 def by_pair(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def by_pair(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def lookup(found: Level, contexts: np.ndarray, words: np.ndarray, *columns: str) -> list[np.ndarray]:
     """Level.find for queries in any order and with repeats; those with a negative part aren't found."""
-    out = [np.full(len(contexts), -1, np.int64)] + [np.zeros(len(contexts)) for _ in columns]
+    out = [np.full(len(contexts), -1, np.int64)] + [np.zeros(len(contexts), np.int64) for _ in columns]
     some = np.flatnonzero((contexts >= 0) & (words >= 0))  # no entry has word 0, which asks for the context alone
     if len(some):
         order = some[by_pair(contexts[some], words[some])]
@@ -135,10 +136,10 @@ def shifted(x: np.ndarray, sizes: np.ndarray, fill: int | None) -> np.ndarray:
     return out
 
 
-def chain(model: Model, own: list[list[bytes]], top: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def chain(model: Model, texts: pa.Array, top: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Per token: entries of the levels 1 to top that end there, and the word's count. The context of a
     text's first token is the end token."""
-    number, hashes, sizes = flat_numbers(own)
+    number, hashes, sizes = flat_numbers(texts)
     word, count = lookup(level(model.levels[0]), np.zeros(len(hashes), np.int64), hashes, "count")
     entries, counts = [word[number]], count[number]
     for k in range(1, top):
@@ -272,8 +273,8 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, own in runs(batch):
-                number, hashes, _ = flat_numbers(own)
+            for _, texts in runs(batch):
+                number, hashes, _ = flat_numbers(texts)
                 yield pa.RecordBatch.from_pydict({"word": hashes, "n": np.bincount(number, minlength=len(hashes))})
 
     path = shared_dir(spark, "ngram-counts")
@@ -288,8 +289,8 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id
 
         def count_ngrams(batches: Iterator[pa.RecordBatch], model=model, k=k, cuts=cuts) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, own in runs(batch):
-                    entries, counts, _, sizes = chain(model, own, k - 1)
+                for _, texts in runs(batch):
+                    entries, counts, _, sizes = chain(model, texts, k - 1)
                     below = entries[-1]
                     ctx = shifted(below, sizes, None if k == 2 else -1)
                     # counts of shorter n-grams tell which of these can reach the least count
@@ -317,9 +318,9 @@ def entry_counts(model: Model, k: int, entries: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_scores(model: Model, own: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def log_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: tokens, known tokens, log10 of the unigram and of the model's probability."""
-    entries, counts, _, sizes = chain(model, own, 1)
+    entries, counts, _, sizes = chain(model, texts, 1)
     p = (counts + 0.5) / (model.tokens + 0.5 * (model.distinct + 1))
     starts = np.cumsum(sizes) - sizes
     base = np.add.reduceat(np.log10(p), starts)
@@ -327,7 +328,7 @@ def log_scores(model: Model, own: list[list[bytes]]) -> tuple[np.ndarray, np.nda
     for k in range(1, len(model.levels)):
         ctx = shifted(below, sizes, None if k == 1 else -1)
         below, code, rest = lookup(level(model.levels[k]), ctx, entries[0] + 1, "code", "rest")
-        p = decoded(code) + np.where(rest > 0, decoded(rest), 1.0) * p
+        p = decoded(code) + decoded(rest, none=1.0) * p
     return sizes, np.add.reduceat((counts > 0).astype(np.int64), starts), base, np.add.reduceat(np.log10(p), starts)
 
 
@@ -343,9 +344,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, own in runs(batch):
-                n, known, base, full = log_scores(model, own)
-                cols = [pa.array(ids, batch.schema.types[0]), pa.array([held_out(i) for i in ids]), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(full)]
+            for ids, texts in runs(batch):
+                n, known, base, full = log_scores(model, texts)
+                cols = [ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(full)]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
