@@ -260,3 +260,24 @@ def test_line_dedup_of_a_large_group_with_one_far_member(spark):
     links = [(i, j) for j in range(len(sets)) for i in range(j) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
     assert links == [(40, 60)]
     assert [k for k, t in kept_lines(spark, texts).items() if t == ""] == [60]
+
+
+def test_line_dedup_cuts_and_sketches_each_node_once(spark):
+    """Texts are cut from one row of each wanted node; sizes and parity words are those of the set of windows."""
+    docs = frame(spark, [(1, "Some line of some length, line of some length\n \x0b\t\n  tiny"), (2, "an other line\r\nSOME line of some length, line of some length "), (3, None), (2, "x"), (2, "x")])
+    signed = line_dedup.lines(docs, "doc_id", "text")
+    assert {(r.id, r.number, r.norm) for r in signed.collect()} == {(1, 0, "some line of some length, line of some length"), (1, 2, "tiny"), (2, 0, "an other line"), (2, 1, "some line of some length, line of some length"), (2, 0, "x")}
+    nodes = signed.where("norm <> 'tiny'").select("node").distinct()
+    norms = line_dedup.texts_of(docs, signed.drop("norm"), nodes, "doc_id", "text")
+    assert sorted(r.norm for r in norms.collect()) == ["an other line", "some line of some length, line of some length", "x"]
+    sets = {r.node: set(r.all) for r in norms.select("node", line_dedup.windows(F.col("norm")).alias("all")).collect()}
+    want = {}
+    for node, hashes in sets.items():
+        words = [0] * line_dedup.SKETCH_WORDS
+        for h in hashes:
+            words[(h & 0xFFFFFFFFFFFFFFFF) >> 6 & len(words) - 1] ^= 1 << (h & 63)
+        want[node] = (len(hashes), *words)
+    assert {r.node: (r.n, *(r[f"w{k}"] & 0xFFFFFFFFFFFFFFFF for k in range(line_dedup.SKETCH_WORDS))) for r in line_dedup.sketched(norms).collect()} == want
+    rows = [(1, "abcdefghijklmnop", 7), (2, "abcdefghijklmnopq", 8), (3, "abcdefghijklmnopqrstuvwxyz", 17), (4, "qponmlkjihgfedcba", 8)]
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "a long, b long")
+    assert [tuple(r) for r in line_dedup.verified(spark.createDataFrame(rows, "node long, norm string, n long"), pairs, 75).collect()] == [(1, 2)]

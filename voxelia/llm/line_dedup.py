@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from voxelia.llm.common import classes, grouped, in_several, remove, written
 
 WINDOW, BANDS = 10, 8
+SPACES = " \t\r\x0b\x0c"
 BROADCAST_IDS = 1_000_000
 #: Parity sketches of lines have so many 64-bit words.
 SKETCH_WORDS = 32
@@ -24,7 +25,12 @@ SKETCH_WORDS = 32
 
 def normal(line: Column) -> Column:
     """Lower case, no white space at the ends."""
-    return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c")))
+    return F.lower(F.trim(line, F.lit(SPACES)))
+
+
+def visible(line: Column) -> Column:
+    """Whether a line has a character other than white space: where normal isn't empty, without making it."""
+    return F.ltrim(line, F.lit(SPACES)) != ""
 
 
 def windows(norm: Column) -> Column:
@@ -68,17 +74,22 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     node is a hash of norm, second another one: lines are only taken as equal where both are.
     """
-    # the text's hash is taken below the generator, so that no line carries its whole text along
+    # the text's hash is taken below the generator, so that no line carries its whole text along; without outer,
+    # every text would be split once more to see whether it has parts
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.split(text_col, "\n").alias("parts"))
-    each = rows.select("id", "row", F.posexplode("parts").alias("number", "line")).select("id", "row", "number", normal(F.col("line")).alias("norm")).where(F.col("norm") != "")
+    each = rows.select("id", "row", F.posexplode_outer("parts").alias("number", "line")).where(visible(F.col("line"))).select("id", "row", "number", normal(F.col("line")).alias("norm"))
     return each.select("*", F.xxhash64("norm").alias("node"), F.xxhash64(F.lit(WINDOW), "norm").alias("second"))
 
 
-def texts_of(each: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, norm, n) of the nodes, n the size of the set, written. Texts go through the shuffles, as the hashes of their windows take eight times the room."""
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    text = each.select("node", "norm").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm"))
-    return written(text.withColumn("n", F.size(shingles(F.col("norm")))), "texts")
+def texts_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, norm) of the nodes, written. One line of each node is cut out of its row again; lines of no node aren't made."""
+    few = nodes.count() <= BROADCAST_IDS
+    wanted = signed.select("node", "row", "number").join(F.broadcast(nodes) if few else nodes, "node").groupBy("node").agg(F.min(F.struct("row", "number")).alias("p"))
+    wanted = wanted.groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct("p.number", "node")).alias("of"))
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "row")
+    each = rows.select(F.split("text", "\n").alias("parts"), "of").select("parts", F.explode("of").alias("of")).select(F.col("of.node").alias("node"), normal(F.get("parts", F.col("of.number"))).alias("norm"))
+    # rows equal in id and text give their line again
+    return written(each.where(F.xxhash64("norm") == F.col("node")).distinct(), "texts")
 
 
 def by_size(shared: DataFrame, text: DataFrame) -> DataFrame:
@@ -89,20 +100,26 @@ def by_size(shared: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def verified(text: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of percent or more."""
-    both = pairs.join(text.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
-    # one lambda holds both sets, so that each is made once a pair
-    sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
-    return both.where(F.exists(sets, lambda p: (100 + percent) * F.size(F.array_intersect(p["x"], p["y"])) >= percent * (F.size(p["x"]) + F.size(p["y"])))).select("a", "b")
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of percent or more; text has their sizes n."""
+    x, y = (text.select(F.col("node").alias(k), F.col("norm").alias(t), F.col("n").alias(f"{t}_n")) for k, t in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b")
+    sizes = (100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n"))
+    common = F.size(F.array_intersect(windows(F.col("x")), windows(F.col("y"))))  # without repeats
+    return both.where(sizes).where((100 + percent) * common >= percent * (F.col("x_n") + F.col("y_n"))).select("a", "b")
 
 
 def sketched(text: DataFrame) -> DataFrame:
-    """(node, n, w0, ...): the number of shingles and their parities, every shingle flipping one bit."""
-    each = text.select("node", "n", F.explode(shingles(F.col("norm"))).alias("h"))
+    """(node, n, w0, ...): the number of shingles and their parities, every shingle flipping one bit.
+
+    Words of a node are made first, then set side by side, both where the node's text lies, so that only texts are shuffled.
+    """
+    # the array is a column of its own, as a generator over an interpreted lambda would be interpreted too; it is
+    # never empty, and without outer Spark would make it once more to see that
+    each = text.select("node", "norm").repartition("node").select("node", shingles(F.col("norm")).alias("all")).select("node", F.explode_outer("all").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SKETCH_WORDS - 1))
-    each = each.select("node", "n", bit.alias("bit"), word.alias("word"))
-    return each.groupBy("node", "n").agg(*[F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(SKETCH_WORDS)])
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SKETCH_WORDS - 1)).cast("int")
+    words = each.select("node", word.alias("word"), bit.alias("bit")).groupBy("node", "word").agg(F.bit_xor("bit").alias("bits"), F.count("*").alias("m"))
+    return words.groupBy("node").agg(F.sum("m").alias("n"), *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(SKETCH_WORDS)])
 
 
 def removed(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,20 +131,22 @@ def removed(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col
     # a key of one line alone, however often, needs no text
     several = shared.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     shared = written(shared.join(several, "key"), "shared")
-    text = texts_of(each, written(shared.select("node").distinct(), "nodes"))
+    norms = texts_of(docs, signed, written(shared.select("node").distinct(), "nodes"), id_col, text_col)
+    sketches = written(sketched(norms), "sketches")
+    text = written(norms.join(sketches.select("node", "n"), "node"), "texts")
     members = written(by_size(shared, text), "members")
     groups = grouped(members, "groups")
-    found = written(classes(groups, lambda nodes: sketched(text.join(nodes, "node", "left_semi")), lambda pairs: verified(text, pairs, percent), percent, SKETCH_WORDS, "links"), "classes")
-    remove(spark, shared, members, groups, text)
+    found = written(classes(groups, lambda nodes: sketches.join(nodes, "node", "left_semi"), lambda pairs: verified(text, pairs, percent), percent, SKETCH_WORDS, "links", bound_first=True), "classes")
+    remove(spark, shared, members, groups, norms, sketches, text)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "number")
-    # a node's lines are equal to the one with the least second hash, or else they are left alone
-    nodes = written(signed.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("second").alias("second")), "lines")
-    kept = nodes.join(found, "node", "left").select("node", "second", "first", "n", F.coalesce("component", "node").alias("component"))
-    stays = kept.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).where("total > 1")
-    copies = written(kept.join(stays, "component").select("node", "second", "stays"), "copies")
-    gone = signed.select("node", "second", "id", "row", "number", place.alias("place")).join(copies, ["node", "second"]).where(~F.col("place").eqNullSafe(F.col("stays")))
+    # of nodes with one line and no link nothing goes; a node's lines are equal to the one with the least second hash, or else they are left alone
+    nodes = signed.groupBy("node").agg(F.count("*").alias("n"), F.min("second").alias("least")).join(found, "node", "left").where("n > 1 or component is not null")
+    linked = nodes.select("node", "least", F.coalesce("component", "node").alias("component"))
+    kept = written(signed.select("node", "second", "id", "row", "number").join(linked, "node"), "lines")
+    stays = kept.groupBy("component").agg(F.min(place).alias("stays"), F.count("*").alias("total")).where("total > 1").select("component", "stays")
+    gone = kept.where("second = least").select("component", "id", "row", "number", place.alias("place")).join(stays, "component").where(~F.col("place").eqNullSafe(F.col("stays")))
     out = written(gone.groupBy("id", "row").agg(F.collect_set("number").alias("numbers")), "gone")
-    remove(spark, signed, found, nodes, copies)
+    remove(spark, signed, found, kept)
     return out
 
 
@@ -148,8 +167,8 @@ def dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col:
     parts = F.split(text_col, "\n")
     none = F.col("__numbers").isNull()
     text = F.when(none, F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__numbers", i)), "\n"))
-    visible = F.coalesce(F.size(F.filter(parts, lambda x: normal(x) != "")), F.lit(0)).cast("long")
-    numbered = all_.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(visible))
+    seen = F.coalesce(F.size(F.filter(parts, visible)), F.lit(0)).cast("long")
+    numbered = all_.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(seen))
     numbered = numbered.withColumn("n_removed", F.coalesce(F.size("__numbers"), F.lit(0)).cast("long"))
     numbered = numbered.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).withColumn(text_col, text)
     return numbered.drop("__own", "__row", "__id", "__numbers")
