@@ -317,3 +317,30 @@ def test_lm_words_of_a_column():
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     parts = list(lm.runs(batch, most=10))
     assert len(parts) > 2 and [i for ids, _ in parts for i in ids.to_pylist()] == list(range(len(texts))) and [t for _, own in parts for t in own.to_pylist()] == texts
+
+
+def test_lm_ranks_stand_for_pairs():
+    """Pairs are ordered alike through one number, through places and by two keys; lookups by rank leave out what has no value."""
+    import numpy as np
+
+    from voxelia.llm import lm
+
+    r = np.random.default_rng(2)
+    for top in (5, 1 << 20, 1 << 28, 1 << 40):
+        first, second = r.integers(0, top, 400), r.integers(0, top, 400)
+        first[200:], second[200:] = first[:200], second[:200]
+        order, new = lm.ordered(first, second)
+        assert sorted(order.tolist()) == list(range(400))
+        got = list(zip(first[order].tolist(), second[order].tolist(), strict=True))
+        assert got == sorted(got) and [got[i] for i in new.tolist()] == sorted(set(got))
+    assert [x.tolist() for x in lm.ordered(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[], []]
+
+    class Found:
+        def find(self, c, w):
+            assert list(zip(c.tolist(), w.tolist(), strict=True)) == [(7, 0), (7, 4), (9, 4)]
+            return (np.array([-1, 20, 31]),)
+
+    contexts = lm.Ranks(np.array([1, 2, 0, -1, 1, 1]), np.array([-1, 7, 9]))
+    words = lm.Ranks(np.array([1, 1, 1, 1, 1, 0]), np.array([0, 4]))
+    made = lm.lookup(Found(), contexts, words)[0]
+    assert made.of.tolist() == [1, 2, -1, -1, 1, 0] and made.entries().tolist() == [20, 31, -1, -1, 20, -1]

@@ -110,19 +110,19 @@ class EliasFano:
         return a, b
 
     def find(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Place of x between start and end, or -1."""
+        """Place of x between start and end, or -1; values there must differ."""
         h, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         a, b = self.having(h)
         a, b = np.maximum(start, a), np.minimum(end, b)
-        last = b.copy()
-        live = np.flatnonzero(a < b)
+        any_ = a < b
+        live = np.flatnonzero(b - a > 1)  # a single value is compared once, below
         while len(live):
             mid = (a[live] + b[live]) >> 1
-            less = self.lows(mid) < low[live]
-            a[live] = np.where(less, mid + 1, a[live])
-            b[live] = np.where(less, b[live], mid)
-            live = live[a[live] < b[live]]
-        out = np.where(a < last, a, -1)
+            more = self.lows(mid) <= low[live]
+            a[live] = np.where(more, mid, a[live])
+            b[live] = np.where(more, b[live], mid)
+            live = live[b[live] - a[live] > 1]
+        out = np.where(any_, a, -1)
         some = np.flatnonzero(out >= 0)
         out[some] = np.where(self.lows(out[some]) == low[some], out[some], -1)
         return out

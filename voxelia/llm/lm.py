@@ -82,7 +82,7 @@ def level(made: tuple[tuple, tuple]) -> Level:
     return Level(list(made[0]), dict(made[1]))
 
 
-def runs(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+def runs(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) of rows, in runs of about most bytes."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.flatnonzero(np.diff((np.cumsum(size) - size) // most, prepend=-1))
@@ -107,25 +107,51 @@ def flat_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, hashes, sizes
 
 
-def by_pair(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """An order by (context, word), through one key where both fit into 63 bits."""
-    low, high = int(words.max(initial=0)).bit_length(), int(contexts.max(initial=0)).bit_length()
-    return np.argsort(contexts << low | words) if low + high < 64 else np.lexsort((words, contexts))
-
-
-def lookup(found: Level, contexts: np.ndarray, words: np.ndarray, *columns: str) -> list[np.ndarray]:
-    """Level.find for queries in any order and with repeats; those with a negative part aren't found."""
-    out = [np.full(len(contexts), -1, np.int64)] + [np.zeros(len(contexts), np.int64) for _ in columns]
-    some = np.flatnonzero((contexts >= 0) & (words >= 0))  # no entry has word 0, which asks for the context alone
-    if len(some):
-        order = some[by_pair(contexts[some], words[some])]
-        c, w = contexts[order], words[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        each = np.cumsum(new) - 1
-        for o, g in zip(out, found.find(c[new], w[new], *columns), strict=True):
-            o[order] = g[each]
-    return out
+def ordered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in an order by (first, second), all non-negative, and where in it each different pair begins.
+
+    One number holds a pair and its place where 63 bits do, as numbers are sorted faster than places.
+    """
+    high, low, at = (int(n).bit_length() for n in (first.max(initial=0), second.max(initial=0), len(first)))
+    if high + low + at < 64:
+        key = first << (low + at)  # changed in place, as several arrays of a range's n-grams would count
+        key |= second << at
+        key |= np.arange(len(first))
+        key.sort()
+        order = key & ((1 << at) - 1)
+        key >>= at
+        new = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        return order, np.flatnonzero(new)
+    order = np.argsort(first << low | second) if high + low < 64 else np.lexsort((second, first))
+    return order, np.flatnonzero((np.diff(first[order], prepend=-1) != 0) | (np.diff(second[order], prepend=-1) != 0))
+
+
+@dataclass
+class Ranks:
+    """What stands at each token: of[i] is its rank among the different things of a run, -1 for none, and
+    values[r] the entry of rank r in a level or -1. Entries rise with their ranks, so ranks, which are small, are sorted instead."""
+
+    of: np.ndarray
+    values: np.ndarray
+
+    def entries(self) -> np.ndarray:
+        return np.append(self.values, -1)[self.of]
+
+    def before(self, sizes: np.ndarray, first: bool) -> Ranks:
+        """What stands at the token before; only of the first level does a text's first token have one, the end."""
+        return Ranks(shifted(self.of, sizes, None if first else -1), self.values)
+
+
+def lookup(found: Level, contexts: Ranks, words: Ranks, *columns: str) -> list:
+    """Ranks of the pairs of a context and a word, and by rank the columns of Level.find. A token has no rank where either has no value."""
+    some = np.flatnonzero((contexts.entries() >= 0) & (np.append(words.values, -1)[words.of] >= 0))
+    c, w = contexts.of[some], words.of[some]
+    order, new = ordered(c, w)
+    of, at = np.full(len(contexts.of), -1, np.int64), order[new]
+    of[some[order]] = np.repeat(np.arange(len(new)), np.diff(new, append=len(order)))
+    entry, *got = found.find(contexts.values[c[at]], words.values[w[at]], *columns)
+    return [Ranks(of, entry), *got]
 
 
 def shifted(x: np.ndarray, sizes: np.ndarray, fill: int | None) -> np.ndarray:
@@ -136,16 +162,20 @@ def shifted(x: np.ndarray, sizes: np.ndarray, fill: int | None) -> np.ndarray:
     return out
 
 
-def chain(model: Model, texts: pa.Array, top: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: entries of the levels 1 to top that end there, and the word's count. The context of a
-    text's first token is the end token."""
+def chain(model: Model, texts: pa.Array, top: int) -> tuple[list[Ranks], np.ndarray, np.ndarray]:
+    """What of the levels 1 to top ends at each token, the count of each rank of the first, and tokens of each text.
+    The context of a text's first token is the end token."""
     number, hashes, sizes = flat_numbers(texts)
-    word, count = lookup(level(model.levels[0]), np.zeros(len(hashes), np.int64), hashes, "count")
-    entries, counts = [word[number]], count[number]
+    order = np.argsort(hashes)
+    entry, count = level(model.levels[0]).find(np.zeros(len(hashes), np.int64), hashes[order], "count")
+    last = np.argsort(entry >= 0, kind="stable")  # words without an entry come first, so that what is asked about them does too
+    rank = np.empty(len(hashes), np.int64)
+    rank[order[last]] = np.arange(len(hashes))
+    made = [Ranks(rank[number], entry[last])]
+    words = Ranks(made[0].of, np.where(made[0].values >= 0, made[0].values + 1, -1))
     for k in range(1, top):
-        before = shifted(entries[k - 1], sizes, None if k == 1 else -1)
-        entries.append(lookup(level(model.levels[k]), before, np.where(entries[0] >= 0, entries[0] + 1, -1))[0])
-    return entries, counts, number, sizes
+        made.append(lookup(level(model.levels[k]), made[-1].before(sizes, k == 1), words)[0])
+    return made, count[last], sizes
 
 
 def smallest(x: np.ndarray) -> np.ndarray:
@@ -218,13 +248,10 @@ def unpacked(ctx0: int, data: bytes) -> list[np.ndarray]:
     return [ctx0 + np.cumsum(ctx), word, n]
 
 
-def summed(ctx: np.ndarray, word: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (ctx, word), sorted, with the sum of n (or how often each occurs)."""
-    rank = by_pair(ctx, word)
-    ctx, word = ctx[rank], word[rank]
-    new = np.flatnonzero((np.diff(ctx, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
-    total = np.diff(new, append=len(ctx)) if n is None else np.add.reduceat(n[rank], new) if len(new) else n
-    return ctx[new], word[new], total
+def summed(ctx: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (ctx, word), sorted, with the sum of n."""
+    order, new = ordered(ctx - (ctx.min() if len(ctx) else 0), word)
+    return ctx[order[new]], word[order[new]], np.add.reduceat(n[order], new) if len(new) else n
 
 
 def higher_level(blocks: DataFrame, folder: str, below: Model, starts: list[tuple[int, int]], least: int, most: int) -> tuple[tuple, list[tuple[int, int]]]:
@@ -290,18 +317,20 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id
         def count_ngrams(batches: Iterator[pa.RecordBatch], model=model, k=k, cuts=cuts) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, texts in runs(batch):
-                    entries, counts, _, sizes = chain(model, texts, k - 1)
-                    below = entries[-1]
-                    ctx = shifted(below, sizes, None if k == 2 else -1)
+                    made, counts, sizes = chain(model, texts, k - 1)
+                    below, first = made[-1].before(sizes, k == 2), made[0]
                     # counts of shorter n-grams tell which of these can reach the least count
-                    fine = (ctx >= 0) & (entries[0] >= 0) & (below >= 0)
+                    fine = (below.entries() >= 0) & (made[-1].entries() >= 0)
                     if k == 2:
-                        fine &= (counts >= least) & (shifted(counts, sizes, None) >= least)
-                    ctx, word, n = summed(ctx[fine], entries[0][fine] + 1)
+                        often = (counts >= least)[first.of]
+                        fine &= often & shifted(often, sizes, None)
+                    c, w = below.of[fine], first.of[fine]
+                    order, new = ordered(c, w)
+                    ctx, word, n = below.values[c[order[new]]], first.values[w[order[new]]] + 1, np.diff(new, append=len(order))
                     part = range_numbers(cuts, ctx, word)
-                    first = np.flatnonzero(np.diff(part, prepend=-1))
-                    blocks = [packed(*(x[i:j] for x in (ctx, word, n))) for i, j in itertools.pairwise([*first.tolist(), len(part)])]
-                    yield pa.RecordBatch.from_pydict({"part": pa.array(part[first], pa.int32()), "ctx0": ctx[first], "data": pa.array(blocks, pa.binary())})
+                    at = np.flatnonzero(np.diff(part, prepend=-1))
+                    blocks = [packed(*(x[i:j] for x in (ctx, word, n))) for i, j in itertools.pairwise([*at.tolist(), len(part)])]
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(part[at], pa.int32()), "ctx0": ctx[at], "data": pa.array(blocks, pa.binary())})
 
         made, starts = higher_level(texts.mapInArrow(count_ngrams, "part int, ctx0 long, data binary"), folder, model, starts, least, range_tokens)
         model = Model([*model.levels, made], tokens, distinct)
@@ -320,16 +349,16 @@ def entry_counts(model: Model, k: int, entries: np.ndarray) -> np.ndarray:
 
 def log_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: tokens, known tokens, log10 of the unigram and of the model's probability."""
-    entries, counts, _, sizes = chain(model, texts, 1)
-    p = (counts + 0.5) / (model.tokens + 0.5 * (model.distinct + 1))
+    made, counts, sizes = chain(model, texts, 1)
+    at, words = made[0].of, Ranks(made[0].of, made[0].values + 1)  # no entry has word 0, which asks for the context alone
     starts = np.cumsum(sizes) - sizes
-    base = np.add.reduceat(np.log10(p), starts)
-    below = entries[0]
+    p = (counts + 0.5) / (model.tokens + 0.5 * (model.distinct + 1))
+    base, p = np.add.reduceat(np.log10(p)[at], starts), p[at]
+    below = made[0]
     for k in range(1, len(model.levels)):
-        ctx = shifted(below, sizes, None if k == 1 else -1)
-        below, code, rest = lookup(level(model.levels[k]), ctx, entries[0] + 1, "code", "rest")
-        p = decoded(code) + decoded(rest, none=1.0) * p
-    return sizes, np.add.reduceat((counts > 0).astype(np.int64), starts), base, np.add.reduceat(np.log10(p), starts)
+        below, code, rest = lookup(level(model.levels[k]), below.before(sizes, k == 1), words, "code", "rest")
+        p = np.append(decoded(code), 0.0)[below.of] + np.append(decoded(rest, none=1.0), 1.0)[below.of] * p
+    return sizes, np.add.reduceat((counts > 0).astype(np.int64)[at], starts), base, np.add.reduceat(np.log10(p), starts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
