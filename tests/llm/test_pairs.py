@@ -281,3 +281,23 @@ def test_line_dedup_cuts_and_sketches_each_node_once(spark):
     rows = [(1, "abcdefghijklmnop", 7), (2, "abcdefghijklmnopq", 8), (3, "abcdefghijklmnopqrstuvwxyz", 17), (4, "qponmlkjihgfedcba", 8)]
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "a long, b long")
     assert [tuple(r) for r in line_dedup.verified(spark.createDataFrame(rows, "node long, norm string, n long"), pairs, 75).collect()] == [(1, 2)]
+
+
+def test_groups_of_two_need_no_sketches(spark):
+    # both groups leave members outside their pivot's class; only the one of three has a pair that wasn't held against the pivot
+    groups_ = spark.createDataFrame([(1, 1), (1, 2), (5, 5), (5, 6), (5, 7)], "pivot long, node long")
+    asked = []
+
+    def sketches(nodes):
+        asked.extend(r.node for r in nodes.collect())
+        return nodes.select("node", F.lit(50).alias("n"), F.lit(0).cast("long").alias("w0"))
+
+    found = classes(groups_, sketches, lambda pairs: pairs.where("a = 6 and b = 7"), 75, 1, "test")
+    assert sorted(asked) == [5, 6, 7]
+    assert {r.node: r.component for r in found.collect()} == {6: 6, 7: 6}
+
+
+def test_line_dedup_compares_sizes_before_texts(spark):
+    text = spark.createDataFrame([(1, "", 6), (2, "", 8), (3, "", 9)], "node long, norm string, n long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert sorted((r.a, r.b) for r in line_dedup.alike(pairs, text, 75).collect()) == [(1, 2), (2, 3)]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelia.llm.common import classes, grouped, in_several, remove, written
+from voxelia.llm.common import classes, grouped, remove, written
 
 WINDOW, BANDS = 10, 8
 SPACES = " \t\r\x0b\x0c"
@@ -82,14 +82,14 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, norm) of the nodes, written. One line of each node is cut out of its row again; lines of no node aren't made."""
+    """(node, norm, n) of the nodes, n the size of the set, written. One line of each node is cut out of its row again; lines of no node aren't made."""
     few = nodes.count() <= BROADCAST_IDS
     wanted = signed.select("node", "row", "number").join(F.broadcast(nodes) if few else nodes, "node").groupBy("node").agg(F.min(F.struct("row", "number")).alias("p"))
     wanted = wanted.groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct("p.number", "node")).alias("of"))
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "row")
     each = rows.select(F.split("text", "\n").alias("parts"), "of").select("parts", F.explode("of").alias("of")).select(F.col("of.node").alias("node"), normal(F.get("parts", F.col("of.number"))).alias("norm"))
     # rows equal in id and text give their line again
-    return written(each.where(F.xxhash64("norm") == F.col("node")).distinct(), "texts")
+    return written(each.where(F.xxhash64("norm") == F.col("node")).distinct().withColumn("n", F.size(shingles(F.col("norm")))), "texts")
 
 
 def by_size(shared: DataFrame, text: DataFrame) -> DataFrame:
@@ -99,13 +99,26 @@ def by_size(shared: DataFrame, text: DataFrame) -> DataFrame:
     return both.groupBy(F.xxhash64("key", "size").alias("key"), "node").agg(F.count("*").alias("n"))
 
 
+def alike(pairs: DataFrame, text: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes, with x_n and y_n, whose sizes leave room for a similarity of percent."""
+    x, y = (text.select(F.col("node").alias(k), F.col("n").alias(f"{t}_n")) for k, t in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where((100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n")))
+
+
 def verified(text: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of percent or more; text has their sizes n."""
-    x, y = (text.select(F.col("node").alias(k), F.col("norm").alias(t), F.col("n").alias(f"{t}_n")) for k, t in (("a", "x"), ("b", "y")))
-    both = pairs.join(x, "a").join(y, "b")
-    sizes = (100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n"))
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of percent or more; text has their sizes n.
+
+    Sizes are compared before any text moves, and only texts of the pairs left do.
+    """
+    pairs = written(alike(pairs, text, percent), "alike")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "alike-nodes")
+    few = nodes.count() <= BROADCAST_IDS
+    needed = text.select("node", "norm").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    both = pairs.join(needed.withColumnsRenamed({"node": "a", "norm": "x"}), "a").join(needed.withColumnsRenamed({"node": "b", "norm": "y"}), "b")
     common = F.size(F.array_intersect(windows(F.col("x")), windows(F.col("y"))))  # without repeats
-    return both.where(sizes).where((100 + percent) * common >= percent * (F.col("x_n") + F.col("y_n"))).select("a", "b")
+    out = written(both.where((100 + percent) * common >= percent * (F.col("x_n") + F.col("y_n"))).select("a", "b"), "verified")
+    remove(text.sparkSession, pairs, nodes)
+    return out
 
 
 def sketched(text: DataFrame) -> DataFrame:
@@ -127,17 +140,17 @@ def removed(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     each = lines(docs, id_col, text_col)
     signed = written(with_bands(each).select("node", "second", "id", "row", "number", "keys"), "signed")
-    shared = in_several(signed.select(F.explode("keys").alias("key"), "node"), "shared")
+    rows = signed.select(F.explode("keys").alias("key"), "node")
     # a key of one line alone, however often, needs no text
-    several = shared.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    shared = written(shared.join(several, "key"), "shared")
-    norms = texts_of(docs, signed, written(shared.select("node").distinct(), "nodes"), id_col, text_col)
-    sketches = written(sketched(norms), "sketches")
-    text = written(norms.join(sketches.select("node", "n"), "node"), "texts")
+    several = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    shared = written(rows.join(several, "key"), "shared")
+    nodes = written(shared.select("node").distinct(), "nodes")
+    text = texts_of(docs, signed, nodes, id_col, text_col)
     members = written(by_size(shared, text), "members")
     groups = grouped(members, "groups")
-    found = written(classes(groups, lambda nodes: sketches.join(nodes, "node", "left_semi"), lambda pairs: verified(text, pairs, percent), percent, SKETCH_WORDS, "links", bound_first=True), "classes")
-    remove(spark, shared, members, groups, norms, sketches, text)
+    remove(spark, shared, nodes, members)
+    found = written(classes(groups, lambda wanted: sketched(text.join(wanted, "node", "left_semi")), lambda pairs: verified(text, pairs, percent), percent, SKETCH_WORDS, "links"), "classes")
+    remove(spark, groups, text)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "number")
     # of nodes with one line and no link nothing goes; a node's lines are equal to the one with the least second hash, or else they are left alone
     nodes = signed.groupBy("node").agg(F.count("*").alias("n"), F.min("second").alias("least")).join(found, "node", "left").where("n > 1 or component is not null")
