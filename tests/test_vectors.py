@@ -71,3 +71,14 @@ def test_places_are_those_of_sums_in_order():
         sums += a[:, i, None] * b[:, i]
     v = sums * 1e12
     assert (ranking.places(a, b.T) == ranking.MIDDLE - np.trunc(v + np.copysign(0.5, v))).all()
+
+
+def clustered(spark, folder):
+    """200 rows in four directions, the label of every fiftieth being its own."""
+    rows = [(k, [float(j == k % 4) + (k * 3 + j * 5) % 7 / 100 for j in range(64)], 10 + k if k % 50 == 0 else k % 4) for k in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def test_votes_of_every_fifth_row(spark, tmp_path):
+    clustered(spark, tmp_path)
+    assert sorted(r.q for r in registry.QUERIES["knn_weighted_vote"](spark, str(tmp_path)).collect()) == list(range(0, 200, 5))
