@@ -82,3 +82,9 @@ def clustered(spark, folder):
 def test_votes_of_every_fifth_row(spark, tmp_path):
     clustered(spark, tmp_path)
     assert sorted(r.q for r in registry.QUERIES["knn_weighted_vote"](spark, str(tmp_path)).collect()) == list(range(0, 200, 5))
+
+
+def test_accuracy_over_every_fifth_row(spark, tmp_path):
+    """Four of the 40 queries have a label of their own, which no neighbour can give."""
+    clustered(spark, tmp_path)
+    assert [tuple(r) for r in registry.QUERIES["knn_accuracy"](spark, str(tmp_path)).where("k < 100").orderBy("k").collect()] == [(10, 90.0, 90.0), (20, 90.0, 90.0)]
