@@ -88,3 +88,9 @@ def test_accuracy_over_every_fifth_row(spark, tmp_path):
     """Four of the 40 queries have a label of their own, which no neighbour can give."""
     clustered(spark, tmp_path)
     assert [tuple(r) for r in registry.QUERIES["knn_accuracy"](spark, str(tmp_path)).where("k < 100").orderBy("k").collect()] == [(10, 90.0, 90.0), (20, 90.0, 90.0)]
+
+
+def test_ranking_of_every_twenty_fifth_row(spark, tmp_path):
+    clustered(spark, tmp_path)
+    found = registry.QUERIES["full_ranking"](spark, str(tmp_path)).groupBy("q").count().collect()
+    assert sorted(map(tuple, found)) == [(q, 200) for q in range(0, 200, 25)]
