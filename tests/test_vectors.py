@@ -94,3 +94,9 @@ def test_ranking_of_every_twenty_fifth_row(spark, tmp_path):
     clustered(spark, tmp_path)
     found = registry.QUERIES["full_ranking"](spark, str(tmp_path)).groupBy("q").count().collect()
     assert sorted(map(tuple, found)) == [(q, 200) for q in range(0, 200, 25)]
+
+
+def test_average_precision_of_every_twenty_fifth_row(spark, tmp_path):
+    """Those with a label of their own have no relevant row."""
+    clustered(spark, tmp_path)
+    assert sorted(r.q for r in registry.QUERIES["retrieval_average_precision"](spark, str(tmp_path)).collect()) == [25, 75, 125, 175]
