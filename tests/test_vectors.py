@@ -100,3 +100,8 @@ def test_average_precision_of_every_twenty_fifth_row(spark, tmp_path):
     """Those with a label of their own have no relevant row."""
     clustered(spark, tmp_path)
     assert sorted(r.q for r in registry.QUERIES["retrieval_average_precision"](spark, str(tmp_path)).collect()) == [25, 75, 125, 175]
+
+
+def test_precision_of_every_twenty_fifth_row(spark, tmp_path):
+    clustered(spark, tmp_path)
+    assert sorted(r.q for r in registry.QUERIES["retrieval_precision_at_10"](spark, str(tmp_path)).collect()) == [25, 75, 125, 175]
