@@ -105,3 +105,15 @@ def test_average_precision_of_every_twenty_fifth_row(spark, tmp_path):
 def test_precision_of_every_twenty_fifth_row(spark, tmp_path):
     clustered(spark, tmp_path)
     assert sorted(r.q for r in registry.QUERIES["retrieval_precision_at_10"](spark, str(tmp_path)).collect()) == [25, 75, 125, 175]
+
+
+def test_ratio_of_every_twentieth_row(spark, tmp_path):
+    """Every second query is reported, and those whose nearest row is a copy."""
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(200, 64))
+    x[61] = x[60]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.q for r in registry.QUERIES["ratio_test"](spark, str(tmp_path)).collect()}
+    assert found >= {0, 40, 60, 80, 120, 160} and all(q % 20 == 0 for q in found)
