@@ -301,3 +301,30 @@ def test_line_dedup_compares_sizes_before_texts(spark):
     text = spark.createDataFrame([(1, "", 6), (2, "", 8), (3, "", 9)], "node long, norm string, n long")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     assert sorted((r.a, r.b) for r in line_dedup.alike(pairs, text, 75).collect()) == [(1, 2), (2, 3)]
+
+
+def test_whole_sets_of_candidates_only(spark, monkeypatch):
+    """Documents that share half of their words have join keys in common, but their sketches part them before their whole sets are made."""
+    word = lambda *k: " ".join(f"w{x}" for x in k)
+    texts = [(k, word(*range(60), *range(1000 * k, 1000 * k + 60))) for k in range(1, 7)] + [(10, word(*range(9000, 9120))), (11, word(*range(9000, 9120), 7))]
+    made, old = [], parity_join.whole_sets
+    monkeypatch.setattr(parity_join, "whole_sets", lambda docs, ids: made.append(sorted(r.doc_id for r in ids.collect())) or old(docs, ids))
+    found = {r.doc_id: r.component_id for r in parity_join.join(frame(spark, texts)).collect()}
+    assert found == {**{k: k for k in range(1, 7)}, 10: 10, 11: 10}
+    assert {i for ids in made for i in ids} == {10, 11}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    import time
+
+    from voxelia.llm.common import CLEAN, written
+
+    def files():
+        return {f.getName() for f in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    out = written(spark.range(100000).groupBy((F.col("id") % 1000).alias("k")).count(), "test")
+    end = time.time() + 10
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left and out.count() == 1000 and spark.conf.get(CLEAN) == "false"
