@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelia.llm import byte_bpe, decontaminate, line_dedup, parity_join, quality
-from voxelia.llm.common import table, written
+from voxelia.llm.common import remove, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES):
+        done = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:  # the table of the stage before; the first one is given
+            remove(spark, docs)
+        docs = done
     return docs

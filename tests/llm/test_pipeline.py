@@ -139,3 +139,16 @@ def test_entry_imports_without_the_optional_files(tmp_path):
             (tmp_path / "voxelia" / p.name).symlink_to(p)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_stages_leave_only_the_last_table(spark):
+    import os
+
+    import corpus_pipeline
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    names = [name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES]
+    left = [f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before]
+    assert [f for f in left if f in names] == names[-1:]
