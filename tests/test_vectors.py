@@ -117,3 +117,19 @@ def test_ratio_of_every_twentieth_row(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = {r.q for r in registry.QUERIES["ratio_test"](spark, str(tmp_path)).collect()}
     assert found >= {0, 40, 60, 80, 120, 160} and all(q % 20 == 0 for q in found)
+
+
+def test_ranking_shuffles_no_similarity(spark, tmp_path, monkeypatch):
+    """Ranges held a few at a time give SQL's rows; of the plan only queries are shuffled."""
+    import numpy as np
+
+    from voxelia.operators import ranking
+
+    for name, size in (("QUERIES", 3), ("PART", 40), ("RANGE", 90), ("SAMPLE", 60), ("HELD", 400)):
+        monkeypatch.setattr(ranking, name, size, raising=False)
+    x = np.random.default_rng(8).normal(size=(500, 64)).astype(np.float32)
+    x[100:200] = x[25]
+    rows = [(k, v.tolist(), k % 3) for k, v in enumerate(x)]
+    against_sql(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int", "full_ranking", "retrieval_average_precision")
+    plan = registry.QUERIES["full_ranking"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "FlatMapGroups" not in plan and not {"data", "junk"} & set(plan.replace("#", " ").split())
